@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeline.llm.common import table
 from lodeline.llm.license_scan import scan_licenses
+from lodeline.llm.quality_rules import fit_rules, judge
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
