@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeline.llm.common import table
 from lodeline.llm.license_scan import scan_licenses
+from lodeline.llm.packing import pack_documents
 from lodeline.llm.quality_rules import fit_rules, judge
 
 
@@ -13,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
@@ -20,6 +25,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
