@@ -8,6 +8,7 @@ from lodeline.llm.common import table
 from lodeline.llm.license_scan import scan_licenses
 from lodeline.llm.packing import pack_documents
 from lodeline.llm.quality_rules import fit_rules, judge
+from lodeline.llm.warc import archive_pages, read_back
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, directory = archive_pages(spark, table(spark, sf_dir, "pages"))
+    return read_back(directory).drop("url", "payload")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
@@ -26,7 +32,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+         min(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS first
+  FROM pages
+), d AS (
+  SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(hex, (i + 1)::BIGINT, 1)) - 1) AS x FROM p
+)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((16 * x[(5 * i) // 4 + 1] + x[(5 * i) // 4 + 2]) >> (3 - (5 * i) % 4)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
