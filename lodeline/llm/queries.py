@@ -9,6 +9,7 @@ from lodeline.llm.html_extract import extract_pages
 from lodeline.llm.license_scan import scan_licenses
 from lodeline.llm.packing import pack_documents
 from lodeline.llm.quality_rules import fit_rules, judge
+from lodeline.llm.toxicity import fit_model, score
 from lodeline.llm.warc import archive_pages, read_back
 
 
@@ -24,6 +25,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit_model(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, directory = archive_pages(spark, table(spark, sf_dir, "pages"))
     return read_back(directory).drop("url", "payload")
@@ -38,6 +44,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
 }
