@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodeline.llm.common import table
 from lodeline.llm.html_extract import extract_pages
+from lodeline.llm.jaccard_join import similar_groups
 from lodeline.llm.license_scan import scan_licenses
 from lodeline.llm.packing import pack_documents
 from lodeline.llm.quality_rules import fit_rules, judge
@@ -30,6 +31,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, directory = archive_pages(spark, table(spark, sf_dir, "pages"))
     return read_back(directory).drop("url", "payload")
@@ -45,6 +50,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
 }
