@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeline.llm.common import table
+from lodeline.llm.decontamination import contaminated
 from lodeline.llm.html_extract import extract_pages
 from lodeline.llm.jaccard_join import similar_groups
 from lodeline.llm.license_scan import scan_licenses
@@ -45,6 +46,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_html_extraction": op3_html_extraction,
@@ -53,6 +58,7 @@ QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
