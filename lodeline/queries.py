@@ -53,16 +53,16 @@ def r4(*names: str) -> list:
 # Scalars: A-1 to A-3.
 
 
-def _scalar(aggregation: str, sql: str) -> None:
+def _scalar(aggregation: str, sql: str, digits: int) -> None:
     def run(df: DataFrame) -> DataFrame:
-        return df.agg(F.round(frames.aggregate("l_extendedprice", aggregation), 2).alias("value"))
+        return df.agg(F.round(frames.aggregate("l_extendedprice", aggregation), digits).alias("value"))
 
     run.__name__ = f"agg_{aggregation}"
     query("lineitem", f"SELECT {sql} AS value FROM lineitem")(run)
 
 
 for _name, _sql in (("sum", "sum"), ("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max")):
-    _scalar(_name, f"round({_sql}(l_extendedprice), 2)")
+    _scalar(_name, f"round({_sql}(l_extendedprice), {2 if _name == 'sum' else 4})", 2 if _name == "sum" else 4)
 
 
 @query("lineitem", "SELECT count(l_extendedprice) AS value FROM lineitem")
@@ -136,15 +136,15 @@ def filter_resolved(df):
 def _breakdown(name: str, aggregation: str, sql: str, round_value: bool = True) -> None:
     def run(df: DataFrame) -> DataFrame:
         out = frames.grouped(df, "l_returnflag", "l_extendedprice", aggregation)
-        return out.select(*(F.round(c, 2).alias(c) if c == "value" and round_value else c for c in out.columns))
+        return out.select(*(F.round(c, 2 if aggregation == "sum" else 4).alias(c) if c == "value" and round_value else c for c in out.columns))
 
     run.__name__ = name
     query("lineitem", sql)(run)
 
 
 _breakdown("breakdown_sum_share", "sum", "SELECT l_returnflag AS segment, round(sum(l_extendedprice), 2) AS value, round_even(sum(l_extendedprice) / sum(sum(l_extendedprice)) OVER () * 100, 1) AS share FROM lineitem GROUP BY 1")
-_breakdown("breakdown_mean", "mean", "SELECT l_returnflag AS segment, round(avg(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1")
-_breakdown("breakdown_median", "median", "SELECT l_returnflag AS segment, round(median(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1")
+_breakdown("breakdown_mean", "mean", "SELECT l_returnflag AS segment, round(avg(l_extendedprice), 4) AS value FROM lineitem GROUP BY 1")
+_breakdown("breakdown_median", "median", "SELECT l_returnflag AS segment, round(median(l_extendedprice), 4) AS value FROM lineitem GROUP BY 1")
 _breakdown("breakdown_count", "count", "SELECT l_returnflag AS segment, count(*) AS value, round_even(count(*)::DOUBLE / sum(count(*)) OVER () * 100, 1) AS share FROM lineitem GROUP BY 1", False)
 
 
