@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeline.llm.chat_format import format_chats
 from lodeline.llm.common import table
 from lodeline.llm.decontamination import contaminated
 from lodeline.llm.html_extract import extract_pages
@@ -11,6 +12,7 @@ from lodeline.llm.jaccard_join import similar_groups
 from lodeline.llm.license_scan import scan_licenses
 from lodeline.llm.packing import pack_documents
 from lodeline.llm.quality_rules import fit_rules, judge
+from lodeline.llm.sharding import SHARDS, place
 from lodeline.llm.toxicity import fit_model, score
 from lodeline.llm.warc import archive_pages, read_back
 
@@ -19,6 +21,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"shard-{k:05d}" for k in range(SHARDS)]
+    return place(table(spark, sf_dir, "documents").select("doc_id", "text"), names).select("doc_id", "slot", "shard")
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -27,6 +34,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit_model(docs, table(spark, sf_dir, "labels")))
@@ -52,8 +63,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_sharding": op2_sharding,
     "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_toxicity": op6_toxicity,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_warc": op8_warc,
