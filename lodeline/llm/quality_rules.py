@@ -254,14 +254,12 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS)
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(F.broadcast(usable.select("doc_id", "quality")), "doc_id")
         .select("doc_id", "quality", s.alias("s"))
-        .where(~base_failed(F.col("s")))
-        .select("doc_id", "quality", *(feature(f, F.col("s")).alias(f) for f in FEATURES))
-        .limit(2 * max_labels)  # ids may repeat in documents
+        .select("doc_id", "quality", base_failed(F.col("s")).alias("failed"), *(feature(f, F.col("s")).alias(f) for f in FEATURES))
+        .dropDuplicates(["doc_id"])  # a filter on statistics here would run below the join, on every document
         .collect()
     )
-    found.sort(key=lambda r: tuple(r))
-    found.sort(key=lambda r: hash((r["doc_id"] * 2654435761) % 2**32))
-    return learn([tuple(r)[2:] for r in found], [r["quality"] == 0 for r in found])
+    found = sorted((r for r in found if not r["failed"]), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
+    return learn([tuple(r)[3:] for r in found], [r["quality"] == 0 for r in found])
 
 
 def verdict(s: Column, rules: Sequence[Rule]) -> Column:
