@@ -21,10 +21,12 @@ set can link with are in the lists too.
 The *boundary* is chosen by cost: rows that enumeration emits against rows that
 the lists take, from the counts of sets by size.
 
-Lists do not emit all their pairs. First each list links its members to its
-smallest member of like size; verified links give provisional components. What
-is left are pairs of a list across different provisional components, and only
-those are compared. Every candidate pair is verified on the two texts.
+Lists do not emit all their pairs. First each list links its members to a hub
+of like size; verified links give provisional components. Members of lists
+that still have several components go through lists over all their elements,
+where the position filter is at its sharpest: again hubs first, and then the
+pairs across components that pass the length and position filters. Every
+candidate pair is verified on the two texts.
 
 Defined results: null or empty texts have an empty set and link with nothing
 (component: the own id). Rows of one doc_id are one node, and each row reports
@@ -177,46 +179,82 @@ def light_links(reps: DataFrame, num: int, den: int, most: int) -> DataFrame:
     return rows.join(low, "key").select(F.col("rep").alias("a"), hub.alias("b")).where("a <> b")
 
 
+def needed(num: int, den: int, s: str, t: str) -> str:
+    """``common_needed`` as SQL."""
+    return f"(({num} * ({s} + {t}) + {num + den - 1}) div {num + den})"
+
+
 def listed(reps: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """(element, rep, n): the prefixes of heavy sets and of light ones that a
-    heavy set can link with, without elements of one set only."""
+    """(element, rep, n, pos): the prefixes of heavy sets and of light ones that
+    a heavy set can link with, without elements of one set only. ``pos`` is the
+    element's place in the set by the global order."""
     least = ceil_share(num, den, most + 1)
     own = reps.where(F.col("n") >= least)
     prefix = f"cast(n - ((n * {num} + {den} - 1) div {den}) + 1 as int)"
-    rows = own.select("rep", "n", F.posexplode(F.expr(f"slice(elements, 1, greatest(inner, {prefix}))")).alias("at", "element"), "inner")
-    rows = rows.select("element", "rep", "n", "inner", (F.col("at") >= F.col("inner")).alias("outer"))
+    rows = own.select("rep", "n", "inner", F.posexplode(F.expr(f"slice(elements, 1, greatest(inner, {prefix}))")).alias("at", "element"))
+    rows = rows.withColumn("outer", F.col("at") >= F.col("inner"))
     shared = rows.groupBy("element").agg(F.count("*").alias("sets")).where("sets > 1")
     found = rows.join(shared, "element")
     # Elements of one set are first in the order; what they leave of the prefix goes to the rarest of the others.
-    per_rep = found.groupBy("rep", "n", "inner").agg(F.sort_array(F.collect_list(F.when(~F.col("outer"), F.struct("sets", "element")))).alias("own"), F.collect_list(F.when(F.col("outer"), F.col("element"))).alias("rest"))
-    chosen = F.expr("slice(transform(own, x -> x.element), 1, greatest(0, p - (inner - size(own))))")
-    return per_rep.withColumn("p", F.expr(prefix)).select(F.explode(F.concat(chosen, F.col("rest"))).alias("element"), "rep", "n")
+    per_rep = found.groupBy("rep", "n", "inner").agg(F.sort_array(F.collect_list(F.when(~F.col("outer"), F.struct("sets", "element")))).alias("own"), F.collect_list(F.when(F.col("outer"), F.struct("element", F.col("at").alias("pos")))).alias("rest"))
+    placed = F.expr("transform(own, (x, i) -> struct(x.element as element, cast(inner - size(own) + i as int) as pos))")
+    out = per_rep.select("rep", "n", F.inline(F.concat(placed, F.col("rest"))))
+    return out.where(f"pos < {prefix}").select("element", "rep", "n", "pos")
 
 
 def hub_links(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Each member of a list with the list's smallest member of like size."""
+    """Each member of a list with the list's hub among members of like size: the
+    one where the fewest rare elements come before."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num))) if num < den else F.col("n")
-    rows = lists.select("element", "rep", band.cast("int").alias("band"))
-    low = rows.groupBy("element", "band").agg(F.min("rep").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
-    return rows.join(low, ["element", "band"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    rows = lists.withColumn("band", band.cast("int"))
+    low = rows.groupBy("element", "band").agg(F.min(F.struct("pos", F.col("rep").alias("b"), F.col("n").alias("n_b"))).alias("hub"), F.count("*").alias("m")).where("m > 1").select("element", "band", "hub.b", "hub.n_b", F.col("hub.pos").alias("pos_b"))
+    fits = f"rep <> b AND n * {num} <= n_b * {den} AND n_b * {num} <= n * {den} AND least(n - pos, n_b - pos_b) >= {needed(num, den, 'n', 'n_b')}"
+    return rows.join(low, ["element", "band"]).where(fits).select(F.col("rep").alias("a"), "b").distinct()
+
+
+def labelled(lists: DataFrame, of: DataFrame) -> DataFrame:
+    """Lists with the provisional component ``c`` of each member."""
+    return lists.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("element", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
+
+
+def spread_elements(rows: DataFrame) -> DataFrame:
+    """Elements whose members lie in several components."""
+    return rows.groupBy("element").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("element")
+
+
+def unsettled(lists: DataFrame, of: DataFrame) -> DataFrame:
+    """Ids of members of lists with several components."""
+    rows = labelled(lists, of)
+    return rows.join(spread_elements(rows), "element", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+
+
+def across_components(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs (a, b) in order, without those of one component."""
+    a, b = (of.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+    named = pairs.join(a, "a", "left").join(b, "b", "left")
+    apart = named.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
+    return apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def across_links(lists: DataFrame, of: DataFrame, num: int, den: int, most: int) -> DataFrame:
     """Pairs of a list whose members lie in different provisional components.
 
-    Pairs of components come first, so that a component with many members in a
-    list is not compared with itself.
+    A linked pair has a first common element, and what follows it in both sets
+    must hold the common elements needed (position filter). The smaller set of
+    a pair has that element early: only few members can take this part. Both
+    tests run on summaries by component and size before members are paired, so
+    that a component with many members in a list costs one row for each size.
     """
-    rows = lists.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("element", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    spread = rows.groupBy("element").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("element")
-    rows = written(rows.join(spread, "element"), "across")
-    parts = rows.groupBy("element", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left, right = (parts.select("element", *(F.col(x).alias(f"{x}_{k}") for x in ("c", "least", "most"))) for k in (1, 2))
-    fits = f"c_1 < c_2 AND least_1 * {num} <= most_2 * {den} AND least_2 * {num} <= most_1 * {den}"
-    pairs = left.join(right, "element").where(fits).select("element", "c_1", "c_2")
-    a, b = (rows.select("element", F.col("rep").alias(f"rep_{k}"), F.col("n").alias(f"n_{k}"), F.col("c").alias(f"c_{k}")) for k in (1, 2))
-    like = f"n_1 * {num} <= n_2 * {den} AND n_2 * {num} <= n_1 * {den} AND (n_1 > {most} OR n_2 > {most})"
-    return pairs.join(a, ["element", "c_1"]).join(b, ["element", "c_2"]).where(like).select(F.greatest("rep_1", "rep_2").alias("a"), F.least("rep_1", "rep_2").alias("b")).distinct()
+    rows = labelled(lists, of)
+    rows = written(rows.join(spread_elements(rows), "element"), "across")
+    early = f"n - pos >= {needed(num, den, 'n', 'n')}"
+    larger = rows.groupBy("element", "c", "n").agg(F.min("pos").alias("pos")).select("element", F.col("c").alias("c_1"), F.col("n").alias("n_1"), F.col("pos").alias("pos_1"))
+    smaller = rows.where(early).groupBy("element", "c", "n").agg(F.min("pos").alias("pos")).select("element", F.col("c").alias("c_2"), F.col("n").alias("n_2"), F.col("pos").alias("pos_2"))
+    fits = f"c_1 <> c_2 AND n_2 <= n_1 AND n_1 * {num} <= n_2 * {den} AND n_1 > {most} AND least(n_1 - pos_1, n_2 - pos_2) >= {needed(num, den, 'n_1', 'n_2')}"
+    keys = larger.join(smaller, "element").where(fits).select("element", "c_1", "n_1", "c_2", "n_2")
+    a, b = (rows.select("element", F.col("c").alias(f"c_{k}"), F.col("n").alias(f"n_{k}"), F.col("rep").alias(f"rep_{k}"), F.col("pos").alias(f"pos_{k}")) for k in (1, 2))
+    both = keys.join(a, ["element", "c_1", "n_1"]).join(b, ["element", "c_2", "n_2"]).where(fits)
+    return both.select(F.greatest("rep_1", "rep_2").alias("a"), F.least("rep_1", "rep_2").alias("b")).distinct()
 
 
 def _bloom(ids: DataFrame, column: str) -> np.ndarray:
@@ -235,10 +273,9 @@ def _bloom(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, label: str) -> DataFrame:
-    """The pairs (a, b) whose texts link; a written table."""
-    pairs = written(pairs, f"{label}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def texts_with(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text) of the documents in ``ids`` (doc_id), a written table. The
+    bit table keeps most other texts out of the exchange."""
     bits = docs.sparkSession.sparkContext.broadcast(_bloom(ids, "doc_id"))
 
     def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +285,13 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, labe
             yield batch.filter(pa.array((bits.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1, pa.uint8()).cast(pa.bool_()))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    texts = written(own.mapInArrow(maybe, "doc_id long, text string").join(ids, "doc_id", "left_semi"), f"{label}-texts")
+    return written(own.mapInArrow(maybe, "doc_id long, text string").join(ids, "doc_id", "left_semi"), f"{label}-texts")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, label: str) -> DataFrame:
+    """The pairs (a, b) whose texts link; a written table."""
+    pairs = written(pairs, f"{label}-pairs")
+    texts = texts_with(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -287,7 +330,13 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, sam
         first = first.unionAll(light_links(reps, num, den, most))
     near = verified(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), docs, n, num, den, "near")
     provisional = components(near, "provisional")
-    far = verified(across_links(lists, provisional, num, den, most), docs, n, num, den, "far")
+    rest = texts_with(docs, unsettled(lists, provisional), "rest")
+    whole = signatures(rest, n, num, den, 1.0).where("n > 0").select(F.col("doc_id").alias("rep"), "n", "inner", "elements")
+    finer = written(listed(whole, num, den, most).distinct(), "finer")
+    again = across_components(hub_links(finer, num, den), provisional)
+    near = near.unionAll(verified(again, docs, n, num, den, "again"))
+    provisional = components(near, "provisional")
+    far = verified(across_links(finer, provisional, num, den, most), docs, n, num, den, "far")
 
     # Rows of one id in several classes tie these classes.
     of = filled.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "rep")
