@@ -91,3 +91,21 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d
 """
+
+ORACLE_SQL["op7_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
+  FROM w
+), e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s
+), l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS m FROM s UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.doc_id
+)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id FROM s JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1) c ON c.doc_id = s.doc_id
+"""
