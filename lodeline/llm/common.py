@@ -76,8 +76,8 @@ def texts_of(column: pa.Array) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each has about SLICE_BYTES of text at most (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each has about ``most`` bytes of text at most (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -86,7 +86,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         start = 0
         while start < len(ends):
             before = ends[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, end - start)
             start = end
 

@@ -45,8 +45,10 @@ RANK, EXTRA = 208, 16
 MAX_TERMS = 1 << 15
 BLOCK_ITEMS = 5_000
 LEAST_WORDS = 8
+#: Bytes of term numbers that a worker takes at a time.
+IDS_BYTES = 1 << 20
 LATENT_COSINE = 0.52
-COSINE = 0.15
+COSINE = 0.1
 ITEM_SHARE, ANSWER_SHARE = 0.6, 0.5
 
 MATCHES = "doc_id long, item_id long, cosine double, item_share double, answer_share double, first_word long"
@@ -143,6 +145,10 @@ class Windows:
         self.second = np.where(halves[self.doc] > 1, self.half + 1, -1)
         self.n_halves = int(first_half[-1])
         known = self.flat >= 0
+        # A row of term numbers for each half; ``width`` stands for no known word.
+        self.terms = np.full((self.n_halves, STRIDE), width, np.int32)
+        within = (np.arange(len(self.flat)) - self.first_word[doc_of_word]) % STRIDE
+        self.terms[half_of_word[known], within[known]] = self.flat[known] % width
         self.term = self.flat[known] % width
         self.term_half = half_of_word[known]
         self.unknown = np.bincount(half_of_word[~known], minlength=self.n_halves)
@@ -172,34 +178,29 @@ class Windows:
     def norms(self, idf: np.ndarray, idf_unknown: float) -> np.ndarray:
         window, term, count = self.entries()
         square = np.bincount(window, (count * idf[term]) ** 2, len(self)) + self.paired(self.unknown) * idf_unknown**2
-        return np.sqrt(np.maximum(square, 1e-12))
+        return np.sqrt(np.maximum(square, 1e-12)).astype(np.float32)
 
     def projected(self, table: np.ndarray) -> np.ndarray:
         """Rows times ``table`` (terms by columns, idf included), not normalised."""
+        padded = np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)])
         out = np.zeros((self.n_halves, table.shape[1]), np.float32)
-        starts = np.flatnonzero(np.diff(self.term_half, prepend=-1))
-        for at in range(0, len(starts), 4096):  # bounded gathers
-            part = starts[at : at + 4096]
-            end = starts[at + 4096] if at + 4096 < len(starts) else len(self.term)
-            out[self.term_half[part]] = np.add.reduceat(table[self.term[part[0] : end]], part - part[0], axis=0)
+        for at in range(0, self.n_halves, 512):  # whole rows at a time, in blocks that stay in the cache
+            for k in range(STRIDE):
+                out[at : at + 512] += padded[self.terms[at : at + 512, k]]
         return self.paired(out)
 
     def back(self, rows: np.ndarray, width: int) -> np.ndarray:
         """Transposed rows times ``rows`` (windows by columns), without idf."""
         out = np.zeros((width, rows.shape[1]))
-        if not len(self.term):
-            return out
         halves = np.zeros((self.n_halves + 1, rows.shape[1]), np.float32)
         halves[self.half] += rows
         two = self.second >= 0
         halves[self.second[two]] += rows[two]
         order = np.argsort(self.term, kind="stable")
-        term = self.term[order]
+        term, half = self.term[order], self.term_half[order]
         starts = np.flatnonzero(np.diff(term, prepend=-1))
-        for at in range(0, len(starts), 512):  # bounded gathers
-            end = starts[at + 512] if at + 512 < len(starts) else len(term)
-            part = starts[at : at + 512]
-            out[term[part]] = np.add.reduceat(halves[self.term_half[order[part[0] : end]]], part - part[0], axis=0)
+        for t, start, end in zip(term[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(term)]):
+            out[t] = halves[half[start:end]].sum(0)
         return out
 
 
@@ -212,7 +213,7 @@ def summed(encoded: DataFrame, width: int, shape: tuple[int, ...], part: Callabl
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", IDS_BYTES):
             total += part(Windows(batch.column(1).to_pylist(), width))
         yield table(total)
 
@@ -259,7 +260,7 @@ def latent_space(encoded: DataFrame, width: int, rank: int = RANK, seed: int = 7
 
     def outer(w: Windows) -> np.ndarray:
         rows = w.projected(spread) / (w.norms(idf, idf_unknown) ** 2)[:, None]
-        return w.back(rows.astype(np.float32), width) * idf[:, None]
+        return w.back(rows, width) * idf[:, None]
 
     basis, _ = np.linalg.qr(summed(encoded, width, (width, columns), outer))
     table = (basis * idf[:, None]).astype(np.float32)
@@ -271,7 +272,7 @@ def latent_space(encoded: DataFrame, width: int, rank: int = RANK, seed: int = 7
     values, turn = np.linalg.eigh(summed(encoded, width, (basis.shape[1],) * 2, gram))
     keep = np.argsort(-values)[:rank]
     # Coordinates of unit variance: else the few strongest topics decide every cosine.
-    scale = np.sqrt(np.maximum(values[keep], 1e-6 * values.max()) / max(n, 1))
+    scale = np.sqrt(np.maximum(values[keep], max(1e-6 * values.max(), 1e-12)) / max(n, 1))
     return Space(idf, idf_unknown, ((basis @ turn[:, keep]) / scale * idf[:, None]).astype(np.float32))
 
 
@@ -380,7 +381,7 @@ def _matches(docs: DataFrame, queries: Queries, limits: tuple[float, ...], rank:
         own = Search(*search.value[:2], *search.value[2])
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
         names = ["doc_id", "item_id", "cosine", "item_share", "answer_share", "first_word"]
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", IDS_BYTES):
             if rows := own.matches(Windows(batch.column(1).to_pylist(), own.queries.width), batch.column(0).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
