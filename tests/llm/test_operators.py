@@ -525,7 +525,7 @@ def test_windows_are_the_matrix():
     rows = draw.normal(size=(len(dense), 3)).astype(np.float32)
     assert np.allclose(w.back(rows, 9), a.T @ rows, atol=1e-4)
     idf = draw.random(9)
-    assert np.allclose(w.norms(idf, 2.0) ** 2, ((a * idf) ** 2).sum(1) + [4.0 * np.sum(x < 0) for x in dense])
+    assert np.allclose(w.norms(idf, 2.0) ** 2, ((a * idf) ** 2).sum(1) + [4.0 * np.sum(x < 0) for x in dense], rtol=1e-4)
 
 
 def test_decontamination_odd_rows(spark, odd, none, data):
