@@ -71,11 +71,11 @@ def last_two(trend_rows: DataFrame) -> list[tuple[datetime, float]]:
 def period_change(df: DataFrame, roles: Roles, grain: str, previous: datetime, current: datetime) -> DataFrame:
     """(segment, previous, latest, change) of two periods: one conditional aggregate."""
     at = lambda t: F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    rows = df.where(col(roles.date).isNotNull() & col(roles.dimension).isNotNull())
+    # The lower bound on the bare date column prunes the scan.
+    rows = df.where((col(roles.date) >= at(previous)) & col(roles.dimension).isNotNull())
     if roles.measure:
         rows = rows.where(number(roles.measure).isNotNull())
     rows = rows.select(col(roles.dimension).alias("segment"), bucket(roles.date, grain).alias("period"), *([number(roles.measure).alias("m")] if roles.measure else []))
-    # The lower bound on the bare date column prunes the scan.
     two = rows.where(F.col("period").isin(at(previous), at(current)))
     m = "m" if roles.measure else None
     out = two.groupBy("segment").agg(total(m, F.col("period") == at(previous)).alias("previous"), total(m, F.col("period") == at(current)).alias("latest"))
