@@ -9,7 +9,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lodeline.llm import decontamination, html_extract, jaccard_join, license_scan, packing, quality_rules, toxicity, warc
 from lodeline.llm.common import shared_dir
