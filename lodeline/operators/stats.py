@@ -139,7 +139,7 @@ def mode_share(df: DataFrame, column: str, most_distinct: int = MODE_DISTINCT) -
     """The most common value of a column and its share of present rows; none for
     columns of too many values. Ties go to the smaller value."""
     counts = df.where(present(column, df)).groupBy(shown(column, kinds(df)[column]).alias("value")).agg(F.count("*").alias("rows"))
-    top = counts.agg(F.max_by("value", F.struct("rows", F.lit(0))).alias("any"), F.max("rows").alias("rows"), F.sum("rows").alias("all"), F.count("*").alias("distinct"))
+    top = counts.agg(F.max("rows").alias("rows"), F.sum("rows").alias("all"), F.count("*").alias("distinct"))
     first = counts.groupBy("rows").agg(F.min("value").alias("value")).withColumnRenamed("rows", "r")
     out = top.join(F.broadcast(first.orderBy(F.desc("r")).limit(1)), F.col("rows") == F.col("r"))
     return out.where(F.col("distinct") <= most_distinct).select(F.lit(column).alias("column"), "value", (F.try_divide("rows", "all") * 100).alias("percent"))
