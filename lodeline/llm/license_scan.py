@@ -3,8 +3,10 @@
 A notice of m characters that occurs with at most k edits has, cut into k + 1
 pieces, one piece that occurs unchanged (pigeonhole). An Aho-Corasick machine
 finds these pieces in one walk over a text; only the surroundings of a piece
-go to the fuzzy matcher of the ``regex`` library, which verifies the edits and
-gives the span.
+are compared, with the bit vectors of Myers, which give the edits of every span
+from word boundary to word boundary. All spans within the bound are found; of
+spans of one notice that overlap, the one with fewest edits counts (the first
+of equals), and what doesn't overlap it is reported as well.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower
 case; notices are matched on the words joined by single spaces, from word
@@ -17,6 +19,7 @@ and null ids pass through. Other columns of the input are not read.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -80,16 +83,31 @@ def pieces(phrase: str, edits: int) -> list[tuple[int, str]]:
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def distances(masks: dict[str, int], size: int, text: str, start: int, end: int, anywhere: bool = False) -> Iterator[tuple[int, int]]:
+    """(i, edits between a phrase of ``size`` characters and text[start:i]) for
+    each i after ``start``; ``anywhere``: the least edits over later starts too."""
+    full, top, first = (1 << size) - 1, 1 << (size - 1), 0 if anywhere else 1
+    up, down, edits = full, 0, size
+    for i, c in enumerate(text[start:end], start + 1):
+        same = masks.get(c, 0)
+        either = same | down
+        along = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(along | up)), up & along
+        edits += 1 if more & top else -1 if less & top else 0
+        more = (more << 1) | first
+        up, down = (less << 1 | ~(either | more)) & full, more & either
+        yield i, edits
+
+
 class Scanner:
     """Finds base phrases and fuzzy notices in a text given as UTF-8."""
 
     def __init__(self, notices: tuple[Notice, ...] = NOTICES, base: tuple[tuple[str, str], ...] = BASE_PHRASES):
         import ahocorasick
-        import regex
 
         self.notices = notices
         self.base = [(p.encode().split(), p.encode(), label) for p, label in base]
-        self.found = [regex.compile(rf"(?be)(?:{regex.escape(n.phrase)}){{e<={n.edits}}}") for n in notices]
+        self.masks = [{c: sum(1 << i for i, x in enumerate(n.phrase) if x == c) for c in n.phrase} for n in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, n in enumerate(notices):
             for at, piece in pieces(n.phrase, n.edits):
@@ -115,19 +133,31 @@ class Scanner:
                     own.append((lo, hi))
         return spans
 
+    def spans(self, k: int, text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """(edits, start, end) of the spans of whole words in a window that are within the bound."""
+        n, masks = self.notices[k], self.masks[k]
+        size = len(n.phrase)
+        ends = {i for i in range(lo + 1, hi + 1) if i == len(text) or text[i] == " "}
+        if not any(edits <= n.edits and i in ends for i, edits in distances(masks, size, text, lo, hi, anywhere=True)):
+            return
+        for start in range(lo, hi):
+            if start == 0 or text[start - 1] == " ":
+                for end, edits in distances(masks, size, text, start, min(hi, start + size + n.edits)):
+                    if edits <= n.edits and end in ends:
+                        yield edits, start, end
+
     def matches(self, text: str) -> list[dict]:
         """Verified notices, as spans of the words joined by spaces."""
         out = []
         for k, windows in self.candidates(text).items():
             n = self.notices[k]
-            for lo, hi in windows:
-                pos = lo
-                while m := self.found[k].search(text, pos, hi):
-                    edits = sum(m.fuzzy_counts)
-                    whole = (m.start() == 0 or text[m.start() - 1] == " ") and (m.end() == len(text) or text[m.end()] == " ")
-                    if whole and m.end() > m.start():
-                        out.append({"label": n.label, "start": m.start(), "end": m.end(), "edits": edits, "score": 1 - edits / len(n.phrase)})
-                    pos = max(m.end() if whole else m.start() + 1, pos + 1)
+            taken: list[tuple[int, int]] = []
+            for edits, start, end in sorted({x for lo, hi in windows for x in self.spans(k, text, lo, hi)}):
+                at = bisect(taken, (start, end))
+                if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+                    continue
+                taken.insert(at, (start, end))
+                out.append({"label": n.label, "start": start, "end": end, "edits": edits, "score": 1 - edits / len(n.phrase)})
         return sorted(out, key=lambda x: (x["start"], x["end"], x["label"]))
 
     def scan(self, text: bytes) -> tuple:

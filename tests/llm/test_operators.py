@@ -103,6 +103,49 @@ def test_license_windows_find_what_a_full_search_finds():
             assert any(m["label"] == n.label for m in scanner.matches(text))
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("text,spans", [
+    ("gnu general public licenses", [("gpl", 0, 27, 1)]), ("ggnu general public license", [("gpl", 0, 27, 1)]),
+    ("mozilla public licensee", [("mpl", 0, 23, 1)]), ("under the mit licensed", [("mit", 0, 22, 1)]),
+    ("gnu generl public license or gnu general public license", [("gpl", 0, 25, 1), ("gpl", 29, 55, 0)]),
+])
+def test_license_edits_at_word_boundaries(text, spans):
+    found = license_scan.Scanner().matches(text)
+    assert {tuple(m[c] for c in ("label", "start", "end", "edits")) for m in found} >= set(spans)
+
+
+def test_license_finds_every_aligned_notice_within_the_bound():
+    draw = random.Random(6)
+    notices = license_scan.NOTICES
+    scanners = {n: license_scan.Scanner((n,)) for n in notices}
+    for _ in range(150):
+        n = draw.choice(notices)
+        parts = ["lead"]
+        for _ in range(draw.randint(1, 3)):
+            s = list(n.phrase)
+            for _ in range(draw.randint(0, n.edits + 1)):
+                k = draw.choice((0, len(s) - 1, draw.randrange(len(s))))
+                s[k : k + 1] = draw.choice([[], [draw.choice("aeiou")], [s[k], "x"], ["x", s[k]], [" "]])
+            parts += ["".join(s), *["or"] * draw.randint(0, 1)]
+        text = " ".join(" ".join(parts).split())
+        starts = [0, *(m.end() for m in re.finditer(" ", text))]
+        ends = [*(m.start() for m in re.finditer(" ", text)), len(text)]
+        size = len(n.phrase)
+        every = {(a, b): d for a in starts for b in ends if abs(b - a - size) <= n.edits and (d := levenshtein(n.phrase, text[a:b])) <= n.edits}
+        got = {(m["start"], m["end"]): m["edits"] for m in scanners[n].matches(text)}
+        assert got.items() <= every.items()
+        # Each span within the bound is reported, or one that overlaps it with no more edits.
+        assert all(any(a < end and start < b and e <= d for (start, end), e in got.items()) for (a, b), d in every.items())
+
+
 # Main text.
 
 
