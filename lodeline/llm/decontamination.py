@@ -14,6 +14,13 @@ sentence, or the last quarter of a one-sentence item) a share of that. So
 edited and reordered copies count, and texts that only share common words
 don't.
 
+Items shorter than a window are hardly seen in its cosine, so they are searched
+exactly as well. A document is cut into overlapping stretches of about twice
+the item's words; a copy of up to one and a half times the item's length lies
+whole in one of them. Where a share of an item's n words occurs in order, at
+most (1 - share) n of them are missing, so of the (1 - share) n + t rarest ones
+at least t occur: every stretch with t of these is verified.
+
 Counts, factors and search cover all windows of all documents. The benchmark is
 the stated query set; it is taken in blocks of ``BLOCK_ITEMS`` items, so that
 what is broadcast has a bound.
@@ -45,6 +52,8 @@ RANK, EXTRA = 208, 16
 MAX_TERMS = 1 << 15
 BLOCK_ITEMS = 5_000
 LEAST_WORDS = 8
+#: Short items that the exact search takes at a time.
+SHORT_ITEMS = 512
 #: Bytes of term numbers that a worker takes at a time.
 IDS_BYTES = 1 << 20
 LATENT_COSINE = 0.52
@@ -295,6 +304,45 @@ def masks(ids: np.ndarray) -> dict[int, int]:
     return out
 
 
+class Anchors:
+    """The rarest words of some short items, by term.
+
+    ``need`` of an item's anchors occur wherever ``share`` of its words do.
+    """
+
+    def __init__(self, queries: Queries, numbers: list[int], idf: np.ndarray, share: float):
+        self.half = np.ones(len(queries.items), np.int64)
+        self.need = np.ones(len(queries.items), np.int64)
+        terms, items = [], []
+        for k in numbers:
+            ids = queries.items[k].ids
+            least = max(1, int(np.ceil(share * len(ids) - 1e-9)))
+            self.need[k], self.half[k] = max(1, least // 3), -(-len(ids) // 2)
+            rarest = np.argsort(-idf[ids % queries.width], kind="stable")[: len(ids) - least + self.need[k]]
+            own = np.unique(ids[rarest])
+            terms.append(own)
+            items.append(np.full(len(own), k))
+        term, item = np.concatenate(terms), np.concatenate(items)
+        self.items = item[np.argsort(term, kind="stable")]
+        # One more entry: the words out of the vocabulary have no items.
+        self.count = np.bincount(term, minlength=len(queries.terms) + 1)
+        self.first = np.cumsum(self.count) - self.count
+
+    def stretches(self, w: Windows) -> Iterator[tuple[int, int, int]]:
+        """(document, item, stretch) with enough anchors; a stretch is four halves of the item long and starts at each half."""
+        counts = self.count[w.flat]
+        word = np.repeat(np.arange(len(w.flat)), counts)
+        item = self.items[np.repeat(self.first[w.flat] - (np.cumsum(counts) - counts), counts) + np.arange(len(word))]
+        doc = np.searchsorted(w.first_word, word, "right") - 1
+        half = (word - w.first_word[doc]) // self.half[item]
+        most = int(half.max(initial=0)) + 1
+        pair = (doc * len(self.half) + item) * most
+        keys, found = np.unique(np.concatenate([(pair + half - back)[half >= back] for back in range(4)]), return_counts=True)
+        item = keys // most % len(self.half)
+        live = found >= self.need[item]
+        yield from zip((keys[live] // most // len(self.half)).tolist(), item[live].tolist(), (keys[live] % most).tolist())
+
+
 class Search:
     """Candidate search and verification for one block of queries."""
 
@@ -312,6 +360,8 @@ class Search:
             self.weights.append(dict(zip(term.tolist(), (weight / np.linalg.norm(weight)).tolist())))
         self.rows /= np.maximum(np.linalg.norm(self.rows, axis=1, keepdims=True), 1e-9)
         self.masks = [(masks(i.ids), masks(i.ids[i.answer :])) for i in queries.items]
+        short = [k for k, i in enumerate(queries.items) if len(i.ids) < WINDOW]
+        self.anchors = [Anchors(queries, short[at : at + SHORT_ITEMS], space.idf, item_share) for at in range(0, len(short), SHORT_ITEMS)]
 
     def candidates(self, w: Windows) -> Iterator[tuple[int, np.ndarray]]:
         """(window, pieces) that are close in the latent space."""
@@ -351,6 +401,21 @@ class Search:
                 cosine = max(self.exact(w, window, ids, p) for p in pieces[self.of[pieces] == item].tolist())
                 if in_answer >= self.answer_share and cosine >= self.cosine:
                     best[doc, item] = (doc_ids[doc], q.item_id, cosine, share, in_answer, int(start - lo))
+        for anchors in self.anchors:
+            for doc, item, stretch in anchors.stretches(w):
+                q, half = self.queries.items[item], int(anchors.half[item])
+                size, answer = len(q.ids), len(q.ids) - q.answer
+                lo, hi = int(w.first_word[doc]), int(w.first_word[doc + 1])
+                start = lo + stretch * half
+                region = w.flat[start : min(hi, start + 4 * half)]
+                share = common_length(self.masks[item][0], region, size) / size
+                if share < self.item_share or (doc, item) in best and best[doc, item][3] >= share:
+                    continue
+                in_answer = common_length(self.masks[item][1], region, answer) / answer
+                piece = int(np.searchsorted(self.of, item))  # a short item has one
+                cosine, at = max((self.exact(w, 0, region[k : k + size], piece), -k) for k in range(max(1, len(region) - size + 1)))
+                if in_answer >= self.answer_share and cosine >= self.cosine:
+                    best[doc, item] = (doc_ids[doc], q.item_id, cosine, share, in_answer, start - at - lo)
         return list(best.values())
 
 

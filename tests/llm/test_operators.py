@@ -541,6 +541,40 @@ def test_leaks(spark, data):
     assert left == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_short_and_edited_items(spark):
+    """Copies of items of 8 to 31 words, as they are and with a quarter of the words replaced."""
+    draw = random.Random(9)
+    words = decontamination.word_list
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").limit(400)
+    rows = [(r["doc_id"], " ".join(r["text"].split())) for r in docs.collect()]
+    hosts = [(d, t.split()) for d, t in rows if len(t.split()) > 80 and "|" not in t and len(words(t)) == len(t.split())]
+    benchmark, copies = [], set()
+    for k, n in enumerate([8] * 40 + [9, 10, 12, 16, 24, 31] * 10):
+        d, host = hosts[k % len(hosts)]
+        at = draw.choice([j for j in range(len(host) - n) if all(len(words(x)) == 1 for x in host[j : j + n])])
+        item = host[at : at + n]
+        benchmark.append((k, " ".join(item)))
+        copies.add((d, k))
+        where = draw.sample(range(n), n // 4)
+        other = draw.choice(hosts)[1]
+        cut = draw.randrange(len(other))
+        rows.append((100_000 + k, " ".join(other[:cut] + ["changed" if j in where else x for j, x in enumerate(item)] + other[cut:])))
+        answer = set(range(decontamination.Queries.of(benchmark[-1:]).items[0].answer, n))
+        if len(answer - set(where)) >= 0.5 * len(answer):
+            copies.add((100_000 + k, k))
+    more = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").selectExpr("item_id + 1000", "text")
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(table, spark.createDataFrame(benchmark, "item_id long, text string").unionAll(more)).where("item_id < 1000").collect()}
+    assert copies <= got, f"{len(copies & got)} of {len(copies)} found"
+    texts = dict(rows)
+    for d, k in got - copies:  # nothing but what has most of the item in order
+        terms = {}
+        ids = np.array([terms.setdefault(x, len(terms)) for x in words(benchmark[k][1])])
+        own = decontamination.common_length(decontamination.masks(ids), np.array([terms.get(x, -1) for x in words(texts[d])]), len(ids))
+        assert own >= 0.6 * len(ids)
+    print(f"{len(copies & got)} of {len(copies)} copies, {len(got - copies)} other pairs")
+
+
 def test_longest_common_subsequence():
     draw = random.Random(8)
     for _ in range(200):
