@@ -4,11 +4,14 @@ The standard library's parser streams the events of a page. Blocks become
 lines; each line has its characters over its tags. A Gaussian smooths these
 ratios along the page, and lines above the threshold (their standard
 deviation) form the content clusters. The clusters choose the content region:
-the article or main element with most clustered text, or, on pages without
-one, the smallest container that holds most of it. The region's lines are the
-text, short ones included, without the parts that are no article by their
+the article element with most clustered text, or the main element where more
+than half of its clustered text is outside that article. On pages without one,
+all clustered lines and what lies between them are the content, with the short
+lines beside them in their containers and the headings before them. The
+region's lines are the text, short ones included, without the parts that are no article by their
 element or by their class, id or role (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts, styles).
+notices, adverts, forms, comments, scripts, styles). A compound name as
+"no-sidebar" or "comments-open" says nothing of the part unless all its words do.
 
 Defined results: null or empty html, and pages without content, give an empty
 text. Character references are decoded as browsers do. Broken nesting is
@@ -42,16 +45,28 @@ NO_ARTICLE = frozenset(
 )
 READERS = frozenset("comment comments disqus respond reply replies responses discussion".split())
 HEADERS = frozenset("header masthead".split())
+#: Words that leave the meaning of a compound name to its other words ("site-footer").
+PLAIN = frozenset("site page main global entry post article blog top bottom left right primary secondary box bar block area section wrap wrapper container inner outer list item items link links button buttons slot unit form".split())
 
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Line:
-    __slots__ = ("parts", "tags", "links", "inside", "live")
+    __slots__ = ("parts", "tags", "links", "inside", "live", "heading")
 
-    def __init__(self, inside: tuple[int, ...], live: bool):
+    def __init__(self, inside: tuple[int, ...], live: bool, heading: bool = False):
         self.parts: list[str] = []
-        self.tags, self.links, self.inside, self.live = 0, 0, inside, live
+        self.tags, self.links, self.inside, self.live, self.heading = 0, 0, inside, live, heading
+
+
+def part_words(names: str) -> set[str]:
+    """Words of class, id or role names that tell a part of the page."""
+    out: set[str] = set()
+    for name in names.split():
+        words = {w.lower() for w in _TOKENS.findall(name) if len(w) > 1}
+        if (known := words - PLAIN) <= NO_ARTICLE | READERS | HEADERS:
+            out |= known
+    return out
 
 
 class Page(HTMLParser):
@@ -74,10 +89,10 @@ class Page(HTMLParser):
         if self.line.parts:
             self.lines.append(self.line)
         state = self.state()
-        self.line = Line(tuple(n for _, n, _ in self.open), not state or (state == "header" and self.heading > 0))
+        self.line = Line(tuple(n for _, n, _ in self.open), not state or (state == "header" and self.heading > 0), self.heading > 0)
 
     def own_state(self, tag: str, attrs: dict[str, str | None]) -> str:
-        words = {w.lower() for k in ("class", "id", "role") for w in _TOKENS.findall(attrs.get(k) or "")}
+        words = part_words(" ".join(attrs.get(k) or "" for k in ("class", "id", "role")))
         style = (attrs.get("style") or "").replace(" ", "").lower()
         if words & READERS:
             return "readers"
@@ -184,29 +199,42 @@ def extract(html: str) -> tuple[str, int, int]:
         if c:
             for k in line.inside:
                 mass[k] = mass.get(k, 0) + n
-    for kinds in (("article",), ("main",)):
-        if found := [k for k in mass if page.kinds[k] in kinds]:
-            region = max(found, key=lambda k: (mass[k], -k))
-            keep = [x.live and region in x.inside for x in lines]
-            break
+    best = {kind: max((k for k in mass if page.kinds[k] == kind), key=lambda k: (mass[k], -k), default=None) for kind in ("article", "main")}
+    region, wider = best["article"], best["main"]
+    if region is None or wider is not None and 2 * mass[region] < mass[wider]:
+        region = wider
+    if region is not None:
+        keep = [x.live and region in x.inside for x in lines]
     else:
-        keep = _without_article(lines, sizes, content, mass)
+        keep = _without_article(lines, sizes, content, page.kinds)
     chosen = [t for t, k in zip(texts, keep) if k]
     return " ".join(chosen), len(lines), len(chosen)
 
 
-def _without_article(lines: list[Line], sizes: list[int], content: list[bool], mass: dict[int, int]) -> list[bool]:
-    """No article or main element: the smallest container with most of the
-    clustered text, from its first clustered line (or heading run before it) to its last."""
-    total = sum(n for n, c in zip(sizes, content) if c)
-    held = [k for k in mass if mass[k] >= 0.7 * total]
-    region = max(held, default=None)  # later containers lie deeper
-    linked = [x.links >= 0.5 * n for x, n in zip(lines, sizes)]
-    inside = [x.live and not li and (region is None or region in x.inside) for x, li in zip(lines, linked)]
-    marks = [i for i, (a, c) in enumerate(zip(inside, content)) if a and c]
+def _without_article(lines: list[Line], sizes: list[int], content: list[bool], kinds: list[str]) -> list[bool]:
+    """No article or main element: from the first clustered line to the last,
+    with the lines beside them in their containers and the heading run before."""
+    usable = [x.live and x.links < 0.5 * n for x, n in zip(lines, sizes)]
+    marks = [i for i, (a, c) in enumerate(zip(usable, content)) if a and c]
     if not marks:
         return [False] * len(lines)
-    return [a and marks[0] <= i <= marks[-1] for i, a in enumerate(inside)]
+
+    def beside(i: int, mark: int) -> bool:
+        own, other = lines[i].inside, lines[mark].inside
+        return own[: len(other)] == other or bool(own) and own[-1] in other and kinds[own[-1]] not in ("html", "body")
+
+    start, end = marks[0], marks[-1]
+    while start and usable[start - 1] and beside(start - 1, marks[0]):
+        start -= 1
+    # Headings, with what stands between them and the text (a byline).
+    at = start
+    while at and usable[at - 1]:
+        at -= 1
+        if lines[at].heading:
+            start = at
+    while end + 1 < len(lines) and usable[end + 1] and beside(end + 1, marks[-1]):
+        end += 1
+    return [a and start <= i <= end for i, a in enumerate(usable)]
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -178,6 +178,22 @@ def test_html_without_article():
     assert "Short." in text and text.count("good number") == 6 and "Home" not in text and "(c)" not in text
 
 
+SENTENCE = "A sentence with a good number of words in it, so that it is content."
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<body><div><p>{SENTENCE * 4}</p><blockquote><p>{SENTENCE * 13}</p></blockquote></div></body>", f"{SENTENCE * 4} {SENTENCE * 13}"),
+    (f"<body><div class='content no-sidebar'><p>{SENTENCE}</p></div><div class='site-footer'>{SENTENCE}</div></body>", SENTENCE),
+    (f"<body class='comments-open'><p>{SENTENCE}</p></body>", SENTENCE),
+    (f"<main><p>{SENTENCE * 9}</p><article><p>{SENTENCE}</p></article></main>", f"{SENTENCE * 9} {SENTENCE}"),
+    (f"<main><article><p>{SENTENCE * 9}</p></article><p>{SENTENCE}</p></main>", SENTENCE * 9),
+    (f"<body><ul><li><a href=x>Home page of the site</a></li></ul><h1>T</h1><p>By me</p><h2>U</h2><div>{''.join(f'<p>{SENTENCE * 9}</p>' for _ in range(4))}</div></body>", " ".join(["T By me U", *[SENTENCE * 9] * 4])),
+    (f"<body><div>{''.join(f'<p>{SENTENCE * 9}</p>' for _ in range(4))}<p>a</p><p>b</p><p>c</p><p>d</p></div><p>e</p></body>", " ".join([*[SENTENCE * 9] * 4, "a b c d"])),
+])
+def test_html_keeps_the_whole_article(html, text):
+    assert html_extract.extract(html)[0] == text
+
+
 def test_html_odd_rows(spark):
     rows = [(1, None, None), (1, "u", "<article>x</article>"), (None, "u", LONG), (2, "u", "<b" * 1000)]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
