@@ -39,15 +39,11 @@ def validate(spark: SparkSession, path: str) -> str:
     return suffix
 
 
-def encoding_of(sample: bytes) -> str:
-    """UTF-8 where the sample decodes as it (a cut last character aside), else Latin-1."""
-    for cut in range(4):
-        try:
-            sample[: len(sample) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError:
-            pass
-    return "ISO-8859-1"
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 where every line of the file is valid in it, else Latin-1."""
+    # Line ends are single bytes in both, so lines can be tested apart.
+    lines = spark.read.text(path)
+    return "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
 
 
 def delimiter_of(text: str) -> str:
@@ -62,9 +58,9 @@ def delimiter_of(text: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; typing belongs to cleaning. One scan, no inference."""
+    """All columns as text; typing belongs to cleaning. One scan for the encoding, one for the rows."""
     sample = head(spark, path, 1 << 20)
-    encoding = encoding_of(sample)
+    encoding = encoding_of(spark, path)
     text = sample.decode(encoding, "replace").removeprefix("﻿")
     delimiter = delimiter_of(text[:SAMPLE])
     header = next(csv.reader(text.splitlines(), delimiter=delimiter), [])

@@ -63,6 +63,27 @@ def test_csv_cells(spark, tmp_path):
     assert tuple(rows[0]) == ("José", "01234", 'two\nlines, "quoted"') and tuple(rows[1]) == (None, None, "x")
 
 
+@pytest.mark.parametrize("encoding", ["latin-1", "utf-8"])
+def test_csv_encoding_is_decided_over_the_whole_file(spark, tmp_path, encoding):
+    path = tmp_path / "t.csv"
+    path.write_bytes(("name,code\n" + "plain words,1\n" * 100_000 + "José,2\nMüller,3\n").encode(encoding))
+    assert path.stat().st_size > 1 << 20
+    rows = tabular.read_table(spark, str(path)).where("code <> '1'").collect()
+    assert sorted(r["name"] for r in rows) == ["José", "Müller"]
+
+
+@pytest.mark.parametrize("raw", [b"ok", "ü漢😀".encode(), b"\xc3", b"a\xc3\nb", b"\xed\xa0\x80", b"\xc0\xaf", b"\xf4\x90\x80\x80", b"\xe9\r\n", b"\xef\xbb\xbfx"])
+def test_encoding_equals_a_whole_decode(spark, tmp_path, raw):
+    path = tmp_path / "t.csv"
+    path.write_bytes(b"a,b\n" + raw)
+    try:
+        (b"a,b\n" + raw).decode("utf-8")
+        want = "UTF-8"
+    except UnicodeDecodeError:
+        want = "ISO-8859-1"
+    assert tabular.encoding_of(spark, str(path)) == want
+
+
 def test_workbooks(spark, tmp_path):
     one = workbook(tmp_path / "two.xlsx", {"Sales": [["Region", "Revenue", "Order Date"], ["West", 1200, datetime(2024, 1, 2)], ["East", 900.5, None]], "Operations": [["Team", "Tickets"], ["A", 3]]})
     assert tabular.list_sheets(spark, one) == ["Sales", "Operations"]
