@@ -28,8 +28,8 @@ what is broadcast has a bound.
 Words are runs of letters, digits and non-ASCII characters in lower case.
 
 Defined results: null or empty texts and items have no words and match nothing.
-Items of fewer than ``LEAST_WORDS`` words are not searched: so few words are in
-clean texts too. Repeated rows give equal matches once per (doc_id, item_id).
+Items of fewer than ``LEAST_WORDS`` words match where all their words follow one
+another, as edits of so few words are in clean texts too. Repeated rows give equal matches once per (doc_id, item_id).
 A null doc_id or item_id has no name to report and is left out of the matches.
 Empty tables give an empty result.
 """
@@ -38,7 +38,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -82,18 +82,22 @@ class Queries:
 
     items: list[Item]
     terms: dict[bytes, int]
+    #: Items of fewer than LEAST_WORDS words.
+    tiny: list[Item] = field(default_factory=list)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Queries:
-        items, terms = [], {}
+        items, terms, tiny = [], {}, []
         for item_id, text in rows:
             words = word_list(text)
             if len(words) < LEAST_WORDS:
+                if words:
+                    tiny.append(Item(item_id, np.array([terms.setdefault(w, len(terms)) for w in words], np.int32), 0))
                 continue
             sentences = [n for s in re.split(r"(?<=[.!?])\s+", text) if (n := len(word_list(s)))]
             last = sentences[-1] if len(sentences) > 1 and sentences[-1] >= 3 else max(3, len(words) // 4)
             items.append(Item(item_id, np.array([terms.setdefault(w, len(terms)) for w in words], np.int32), len(words) - last))
-        return cls(items, terms)
+        return cls(items, terms, tiny)
 
     @property
     def width(self) -> int:
@@ -304,6 +308,42 @@ def masks(ids: np.ndarray) -> dict[int, int]:
     return out
 
 
+def occurrences(flat: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, entry) for the ``count`` entries of each word's term that begin at ``first``."""
+    counts = count[flat]
+    word = np.repeat(np.arange(len(flat)), counts)
+    return word, np.repeat(first[flat] - (np.cumsum(counts) - counts), counts) + np.arange(len(word))
+
+
+class Sequences:
+    """Items of fewer than LEAST_WORDS words, by the term of their rarest word."""
+
+    def __init__(self, queries: Queries, idf: np.ndarray):
+        self.sizes = np.array([len(i.ids) for i in queries.tiny], np.int64)
+        self.ids = np.full((len(queries.tiny), LEAST_WORDS), -2, np.int32)
+        for k, i in enumerate(queries.tiny):
+            self.ids[k, : len(i.ids)] = i.ids
+        self.place = np.array([int(np.argmax(idf[i.ids % queries.width])) for i in queries.tiny], np.int64)
+        term = self.ids[np.arange(len(self.place)), self.place]
+        self.items = np.argsort(term, kind="stable")
+        self.count = np.bincount(term, minlength=len(queries.terms) + 1)
+        self.first = np.cumsum(self.count) - self.count
+
+    def found(self, w: Windows) -> Iterator[tuple[int, int, int]]:
+        """(document, item, place of its first word) for each place where all words of an item follow one another."""
+        word, entry = occurrences(w.flat, self.count, self.first)
+        item = self.items[entry]
+        doc = np.searchsorted(w.first_word, word, "right") - 1
+        start = word - self.place[item]
+        live = (start >= w.first_word[doc]) & (start + self.sizes[item] <= w.first_word[doc + 1])
+        item, doc, start = item[live], doc[live], start[live]
+        same = np.ones(len(item), bool)
+        for k in range(LEAST_WORDS - 1):
+            inside = k < self.sizes[item]
+            same &= ~inside | (w.flat[np.minimum(start + k, len(w.flat) - 1)] == self.ids[item, k])
+        yield from zip(doc[same].tolist(), item[same].tolist(), (start - w.first_word[doc])[same].tolist())
+
+
 class Anchors:
     """The rarest words of some short items, by term.
 
@@ -330,9 +370,8 @@ class Anchors:
 
     def stretches(self, w: Windows) -> Iterator[tuple[int, int, int]]:
         """(document, item, stretch) with enough anchors; a stretch is four halves of the item long and starts at each half."""
-        counts = self.count[w.flat]
-        word = np.repeat(np.arange(len(w.flat)), counts)
-        item = self.items[np.repeat(self.first[w.flat] - (np.cumsum(counts) - counts), counts) + np.arange(len(word))]
+        word, entry = occurrences(w.flat, self.count, self.first)
+        item = self.items[entry]
         doc = np.searchsorted(w.first_word, word, "right") - 1
         half = (word - w.first_word[doc]) // self.half[item]
         most = int(half.max(initial=0)) + 1
@@ -362,6 +401,7 @@ class Search:
         self.masks = [(masks(i.ids), masks(i.ids[i.answer :])) for i in queries.items]
         short = [k for k, i in enumerate(queries.items) if len(i.ids) < WINDOW]
         self.anchors = [Anchors(queries, short[at : at + SHORT_ITEMS], space.idf, item_share) for at in range(0, len(short), SHORT_ITEMS)]
+        self.sequences = Sequences(queries, space.idf) if queries.tiny else None
 
     def candidates(self, w: Windows) -> Iterator[tuple[int, np.ndarray]]:
         """(window, pieces) that are close in the latent space."""
@@ -416,6 +456,8 @@ class Search:
                 cosine, at = max((self.exact(w, 0, region[k : k + size], piece), -k) for k in range(max(1, len(region) - size + 1)))
                 if in_answer >= self.answer_share and cosine >= self.cosine:
                     best[doc, item] = (doc_ids[doc], q.item_id, cosine, share, in_answer, start - at - lo)
+        for doc, item, start in self.sequences.found(w) if self.sequences else ():
+            best.setdefault((doc, -1 - item), (doc_ids[doc], self.queries.tiny[item].item_id, 1.0, 1.0, 1.0, start))
         return list(best.values())
 
 
@@ -436,7 +478,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, latent_cosine: float = L
 
 def _matches(docs: DataFrame, queries: Queries, limits: tuple[float, ...], rank: int) -> DataFrame:
     spark = docs.sparkSession
-    if not queries.items:
+    if not queries.items and not queries.tiny:
         return spark.createDataFrame([], MATCHES)
     encoded = written(encode(docs, queries), "encoded")
     space = latent_space(encoded, queries.width, rank)

@@ -591,6 +591,14 @@ def test_short_and_edited_items(spark):
     print(f"{len(copies & got)} of {len(copies)} copies, {len(got - copies)} other pairs")
 
 
+@pytest.mark.parametrize("more", [[], [(9, "an item that is long enough for the search of windows")]])
+def test_items_of_a_few_words(spark, more):
+    benchmark = spark.createDataFrame([(1, "Who wrote Faust?"), (2, "name the the capital"), (3, "one"), (4, "x y z a b c d"), *more], "item_id long, text string")
+    rows = [(1, "and who  wrote: faust, she asked"), (2, "who wrote the faust"), (3, "Who wrote"), (4, "faust?"), (5, "name the the capital"), (6, "name the capital"), (7, "two one"), (8, "0 x y z a b c d"), (9, "x y z a b c"), (10, "d x y z a b c")]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["first_word"]) for r in got) == [(1, 1, 1), (5, 2, 0), (7, 3, 1), (8, 4, 1)]
+
+
 def test_longest_common_subsequence():
     draw = random.Random(8)
     for _ in range(200):
