@@ -10,9 +10,11 @@ Windows and pieces of benchmark items meet in the latent space; a window whose
 cosine with a piece reaches the threshold is a candidate. Candidates are
 verified on the words around the window: the longest common subsequence with
 the item must cover a share of the item, and one with its answer (the last
-sentence, or the last quarter of a one-sentence item) a share of that. So
-edited and reordered copies count, and texts that only share common words
-don't.
+sentence, or the last quarter of a one-sentence item) a share of that. Where an
+item's sentences are in another order, the subsequences with its sentences are
+summed, but no more than the words that item and surroundings share, each as
+often as both have it. So edited copies and copies with reordered sentences
+count, and texts that only share common words don't.
 
 Items shorter than a window are hardly seen in its cosine, so they are searched
 exactly as well. A document is cut into overlapping stretches of about twice
@@ -37,6 +39,7 @@ Empty tables give an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -74,6 +77,7 @@ class Item:
     item_id: int
     ids: np.ndarray
     answer: int  # position of the answer's first word
+    sentences: tuple[int, ...] = ()  # words of each sentence
 
 
 @dataclass
@@ -96,7 +100,7 @@ class Queries:
                 continue
             sentences = [n for s in re.split(r"(?<=[.!?])\s+", text) if (n := len(word_list(s)))]
             last = sentences[-1] if len(sentences) > 1 and sentences[-1] >= 3 else max(3, len(words) // 4)
-            items.append(Item(item_id, np.array([terms.setdefault(w, len(terms)) for w in words], np.int32), len(words) - last))
+            items.append(Item(item_id, np.array([terms.setdefault(w, len(terms)) for w in words], np.int32), len(words) - last, tuple(sentences)))
         return cls(items, terms, tiny)
 
     @property
@@ -308,6 +312,26 @@ def masks(ids: np.ndarray) -> dict[int, int]:
     return out
 
 
+class Wording:
+    """An item's words or its last ones, with the ends of the sentences in them."""
+
+    def __init__(self, ids: np.ndarray, sentences: tuple[int, ...]):
+        self.size, self.mask, self.words = len(ids), masks(ids), Counter(ids.tolist())
+        starts = (len(ids) - np.cumsum(sentences[::-1], dtype=np.int64)[::-1]).clip(0) if sentences else np.zeros(0, np.int64)
+        cuts = np.unique([0, *starts.tolist(), len(ids)]).tolist()
+        self.parts = [(masks(ids[a:b]), b - a) for a, b in zip(cuts, cuts[1:])] if len(cuts) > 2 else []
+
+    def share(self, region: np.ndarray, least: float) -> float:
+        """Share of the words that the region has in order or, where that is below ``least``, in order by sentence."""
+        most = common_length(self.mask, region, self.size)
+        if self.parts and most < least * self.size:
+            here = Counter(region.tolist())
+            both = sum(min(n, here[x]) for x, n in self.words.items())
+            if both >= least * self.size:
+                most = max(most, min(both, sum(common_length(m, region, n) for m, n in self.parts)))
+        return most / self.size
+
+
 def occurrences(flat: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, entry) for the ``count`` entries of each word's term that begin at ``first``."""
     counts = count[flat]
@@ -398,7 +422,8 @@ class Search:
             self.rows[k] = count @ space.vectors[term]
             self.weights.append(dict(zip(term.tolist(), (weight / np.linalg.norm(weight)).tolist())))
         self.rows /= np.maximum(np.linalg.norm(self.rows, axis=1, keepdims=True), 1e-9)
-        self.masks = [(masks(i.ids), masks(i.ids[i.answer :])) for i in queries.items]
+        self.whole = [Wording(i.ids, i.sentences) for i in queries.items]
+        self.answers = [Wording(i.ids[i.answer :], i.sentences) for i in queries.items]
         short = [k for k, i in enumerate(queries.items) if len(i.ids) < WINDOW]
         self.anchors = [Anchors(queries, short[at : at + SHORT_ITEMS], space.idf, item_share) for at in range(0, len(short), SHORT_ITEMS)]
         self.sequences = Sequences(queries, space.idf) if queries.tiny else None
@@ -432,26 +457,26 @@ class Search:
             ids = w.flat[start : min(hi, start + WINDOW)]
             for item in np.unique(self.of[pieces]).tolist():
                 q = self.queries.items[item]
-                size, answer = len(q.ids), len(q.ids) - q.answer
+                size = len(q.ids)
                 region = w.flat[max(lo, start - size) : min(hi, start + WINDOW + size)]
-                share = common_length(self.masks[item][0], region, size) / size
+                share = self.whole[item].share(region, self.item_share)
                 if share < self.item_share or (doc, item) in best and best[doc, item][3] >= share:
                     continue
-                in_answer = common_length(self.masks[item][1], region, answer) / answer
+                in_answer = self.answers[item].share(region, self.answer_share)
                 cosine = max(self.exact(w, window, ids, p) for p in pieces[self.of[pieces] == item].tolist())
                 if in_answer >= self.answer_share and cosine >= self.cosine:
                     best[doc, item] = (doc_ids[doc], q.item_id, cosine, share, in_answer, int(start - lo))
         for anchors in self.anchors:
             for doc, item, stretch in anchors.stretches(w):
                 q, half = self.queries.items[item], int(anchors.half[item])
-                size, answer = len(q.ids), len(q.ids) - q.answer
+                size = len(q.ids)
                 lo, hi = int(w.first_word[doc]), int(w.first_word[doc + 1])
                 start = lo + stretch * half
                 region = w.flat[start : min(hi, start + 4 * half)]
-                share = common_length(self.masks[item][0], region, size) / size
+                share = self.whole[item].share(region, self.item_share)
                 if share < self.item_share or (doc, item) in best and best[doc, item][3] >= share:
                     continue
-                in_answer = common_length(self.masks[item][1], region, answer) / answer
+                in_answer = self.answers[item].share(region, self.answer_share)
                 piece = int(np.searchsorted(self.of, item))  # a short item has one
                 cosine, at = max((self.exact(w, 0, region[k : k + size], piece), -k) for k in range(max(1, len(region) - size + 1)))
                 if in_answer >= self.answer_share and cosine >= self.cosine:

@@ -591,6 +591,19 @@ def test_short_and_edited_items(spark):
     print(f"{len(copies & got)} of {len(copies)} copies, {len(got - copies)} other pairs")
 
 
+def test_reordered_sentences(spark, docs):
+    a, b = "One two three four five six seven eight nine ten.", "Red green blue white black grey pink brown gold lime."
+    given = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").selectExpr("item_id + 10 item_id", "text")
+    several = [(k, s) for k, t in given.collect() if len(s := re.split(r"(?<=[.!?])\s+", t)) > 1]
+    benchmark = spark.createDataFrame([(1, f"{a} {b}")], "item_id long, text string").unionAll(given)
+    rows = [(1, f"before {b} {a} after"), (2, f"before {a} after {a}"), (3, " ".join(reversed(f"{a} {b}".split())))]
+    rows += [(k, f"before {' '.join(reversed(s))} after") for k, s in several]
+    table = spark.createDataFrame(rows, "doc_id long, text string").unionAll(docs.selectExpr("doc_id + 100000", "text")).coalesce(2)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(table, benchmark).where("doc_id < 100000").collect()}
+    want = {(1, 1), *((k, k) for k, _ in several)}
+    assert got == want, f"{len(want & got)} of {len(want)} found, {len(got - want)} others"
+
+
 @pytest.mark.parametrize("more", [[], [(9, "an item that is long enough for the search of windows")]])
 def test_items_of_a_few_words(spark, more):
     benchmark = spark.createDataFrame([(1, "Who wrote Faust?"), (2, "name the the capital"), (3, "one"), (4, "x y z a b c d"), *more], "item_id long, text string")
