@@ -72,7 +72,10 @@ def texts_of(column: pa.Array) -> pa.Array:
     """The column as strings, nulls as empty strings."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()) if len(column) else pa.array([], pa.large_string())
+    if not len(column):
+        return pa.array([], pa.large_string())
+    # A copy whose offsets begin at 0: kernels damage texts of a slice that was cast as it is.
+    column = column.take(pa.array(np.arange(len(column)))).cast(pa.large_string())
     return column.fill_null("") if column.null_count else column
 
 
