@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import written
+from lodeline.llm.common import shipped, written
 
 # States, legal successions, other names of roles, costs.
 ROLES = ("system", "user", "assistant")
@@ -248,7 +248,7 @@ _OUT = {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "new_rol
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """A row for each turn: its new role, what was done, and its rendered part."""
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    turns = shipped(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     turns = turns.withColumn("stretch", F.floor(F.coalesce("turn", F.lit(-1)) / STRETCH))
     named = turns.where("conv_id IS NOT NULL")
     way = paths(written(stretch_tables(named), "tables"))

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import dropped, slices, written
+from lodeline.llm.common import dropped, shipped, slices, written
 
 WINDOW, STRIDE, PIECE_STEP = 32, 16, 4
 RANK, EXTRA = 208, 16
@@ -136,7 +136,7 @@ def encode(docs: DataFrame, queries: Queries) -> DataFrame:
             ids = [np.fromiter((get(w, -1) for w in word_list(t)), np.int32).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) i", "cast(text as string) t").where("i IS NOT NULL").mapInArrow(run, "doc_id long, ids binary")
+    return shipped(docs).selectExpr("cast(doc_id as long) i", "cast(text as string) t").where("i IS NOT NULL").mapInArrow(run, "doc_id long, ids binary")
 
 
 class Windows:

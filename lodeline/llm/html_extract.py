@@ -30,7 +30,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodeline.llm.common import slices
+from lodeline.llm.common import shipped, slices
 
 SCHEMA = "page_id long, url string, text string, n_chars long, n_lines long, n_content_lines long"
 
@@ -248,4 +248,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 ["page_id", "url", "text", "n_chars", "n_lines", "n_content_lines"],
             )
 
-    return pages.selectExpr(f"cast(`{id_col}` as long) i", f"cast(`{url_col}` as string) u", f"cast(`{html_col}` as string) h").mapInArrow(run, SCHEMA)
+    return shipped(pages).selectExpr(f"cast(`{id_col}` as long) i", f"cast(`{url_col}` as string) u", f"cast(`{html_col}` as string) h").mapInArrow(run, SCHEMA)

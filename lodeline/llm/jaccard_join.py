@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import SLICE_BYTES, dropped, hash_words, slices, split_words, texts_of, written
+from lodeline.llm.common import SLICE_BYTES, dropped, hash_words, shipped, slices, split_words, texts_of, written
 from lodeline.llm.components import components
 
 #: Sizes up to which enumeration is ever considered.
@@ -124,7 +124,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sampled: float) -> D
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), signed(f1), signed(f2), pa.array(inner, pa.int32()), elements], ["doc_id", "n", "f1", "f2", "inner", "elements"])
 
-    return docs.selectExpr("cast(doc_id as long) i", "cast(text as string) t").mapInArrow(run, SIGNATURES)
+    return shipped(docs).selectExpr("cast(doc_id as long) i", "cast(text as string) t").mapInArrow(run, SIGNATURES)
 
 
 def subset_rows(num: int, den: int, s: int) -> int:
@@ -236,8 +236,14 @@ def across_components(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def across_links(lists: DataFrame, of: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """Pairs of a list whose members lie in different provisional components.
+def across_rows(lists: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of lists whose members lie in different provisional components; a written table."""
+    rows = labelled(lists, of)
+    return written(rows.join(spread_elements(rows), "element"), "across")
+
+
+def across_links(rows: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """Pairs of a list, from ``across_rows``, in different components.
 
     A linked pair has a first common element, and what follows it in both sets
     must hold the common elements needed (position filter). The smaller set of
@@ -245,8 +251,6 @@ def across_links(lists: DataFrame, of: DataFrame, num: int, den: int, most: int)
     tests run on summaries by component and size before members are paired, so
     that a component with many members in a list costs one row for each size.
     """
-    rows = labelled(lists, of)
-    rows = written(rows.join(spread_elements(rows), "element"), "across")
     early = f"n - pos >= {needed(num, den, 'n', 'n')}"
     larger = rows.groupBy("element", "c", "n").agg(F.min("pos").alias("pos")).select("element", F.col("c").alias("c_1"), F.col("n").alias("n_1"), F.col("pos").alias("pos_1"))
     smaller = rows.where(early).groupBy("element", "c", "n").agg(F.min("pos").alias("pos")).select("element", F.col("c").alias("c_2"), F.col("n").alias("n_2"), F.col("pos").alias("pos_2"))
@@ -336,11 +340,14 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, sam
     again = across_components(hub_links(finer, num, den), provisional)
     near = near.unionAll(verified(again, docs, n, num, den, "again"))
     provisional = components(near, "provisional")
-    far = verified(across_links(finer, provisional, num, den, most), docs, n, num, den, "far")
+    spread = across_rows(finer, provisional)
+    far = verified(across_links(spread, num, den, most), docs, n, num, den, "far")
+    dropped(lists, rest, finer, spread)
 
     # Rows of one id in several classes tie these classes.
     of = filled.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "rep")
-    tied = of.distinct().groupBy("doc_id").agg(F.min("rep").alias("b"), F.count("*").alias("m"), F.collect_set("rep").alias("all")).where("m > 1").select(F.explode("all").alias("a"), "b").where("a <> b")
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b < most").drop("most")
+    tied = of.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     final = components(near.unionAll(far).unionAll(tied), "final")
     by_class = classes.join(final, classes["rep"] == final["node"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     # A node's component is the smallest representative; representatives are the smallest ids of their classes.

@@ -27,7 +27,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodeline.llm.common import slices
+from lodeline.llm.common import shipped, slices
 
 # The base phrases and their labels.
 BASE_PHRASES = (
@@ -195,4 +195,4 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, id_col
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"],
             )
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) i", f"cast(`{text_col}` as string) t").mapInArrow(run, SCHEMA)
+    return shipped(docs).selectExpr(f"cast(`{id_col}` as long) i", f"cast(`{text_col}` as string) t").mapInArrow(run, SCHEMA)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import slices, written
+from lodeline.llm.common import shipped, slices, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -109,7 +109,7 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABU
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.selectExpr("cast(doc_id as long) i", "cast(text as string) t").mapInArrow(run, PIECES)
+    return shipped(docs).selectExpr("cast(doc_id as long) i", "cast(text as string) t").mapInArrow(run, PIECES)
 
 
 class Rooms:

@@ -13,8 +13,10 @@ document is 1, or 2 where the log-odds mass of its words is at least the median
 over toxic documents.
 
 The fit takes at most ``max_labels`` labelled documents, those with the
-smallest hash of the id (a documented bound); it runs on the driver over their
-sparse features. Scoring covers every document and its whole text in one map.
+smallest hash of the id (a documented bound), with their whole texts. Features
+are counted and chosen on the executors; the driver fits the weights on sparse
+counts of the chosen ones. Scoring covers every document and its whole text in
+one map.
 
 Defined results: a null text counts as empty and has the severity of no
 feature. Without toxic or without clean labels nothing is rejected. Documents
@@ -33,11 +35,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import slices, texts_of
+from lodeline.llm.common import dropped, shipped, slices, texts_of, written
 
 MAX_LABELS = 6_000
-#: Characters of a text that the fit uses; longer ones are not sampled (all are scored).
-LONGEST = 20_000
 MAX_FEATURES = 4_000
 STEMS = (3, 4, 5)
 LEAST_DOCS = 4
@@ -135,53 +135,9 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return w, b + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
-def fit(texts: list[str], toxic: list[bool]) -> Model:
-    """A model from labelled texts (a bounded sample)."""
-    labels = np.array(toxic, bool)
-    if not labels.any() or labels.all():
-        return Model({}, ())
-    index: dict[str, int] = {}
-    row_parts, col_parts, val_parts = [], [], []
-    for start in range(0, len(texts), 200):
-        rows, words, ids = letters(texts_of(pa.array(texts[start : start + 200], pa.string())))
-        names = features_of(words)
-        of_word = np.array([k for k, own in enumerate(names) for _ in own], np.int64)
-        feature = np.array([index.setdefault(x, len(index)) for own in names for x in own], np.int64)
-        if not len(of_word):
-            continue
-        rows, feature = _hits(rows, ids, len(words), of_word, feature)
-        keys, counts = np.unique(rows * (1 << 40) + feature, return_counts=True)
-        row_parts.append((keys >> 40) + start), col_parts.append(keys & ((1 << 40) - 1)), val_parts.append(counts)
-    if not row_parts:
-        return Model({}, ())
-    rows, cols, counts = (np.concatenate(x) for x in (row_parts, col_parts, val_parts))
-    names = np.array(list(index), object)
-    n_tox, n_clean = labels.sum(), (~labels).sum()
-    tox = np.bincount(cols[labels[rows]], minlength=len(names))
-    clean = np.bincount(cols[~labels[rows]], minlength=len(names))
-    odds = np.log((tox + 0.1) / (n_tox + 1)) - np.log((clean + 0.1) / (n_clean + 1))
-    strength = np.abs(odds) * np.sqrt(np.minimum(tox + clean, 50))
-    strength[tox + clean < LEAST_DOCS] = 0
-    # A feature speaks for toxicity where it is rare among clean documents.
-    strength[(odds > 0) & (clean * n_tox > 0.2 * tox * n_clean)] = 0
-    strength[odds < 0] *= 0.1
-    chosen = np.argsort(-strength, kind="stable")[:MAX_FEATURES]
-    chosen = chosen[strength[chosen] > 0]
-    if not len(chosen):
-        return Model({}, ())
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[cols] >= 0
-    rows, cols, values = rows[keep], place[cols[keep]], np.log1p(counts[keep])
-    mass = np.bincount(rows, np.maximum(odds[chosen], 0)[cols] * values, len(labels))
-    grades = labels.astype(np.int64) + (labels & (mass >= np.median(mass[labels])))
-    w, t = fit_ordinal(rows, cols, values, grades, len(chosen), int(grades.max()) + 1)
-    weights = {str(n): float(x) for n, x in zip(names[chosen], w) if abs(x) > 1e-3}
-    return Model(weights, tuple(map(float, t)))
-
-
-def fit_model(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
-    """Fit on at most ``max_labels`` labelled documents: toxic ones are at most half."""
+def sampled(docs: DataFrame, labels: DataFrame, max_labels: int) -> DataFrame:
+    """(doc_id, toxic, text) of at most ``max_labels`` labelled documents, half
+    of them toxic at most; a written table. Of rows of one id the smallest text counts."""
     clear = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id IS NOT NULL AND toxic IN (0, 1)")
@@ -191,11 +147,83 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS)
         .select("doc_id", "toxic")
     )
     some = [clear.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels // 2) for k in (0, 1)]
-    sample = some[0].unionAll(some[1])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(sample), "doc_id").where(F.length("text") <= LONGEST).dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in found], [r["toxic"] == 1 for r in found])
+    own = shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    found = own.join(F.broadcast(some[0].unionAll(some[1])), "doc_id")
+    return written(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+
+
+def occurring(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(text, feature, count) of all features of texts, and the features' names."""
+    rows, words, ids = letters(texts)
+    index: dict[str, int] = {}
+    names = features_of(words)
+    of_word = np.array([k for k, own in enumerate(names) for _ in own], np.int64)
+    feature = np.array([index.setdefault(x, len(index)) for own in names for x in own], np.int64)
+    if not len(of_word):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    rows, feature = _hits(rows, ids, len(words), of_word, feature)
+    keys, counts = np.unique(rows * len(index) + feature, return_counts=True)
+    return keys // len(index), keys % len(index), counts, list(index)
+
+
+def candidates(sample: DataFrame, n_toxic: int, n_clean: int, most: int = MAX_FEATURES) -> list[tuple[str, float]]:
+    """The ``most`` strongest features of the sample with their log odds.
+
+    Documents with each feature are counted where they lie; a feature speaks
+    for toxicity where it is rare among clean documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            toxic = batch.column(0).to_numpy()
+            rows, feature, _, names = occurring(texts_of(batch.column(1)))
+            tox = np.bincount(feature, toxic[rows], len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(tox), pa.array(np.bincount(feature, minlength=len(names)) - tox)], ["feature", "tox", "clean"])
+
+    counted = sample.select("toxic", "text").mapInArrow(run, "feature string, tox long, clean long")
+    of = counted.groupBy("feature").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean")).where(F.col("tox") + F.col("clean") >= LEAST_DOCS)
+    of = of.withColumn("odds", F.log((F.col("tox") + 0.1) / (n_toxic + 1)) - F.log((F.col("clean") + 0.1) / (n_clean + 1)))
+    common = (F.col("odds") > 0) & (F.col("clean") * n_toxic > 0.2 * F.col("tox") * n_clean)
+    weight = F.when(common, 0.0).when(F.col("odds") < 0, 0.1).otherwise(1.0)
+    strong = of.withColumn("strength", weight * F.abs("odds") * F.sqrt(F.least(F.col("tox") + F.col("clean"), F.lit(50)))).where("strength > 0")
+    return [(r["feature"], r["odds"]) for r in strong.orderBy(F.desc("strength"), "feature").limit(most).collect()]
+
+
+def fit_model(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Model:
+    """Fit on at most ``max_labels`` labelled documents: toxic ones are at most half.
+
+    Texts stay on the executors. The driver gets the sample's counts of the
+    chosen features: ``max_labels`` sparse rows of at most MAX_FEATURES entries.
+    """
+    sample = sampled(docs, labels, max_labels)
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    chosen = candidates(sample, n[1], n[0]) if len(n) == 2 else []
+    if not chosen:
+        dropped(sample)
+        return Model({}, ())
+    place = {name: k for k, (name, _) in enumerate(chosen)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows, feature, counts, names = occurring(texts_of(batch.column(2)))
+            at = np.array([place.get(x, -1) for x in names], np.int64)
+            keep = at[feature] >= 0 if len(names) else np.zeros(0, bool)
+            rows, column, counts = rows[keep], at[feature[keep]], counts[keep]
+            ends = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (column, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "toxic", "features", "counts"])
+
+    got = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, features array<int>, counts array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    dropped(sample)
+    toxic = got["toxic"].to_numpy() == 1
+    rows = np.repeat(np.arange(len(toxic)), pc.list_value_length(got["features"]).to_numpy())
+    columns, values = pc.list_flatten(got["features"]).to_numpy(), np.log1p(pc.list_flatten(got["counts"]).to_numpy())
+    odds = np.array([x for _, x in chosen])
+    mass = np.bincount(rows, np.maximum(odds, 0)[columns] * values, len(toxic))
+    grades = toxic.astype(np.int64) + (toxic & (mass >= np.median(mass[toxic])))
+    w, t = fit_ordinal(rows, columns, values, grades, len(chosen), int(grades.max()) + 1)
+    return Model({name: float(x) for (name, _), x in zip(chosen, w) if abs(x) > 1e-3}, tuple(map(float, t)))
 
 
 def score(docs: DataFrame, model: Model, toxic_from: float = TOXIC_FROM) -> DataFrame:
@@ -208,7 +236,7 @@ def score(docs: DataFrame, model: Model, toxic_from: float = TOXIC_FROM) -> Data
             severity = kept.value.severity(margin)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity), pa.array(kept.value.grade(margin), pa.int32()), pa.array(severity >= toxic_from)], ["doc_id", "severity", "grade", "toxic"])
 
-    return docs.selectExpr("cast(doc_id as long) i", "cast(text as string) t").mapInArrow(run, SCORES)
+    return shipped(docs).selectExpr("cast(doc_id as long) i", "cast(text as string) t").mapInArrow(run, SCORES)
 
 
 def keep_clean(docs: DataFrame, model: Model, toxic_from: float = TOXIC_FROM) -> DataFrame:
@@ -221,4 +249,4 @@ def keep_clean(docs: DataFrame, model: Model, toxic_from: float = TOXIC_FROM) ->
             margin = kept.value.margins(texts_of(batch.column(at)))
             yield batch.filter(pa.array(kept.value.severity(margin) < toxic_from))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shipped(docs).mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import new_path, slices, written
+from lodeline.llm.common import new_path, shipped, slices, written
 
 BLOCK_LINES = 1000
 LEAST_BYTES = 0
@@ -122,7 +122,7 @@ def marked(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     goes through one exchange, by page and digest, which no hot payload bends.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    own = shipped(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     light = own.select("digest", "page_id", F.octet_length("html").alias("size")).where(F.col("size") >= least_bytes)
     first = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
     again = light.join(first, "digest").where("page_id IS NULL OR page_id <> first").select("digest", "page_id", F.col("first").alias("refers_to")).distinct()
@@ -234,7 +234,7 @@ def read_back(directory: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     parts = max(1, int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return directory.repartitionByRange(parts, "path", "start").mapInArrow(run, RECORDS)
+    return shipped(directory).repartitionByRange(parts, "path", "start").mapInArrow(run, RECORDS)
 
 
 class CaptureIndex:

@@ -299,20 +299,38 @@ def test_unusual_characters_tokenize_alike():
 # Toxicity.
 
 
-def test_toxicity_held_out(spark, labels):
-    every = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("length(text) < 20000").select("doc_id", "text", "toxic").collect()
-    train, test = [r for r in every if r["doc_id"] % 3], [r for r in every if not r["doc_id"] % 3]
-    model = toxicity.fit([r["text"] for r in train], [r["toxic"] == 1 for r in train])
-    import pyarrow as pa
-
-    severity = model.severity(model.margins(toxicity.texts_of(pa.array([r["text"] for r in test]))))
-    caught = [s >= toxicity.TOXIC_FROM for s in severity]
-    toxic = [r["toxic"] == 1 for r in test]
-    assert sum(c and t for c, t in zip(caught, toxic)) >= 0.85 * sum(toxic)
-    assert sum(c and not t for c, t in zip(caught, toxic)) <= 0.005 * len(test)
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_model(docs, labels.where("doc_id % 3 <> 0"))
+    held = toxicity.score(docs, model).join(labels.where("doc_id % 3 = 0").withColumnRenamed("toxic", "label"), "doc_id")
+    n = {(r["label"], r["toxic"]): r["count"] for r in held.groupBy("label", "toxic").count().collect()}
+    assert n[1, True] >= 0.85 * (n[1, True] + n.get((1, False), 0))
+    assert n.get((0, True), 0) <= 0.005 * n[0, False]
     assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 2
 
 
+def test_candidates_equal_brute_force(spark, docs, labels):
+    sample = docs.join(labels.where("toxic IS NOT NULL"), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"]).cache()
+    seen = collections.defaultdict(lambda: [0, 0])
+    rows = sample.collect()
+    for r in rows:
+        own = set()
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r["text"] or "").lower()):
+            own |= {w, *(w[:k] + "~" for k in toxicity.STEMS if len(w) > k)}
+        for f in own:
+            seen[f][r["toxic"]] += 1
+    n = collections.Counter(r["toxic"] for r in rows)
+    strength, odds = {}, {}
+    for f, (clean, tox) in seen.items():
+        odds[f] = np.log((tox + 0.1) / (n[1] + 1)) - np.log((clean + 0.1) / (n[0] + 1))
+        if tox + clean >= toxicity.LEAST_DOCS and not (odds[f] > 0 and clean * n[1] > 0.2 * tox * n[0]):
+            strength[f] = abs(odds[f]) * np.sqrt(min(tox + clean, 50)) * (0.1 if odds[f] < 0 else 1)
+    got = toxicity.candidates(sample, n[1], n[0], 300)
+    assert len(got) == min(300, len(strength)) and all(abs(x - odds[f]) < 1e-9 for f, x in got)
+    least = sorted(strength.values())[-len(got)]
+    assert all(strength[f] >= least - 1e-9 for f, _ in got)
+
+
 def test_ordinal_regression_orders_grades():
     draw = np.random.default_rng(0)
     x = draw.normal(size=600)
