@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.columns import ORDER, col, kinds, present, q, spark_names, unique_names, user_columns, with_order
 from lodeline.operators.roles import detect_roles
-from lodeline.plans.model import CleaningReport, Roles
+from lodeline.plans.model import Audit, Roles
 
 # Name parts that ask for dates or protect from numbers, and the shares that must parse.
 DATE_PARTS = ("date", "time", "timestamp", "created", "updated")
 PROTECTED_PARTS = ("id", "code", "zip", "postal", "phone")
 DATE_SHARE, NUMBER_SHARE = 0.80, 0.95
+OPERATIONS = ("Empty rows removed", "Empty columns removed", "Exported index columns removed", "Duplicate rows removed", "Numeric columns inferred", "Datetime columns inferred")
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|infinity|INF|Inf|Infinity)$"
 #: Formats in the order in which the first value of a column is tried.
 DATE_FORMATS = (
@@ -109,7 +110,7 @@ def exported_indexes(df: DataFrame) -> list[str]:
     return [c for k, c in enumerate(named) if equal[f"e{k}"]]
 
 
-def clean(raw: DataFrame) -> tuple[DataFrame, CleaningReport]:
+def clean(raw: DataFrame) -> tuple[DataFrame, Audit]:
     """Rename, drop what is empty, drop exported indexes, strip and type texts,
     drop repeated rows; with the audit of each step."""
     df = with_order(raw)
@@ -138,33 +139,18 @@ def clean(raw: DataFrame) -> tuple[DataFrame, CleaningReport]:
     # Equal rows, NULLs equal too: the first in source order stays.
     single = out.groupBy(*map(col, kept)).agg(F.min(ORDER).alias(ORDER))
     sizes = out.agg(F.count(F.lit(1)).alias("filled")).first()["filled"], single.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    report = CleaningReport(
-        original_rows=counts["rows"], original_columns=len(names), final_rows=sizes[1], final_columns=len(kept), duplicate_rows_removed=sizes[0] - sizes[1],
-        empty_rows_removed=counts["rows"] - sizes[0], empty_columns_removed=len(empty), index_columns_removed=len(indexes),
-        trimmed_text_columns=len(texts), numeric_columns_inferred=len(found.numbers), datetime_columns_inferred=len(found.times),
-    )
-    return single, report
+    done = dict(zip(OPERATIONS, (counts["rows"] - sizes[0], len(empty), len(indexes), sizes[0] - sizes[1], len(found.numbers), len(found.times))))
+    return single, Audit((counts["rows"], len(names)), (sizes[1], len(kept)), done)
 
 
-def audit_rows(report: CleaningReport) -> list[tuple[str, int]]:
-    return [
-        ("Empty rows removed", report.empty_rows_removed),
-        ("Empty columns removed", report.empty_columns_removed),
-        ("Exported index columns removed", report.index_columns_removed),
-        ("Duplicate rows removed", report.duplicate_rows_removed),
-        ("Numeric columns inferred", report.numeric_columns_inferred),
-        ("Datetime columns inferred", report.datetime_columns_inferred),
-    ]
-
-
-def audit_frame(df: DataFrame, report: CleaningReport) -> DataFrame:
-    return df.sparkSession.createDataFrame(audit_rows(report), "operation string, count long")
+def audit_frame(df: DataFrame, audit: Audit) -> DataFrame:
+    return df.sparkSession.createDataFrame(list(audit.operations.items()), "operation string, count long")
 
 
 @dataclass(frozen=True)
 class Prepared:
     table: DataFrame
-    report: CleaningReport
+    audit: Audit
     roles: Roles
     truncated_rows: int
 
@@ -185,6 +171,6 @@ def bounded(raw: DataFrame, rows: int | None) -> tuple[DataFrame, int]:
 def prepare(raw: DataFrame, *, row_limit: int | None = None) -> Prepared:
     """Bound, clean, and find the roles. The cleaned table is cached."""
     first, beyond = bounded(raw, row_limit)
-    table, report = clean(first)
+    table, audit = clean(first)
     table = table.persist()
-    return Prepared(table, report, detect_roles(table), beyond)
+    return Prepared(table, audit, detect_roles(table), beyond)

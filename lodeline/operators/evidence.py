@@ -1,36 +1,37 @@
 """Evidence, recommendations and the brief: rules over computed frames.
 
-Executors aggregate; the driver words at most a few hundred collected rows. The
-brief shares its results: one statistics job, one trend, one segment vector,
-one two-period change, one outlier pass and one correlation pass.
+Executors aggregate; the driver words at most a few hundred collected rows. A
+brief takes four passes over the table, whatever it finds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.columns import kinds, number
+from lodeline.functions.columns import col, kinds, number
 from lodeline.functions.periods import grain_of, span_days
 from lodeline.functions.text import format_number, format_period, spaced
 from lodeline.operators import frames, stats, timeseries
 from lodeline.operators.roles import TIME_PARTS, choose_roles, is_identifier
-from lodeline.plans.model import Brief, Evidence, Insight, Kpi, Recommendation, Roles
+from lodeline.plans.model import Brief, Fact, Observation, Roles, Step, Tile
 
 # Fixed values.
 CORRELATION_FLOOR = 0.45
 LEAST_FOR_OUTLIERS, LEAST_DISTINCT = 12, 4
 INSIGHT_LEAST, INSIGHT_DISTINCT = 8, 3
 CONCENTRATED, INCOMPLETE, MISSING_WARNING = 70.0, 5.0, 20.0
-MOST_EVIDENCE, MOST_RECOMMENDATIONS, KPIS, MOST_INSIGHTS = 6, 4, 4, 6
+MOST_FACTS, MOST_RECOMMENDATIONS, TILES, MOST_INSIGHTS = 6, 4, 4, 6
 
 
 @dataclass
 class Findings:
-    """Computed facts of one table, each at most once."""
+    """Computed facts of one table, each at most once, in four passes: all
+    single-row aggregates, distinct values, segments by period, and quartiles."""
 
     df: DataFrame
     given: Roles | None = None
@@ -52,110 +53,112 @@ class Findings:
         return sum(s.missing for s in self.columns.values())
 
     @cached_property
-    def grain(self) -> str:
-        c = F.col(f"`{self.roles.date}`")
-        return grain_of(self.df.agg(span_days(F.min(c), F.max(c)).alias("d")).first()["d"])
+    def usable(self) -> list[str]:
+        """Numeric columns that a correlation may be about."""
+        return [c for c in self.roles.numeric if not is_identifier(self.columns[c]) and spaced(c) not in TIME_PARTS]
 
     @cached_property
-    def trend(self) -> list[tuple]:
-        if not self.roles.date:
-            return []
-        return [(r["period"], r["value"]) for r in frames.trend(self.df, self.roles, self.grain).collect()]
+    def single(self) -> dict:
+        """Sum and mean of the measure, the days that dates span, and correlations: one aggregate."""
+        r, wanted = self.roles, [F.count(F.lit(1)).alias("rows")]
+        if r.measure:
+            wanted += [F.coalesce(F.sum(number(r.measure)), F.lit(0.0)).alias("sum"), F.avg(number(r.measure)).alias("mean")]
+        if r.date:
+            wanted.append(span_days(F.min(col(r.date)), F.max(col(r.date))).alias("days"))
+        wanted += [stats.pearson(a, b).alias(f"r{k}") for k, (a, b) in enumerate(combinations(self.usable, 2))]
+        return self.df.agg(*wanted).first().asDict()
 
     @cached_property
-    def measure(self) -> tuple[float, float | None]:
-        m = number(self.roles.measure)
-        r = self.df.agg(F.coalesce(F.sum(m), F.lit(0.0)).alias("s"), F.avg(m).alias("a")).first()
-        return r["s"], r["a"]
+    def pair(self) -> tuple[str, str, float] | None:
+        """The columns with the strongest correlation; the first of equals."""
+        found = [(*ab, r) for k, ab in enumerate(combinations(self.usable, 2)) if (r := self.single[f"r{k}"]) is not None and r == r]
+        return max(found, key=lambda x: abs(x[2]), default=None)
 
     @cached_property
-    def driver(self):
-        r = self.roles
-        if not (r.date and r.measure and r.dimension) or len(self.trend) < 2:
-            return None
-        change = frames.period_change(self.df, r, self.grain, self.trend[-2][0], self.trend[-1][0])
-        return frames.largest_driver(change).first()
+    def grain(self) -> str:
+        return grain_of(self.single["days"])
 
+    @cached_property
+    def cube(self) -> frames.Cube:
+        return frames.cube(self.df, self.roles, self.grain if self.roles.date else None)
 
-def trend_evidence(f: Findings) -> Evidence | None:
+    @property
+    def trend(self) -> list[tuple]:
+        return self.cube.trend
+
+
+def trend_fact(f: Findings) -> Fact | None:
     if len(f.trend) < 2 or not f.trend[-2][1]:
         return None
     (_, before), (period, now) = f.trend[-2:]
     change = 100 * (now - before) / abs(before)
     what = f.roles.measure or "Records"
     money = lambda x: format_number(x, f.roles.measure)
-    verb = "rose" if change >= 0 else "fell"
-    return Evidence("trend", f"Latest movement of {what}", f"{change:+.1f}%", f"{what} {verb} {abs(change):.1f}% in {format_period(period, 'M')}, the latest period, from {money(before)} to {money(now)}.", "(latest period − period before) ÷ |period before|", "positive" if change >= 0 else "negative")
+    text = f"{what} {'rose' if change >= 0 else 'fell'} {abs(change):.1f}% in {format_period(period, 'M')}, the latest period, from {money(before)} to {money(now)}."
+    return Fact("trend", change, text, "(latest period − period before) ÷ |period before|", what, tone="positive" if change >= 0 else "negative")
 
 
-def driver_evidence(f: Findings) -> Evidence | None:
-    d = f.driver
-    if d is None or not d["change"]:
+def driver_fact(f: Findings) -> Fact | None:
+    r, d = f.roles, f.cube.driver
+    if not (r.date and r.measure and r.dimension) or d is None or not d.change:
         return None
-    r, name = f.roles, str(d["segment"])
     money = lambda x: format_number(x, r.measure)
-    up = d["change"] > 0
-    share = abs(d["change"] / d["net"]) * 100
-    text = f"Among {r.dimension} values, {name} moved the total most: {r.measure} {'grew' if up else 'shrank'} by {money(abs(d['change']))}, from {money(d['previous'])} to {money(d['latest'])}, or {share:.1f}% of the net change."
-    return Evidence("driver", "Largest change driver", f"{'+' if up else '−'}{money(abs(d['change']))}", text, f"latest − previous {r.measure} by {r.dimension}, largest in the net direction", "positive" if up else "negative", name)
+    share = abs(d.change / d.net) * 100
+    text = f"Among {r.dimension} values, {d.segment} moved the total most: {r.measure} {'grew' if d.change > 0 else 'shrank'} by {money(abs(d.change))}, from {money(d.previous)} to {money(d.latest)}, or {share:.1f}% of the net change."
+    return Fact("driver", d.change, text, f"latest − previous {r.measure} by {r.dimension}, largest in the net direction", r.measure, str(d.segment), "positive" if d.change > 0 else "negative")
 
 
-def segment_evidence(f: Findings) -> list[Evidence]:
-    r = f.roles
-    if not r.dimension:
+def segment_facts(f: Findings) -> list[Fact]:
+    r, top = f.roles, f.cube.top
+    if not r.dimension or not top or not f.cube.total:
         return []
-    c = frames.concentration(f.df, r).first()
-    if not c["total"] or c["leader"] is None:
-        return []
-    what = r.measure or "records"
+    what, (name, first) = r.measure or "records", top[0]
+    leader, three = 100 * first / f.cube.total, 100 * sum(v for _, v in top[:3]) / f.cube.total
     return [
-        Evidence("leader", f"Leading {r.dimension}", f"{c['leader_share']:.1f}%", f"{c['leader']} has the most {what} of all {r.dimension} values: {format_number(c['leader_value'], r.measure)}, {c['leader_share']:.1f}% of the total.", f"{what} of {c['leader']} ÷ total {what}", "positive", str(c["leader"])),
-        Evidence("concentration", "Top-three concentration", f"{c['top_share']:.1f}%", f"Three {r.dimension} values hold {c['top_share']:.1f}% of {what}.", f"{what} of the three largest ÷ total {what}", "warning" if c["top_share"] >= CONCENTRATED else "neutral"),
+        Fact("leader", leader, f"{name} has the most {what} of all {r.dimension} values: {format_number(first, r.measure)}, {leader:.1f}% of the total.", f"{what} of {name} ÷ total {what}", r.dimension, str(name), "positive"),
+        Fact("concentration", three, f"Three {r.dimension} values hold {three:.1f}% of {what}.", f"{what} of the three largest ÷ total {what}", r.dimension, tone="warning" if three >= CONCENTRATED else "neutral"),
     ]
 
 
-def anomaly_evidence(f: Findings) -> Evidence | None:
-    if len(f.trend) < timeseries.LEAST_PERIODS:
-        return None
-    spark = f.df.sparkSession
-    found = timeseries.detect_anomalies(spark.createDataFrame(f.trend, "period timestamp_ntz, value double"))
+def anomaly_fact(f: Findings) -> Fact | None:
+    found = timeseries.unusual(f.trend)
     if not found:
         return None
     a, money = found[0], lambda x: format_number(x, f.roles.measure)
     many = f"{len(found)} period{'s are' if len(found) > 1 else ' is'} outside the band."
-    return Evidence("anomaly", "Unusual periods", str(len(found)), f"{format_period(a.period, f.grain)} stands out most: {money(a.value)} is {a.direction} the expected {money(a.expected_low)} to {money(a.expected_high)}. {many}", "period totals against a median-slope line ± 3 scaled MAD", "warning")
+    text = f"{format_period(a.period, f.grain)} stands out most: {money(a.value)} is {a.direction} the expected {money(a.band[0])} to {money(a.band[1])}. {many}"
+    return Fact("anomaly", len(found), text, "period totals against a median-slope line ± 3 scaled MAD", tone="warning")
 
 
-def relationship_evidence(f: Findings) -> Evidence | None:
-    usable = [c for c in f.roles.numeric if not is_identifier(f.columns[c]) and spaced(c) not in TIME_PARTS]
-    pair = stats.strongest_pair(f.df, usable).first() if len(usable) > 1 else None
-    if pair is None or abs(pair["r"]) < CORRELATION_FLOOR:
+def relationship_fact(f: Findings) -> Fact | None:
+    if f.pair is None or abs(f.pair[2]) < CORRELATION_FLOOR:
         return None
-    way = "rise and fall together" if pair["r"] > 0 else "move against each other"
-    return Evidence("relationship", "Strongest relationship", f"r = {pair['r']:.2f}", f"{pair['left']} and {pair['right']} {way} (Pearson r {pair['r']:.2f}). This is association; it doesn't show a cause.", "Pearson correlation over rows with both values")
+    left, right, r = f.pair
+    way = "rise and fall together" if r > 0 else "move against each other"
+    return Fact("relationship", r, f"{left} and {right} {way} (Pearson r {r:.2f}). This is association; it doesn't show a cause.", "Pearson correlation over rows with both values", f"{left}, {right}")
 
 
-def outlier_evidence(f: Findings) -> Evidence | None:
+def outlier_fact(f: Findings) -> Fact | None:
     m = f.roles.measure
     if not m or f.columns[m].present < LEAST_FOR_OUTLIERS or f.columns[m].distinct < LEAST_DISTINCT:
         return None
     r = stats.iqr_outliers(f.df, [m]).first()
     if not r["outliers"]:
         return None
-    return Evidence("outliers", "Exceptional records", f"{r['outliers']:,}", f"{r['outliers']:,} values of {m} ({r['percent']:.1f}% of those present) are beyond 1.5 interquartile ranges.", "below Q1 − 1.5 IQR or above Q3 + 1.5 IQR", "warning")
+    return Fact("outliers", r["outliers"], f"{r['outliers']:,} values of {m} ({r['percent']:.1f}% of those present) are beyond 1.5 interquartile ranges.", "below Q1 − 1.5 IQR or above Q3 + 1.5 IQR", m, tone="warning")
 
 
-def quality_evidence(f: Findings) -> Evidence | None:
+def quality_fact(f: Findings) -> Fact | None:
     cells = f.rows * len(f.columns)
     if not cells or not f.missing:
         return None
     rate = 100 * f.missing / cells
-    return Evidence("quality", "Data completeness", f"{100 - rate:.1f}%", f"{f.missing:,} of {cells:,} cells are missing: the table is {100 - rate:.1f}% complete.", "present cells ÷ all cells", "warning" if rate >= INCOMPLETE else "neutral")
+    return Fact("quality", 100 - rate, f"{f.missing:,} of {cells:,} cells are missing: the table is {100 - rate:.1f}% complete.", "present cells ÷ all cells", tone="warning" if rate >= INCOMPLETE else "neutral")
 
 
-def recommend(evidence: list[Evidence], roles: Roles) -> tuple[Recommendation, ...]:
-    """At most four, in a fixed order of the kinds of evidence."""
-    by = {e.kind: e for e in evidence}
+def recommend(facts: list[Fact], roles: Roles) -> tuple[Step, ...]:
+    """At most four, in a fixed order of the kinds of facts."""
+    by = {e.kind: e for e in facts}
     segment, out = roles.dimension or "segment", []
     trend, driver = by.get("trend"), by.get("driver")
     if trend:
@@ -167,92 +170,91 @@ def recommend(evidence: list[Evidence], roles: Roles) -> tuple[Recommendation, .
         else:
             title = f"Make {who}'s growth repeatable" if who else "Protect what grew"
             action = f"Split the rise of {who} into volume, price and mix, and try what repeats in another {segment}." if who else f"Find the {segment} behind the rise and test whether it lasts."
-        out.append(Recommendation("Now", title, action, why))
+        out.append(Step("Now", title, action, why))
     leader, concentration = by.get("leader"), by.get("concentration")
     if concentration and concentration.tone == "warning":
-        out.append(Recommendation("Next", "Reduce concentration risk", f"Work out what a fall of the leading {segment} by a tenth or a fifth would do, and plan growth for the two after it.", concentration.statement))
+        out.append(Step("Next", "Reduce concentration risk", f"Work out what a fall of the leading {segment} by a tenth or a fifth would do, and plan growth for the two after it.", concentration.statement))
     elif leader:
-        out.append(Recommendation("Next", "Learn from the leader", f"Set the leading {segment} beside the median one on price, volume and mix, and carry over what can be controlled.", leader.statement))
+        out.append(Step("Next", "Learn from the leader", f"Set the leading {segment} beside the median one on price, volume and mix, and carry over what can be controlled.", leader.statement))
     rest = (
         ("anomaly", "Now", "Explain the unusual periods", "Find the event behind each one, such as a promotion, an outage, a price change or an error, before it enters targets."),
         ("relationship", "Test", "Check the relationship", "See whether it holds within segments and over time; if so, try a small change and measure it."),
         ("outliers", "Watch", "Review exceptional records", "Look at the largest ones for input errors, refunds and unusual deals before they bend plans."),
     )
-    out += [Recommendation(when, title, action, by[kind].statement) for kind, when, title, action in rest if kind in by]
+    out += [Step(when, title, action, by[kind].statement) for kind, when, title, action in rest if kind in by]
     if "quality" in by and by["quality"].tone == "warning":
-        out.append(Recommendation("Fix", "Fill the measurement gaps", "Begin with missing fields that totals, margins, customers or dates depend on.", by["quality"].statement))
+        out.append(Step("Fix", "Fill the measurement gaps", "Begin with missing fields that totals, margins, customers or dates depend on.", by["quality"].statement))
     if not out:
-        out.append(Recommendation("Next", "Add decision context", "Bring a date, an outcome such as revenue or cost, and a segment such as product or region.", "The table has too little structure for a more specific step."))
+        out.append(Step("Next", "Add decision context", "Bring a date, an outcome such as revenue or cost, and a segment such as product or region.", "The table has too little structure for a more specific step."))
     return tuple(out[:MOST_RECOMMENDATIONS])
 
 
-def kpis(f: Findings, evidence: list[Evidence]) -> tuple[Kpi, ...]:
-    r, by, out = f.roles, {e.kind: e for e in evidence}, []
+def tiles(f: Findings, facts: list[Fact]) -> tuple[Tile, ...]:
+    r, by, out = f.roles, {e.kind: e for e in facts}, []
     if r.measure:
-        whole, mean = f.measure
-        out += [Kpi(f"Total {r.measure}", format_number(whole, r.measure), "All records"), Kpi(f"Average {r.measure}", format_number(mean, r.measure), "Per record with a value")]
+        out += [Tile(f"Total {r.measure}", f.single["sum"], "All records", r.measure), Tile(f"Average {r.measure}", f.single["mean"], "Per record with a value", r.measure)]
     if "trend" in by:
-        out.append(Kpi("Latest movement", by["trend"].value, "Against the period before", by["trend"].tone))
+        out.append(Tile("Latest movement", by["trend"].value, "Against the period before", tone=by["trend"].tone))
     if "leader" in by:
-        out.append(Kpi(f"Top {r.dimension}", by["leader"].value, "Share of the leader"))
+        out.append(Tile(f"Top {r.dimension}", by["leader"].value, "Share of the leader"))
     if r.identifier:
-        out.append(Kpi(f"Distinct {r.identifier}", f"{f.columns[r.identifier].distinct:,}", "Different entities"))
-    out.append(Kpi("Records analyzed", f"{f.rows:,}", "After cleaning"))
+        out.append(Tile(f"Distinct {r.identifier}", f"{f.columns[r.identifier].distinct:,}", "Different entities"))
+    out.append(Tile("Records analyzed", f"{f.rows:,}", "After cleaning"))
     cells = f.rows * len(f.columns)
-    while len(out) < KPIS:
-        out.append(Kpi("Data completeness", f"{100 - 100 * f.missing / max(cells, 1):.1f}%", "Present cells"))
-    return tuple(out[:KPIS])
+    while len(out) < TILES:
+        out.append(Tile("Data completeness", f"{100 - 100 * f.missing / max(cells, 1):.1f}%", "Present cells"))
+    return tuple(out[:TILES])
 
 
-def all_evidence(f: Findings) -> list[Evidence]:
-    found = [trend_evidence(f), driver_evidence(f), *segment_evidence(f), anomaly_evidence(f), relationship_evidence(f), outlier_evidence(f), quality_evidence(f)]
+def all_facts(f: Findings) -> list[Fact]:
+    found = [trend_fact(f), driver_fact(f), *segment_facts(f), anomaly_fact(f), relationship_fact(f), outlier_fact(f), quality_fact(f)]
     return [e for e in found if e]
 
 
 def analyze(df: DataFrame, roles: Roles | None = None) -> Brief:
     f = Findings(df, roles)
-    evidence = all_evidence(f)
-    by = {e.kind: e for e in evidence}
+    facts = all_facts(f)
+    by = {e.kind: e for e in facts}
     r, growth, leader = f.roles, by.get("trend"), by.get("leader")
     if growth and leader:
         headline = f"Latest movement {growth.value}; {leader.value} comes from the leading {r.dimension}."
     elif growth or leader:
         headline = (growth or leader).statement
     elif r.measure:
-        headline = f"{r.measure} adds up to {format_number(f.measure[0], r.measure)}."
+        headline = f"{r.measure} adds up to {format_number(f.single['sum'], r.measure)}."
     else:
         headline = f"{f.rows:,} records are ready to review."
     summary = " ".join(e.statement for e in (growth, leader) if e) or "No trend or segment stands out; what was calculated is listed as evidence."
-    return Brief(headline, summary, r, kpis(f, evidence), tuple(evidence[:MOST_EVIDENCE]), recommend(evidence, r))
+    return Brief(r, headline, summary, tuple(facts[:MOST_FACTS]), recommend(facts, r), tiles(f, facts))
 
 
 def evidence_frame(df: DataFrame, brief: Brief) -> DataFrame:
-    rows = [(k, e.kind, e.title, e.value, e.statement, e.calculation, e.tone) for k, e in enumerate(brief.evidence)]
-    return df.sparkSession.createDataFrame(rows, "position int, kind string, title string, value string, statement string, calculation string, tone string")
+    rows = [(k, e.kind, e.title, e.value, float(e.number), e.subject, e.statement, e.calculation, e.tone) for k, e in enumerate(brief.facts)]
+    return df.sparkSession.createDataFrame(rows, "position int, kind string, title string, value string, number double, subject string, statement string, calculation string, tone string")
 
 
-def insights(df: DataFrame, limit: int = MOST_INSIGHTS) -> list[Insight]:
+def insights(df: DataFrame, limit: int = MOST_INSIGHTS) -> list[Observation]:
     """Generic observations without roles."""
     of, columns, out = kinds(df), stats.column_stats(df), []
     rows = next((s.rows for s in columns.values()), 0)
     worst = max(columns.values(), key=lambda s: s.missing, default=None)
     if worst and worst.missing:
         rate = 100 * worst.missing / rows
-        out.append(Insight("Missing data deserves attention", f"{worst.name} lacks {rate:.1f}% of its values, more than any other column.", "warning" if rate >= MISSING_WARNING else "info"))
+        out.append(Observation("warning" if rate >= MISSING_WARNING else "info", "Missing data deserves attention", f"{worst.name} lacks {rate:.1f}% of its values, more than any other column."))
     numeric = [n for n, k in of.items() if k == "numeric"]
     pair = stats.strongest_pair(df, numeric).first() if len(numeric) > 1 else None
     if pair:
-        out.append(Insight("Strongest numeric relationship", f"{pair['left']} and {pair['right']}: Pearson correlation {pair['r']:.2f}. Correlation isn't causation."))
+        out.append(Observation("info", "Strongest numeric relationship", f"{pair['left']} and {pair['right']}: Pearson correlation {pair['r']:.2f}. Correlation isn't causation."))
     tested = [n for n in numeric if columns[n].present >= INSIGHT_LEAST and columns[n].distinct >= INSIGHT_DISTINCT]
     found = [r for r in stats.iqr_outliers(df, tested).collect() if r["outliers"]] if tested else []
     if found:
         r = max(found, key=lambda r: (r["percent"], -tested.index(r["column"])))
-        out.append(Insight("Potential outliers", f"{r['column']} has {r['outliers']:,} values ({r['percent']:.1f}%) beyond 1.5 interquartile ranges.", "warning"))
+        out.append(Observation("warning", "Potential outliers", f"{r['column']} has {r['outliers']:,} values ({r['percent']:.1f}%) beyond 1.5 interquartile ranges."))
     modes = [m for n, k in of.items() if k != "numeric" and 0 < columns[n].distinct <= stats.MODE_DISTINCT and (m := stats.mode_share(df, n).first())]
     if modes:
         m = max(modes, key=lambda m: m["percent"])
-        out.append(Insight("Largest category share", f"{m['value']} makes up {m['percent']:.1f}% of the present values of {m['column']}."))
+        out.append(Observation("info", "Largest category share", f"{m['value']} makes up {m['percent']:.1f}% of the present values of {m['column']}."))
     times = [n for n, k in of.items() if k == "datetime"]
     if times and (t := stats.time_coverage(df, times[0]).first())["first"] is not None:
-        out.append(Insight("Time coverage", f"{times[0]} runs from {t['first']:%Y-%m-%d} to {t['last']:%Y-%m-%d}."))
-    return out[:limit] or [Insight("Dataset is ready to explore", f"{rows:,} rows in {len(columns):,} columns, without quality flags.", "success")]
+        out.append(Observation("info", "Time coverage", f"{times[0]} runs from {t['first']:%Y-%m-%d} to {t['last']:%Y-%m-%d}."))
+    return out[:limit] or [Observation("success", "Dataset is ready to explore", f"{rows:,} rows in {len(columns):,} columns, without quality flags.")]

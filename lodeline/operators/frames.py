@@ -7,6 +7,7 @@ windows without a partition never see base rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,16 +15,12 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.columns import col, number
 from lodeline.functions.periods import bucket, preferred_grain
+from lodeline.operators.stats import percentiles
 from lodeline.plans.model import Roles
 
 OTHERS = "Other segments"
 
 
-def whole() -> Window:
-    """All rows of an aggregated frame (never of base rows)."""
-    return Window.partitionBy()
-
-
 def total(measure: str | None, when: Column | None = None) -> Column:
     """Sum of the measure, or the number of rows, as double. No rows sum to 0."""
     value = F.lit(1.0) if measure is None else number(measure)
@@ -44,12 +41,15 @@ def segments(df: DataFrame, roles: Roles, limit: int | None = 12) -> DataFrame:
 
 
 def shares(frame: DataFrame, value: str = "value") -> DataFrame:
-    """Adds each row's share of the whole in percent, to one place, half to even."""
-    return frame.withColumn("share", F.bround(F.try_divide(F.col(value), F.sum(value).over(whole())) * 100, 1))
+    """Adds each row's share of the whole in percent, to one place, half to even.
+    The whole is a scalar, so that segments stay where they are."""
+    whole = frame.agg(F.sum(value)).scalar()
+    return frame.withColumn("share", F.bround(F.try_divide(F.col(value), whole) * 100, 1))
 
 
 def concentration(df: DataFrame, roles: Roles, top: int = 3, limit: int = 100) -> DataFrame:
-    """One row: leader, its value and share, and the share of the first ``top``."""
+    """One row: leader, its value and share, and the share of the first ``top``
+    in the ``limit`` largest segments, which alone are ranked."""
     first = Window.orderBy(F.desc_nulls_last("value"), "segment")
     ranked = segments(df, roles, limit).withColumn("rank", F.row_number().over(first))
     of = lambda k: F.sum(F.when(F.col("rank") <= k, F.col("value")))
@@ -62,6 +62,61 @@ def concentration(df: DataFrame, roles: Roles, top: int = 3, limit: int = 100) -
     )
 
 
+@dataclass(frozen=True)
+class Driver:
+    segment: object
+    previous: float
+    latest: float
+    change: float
+    net: float
+
+
+@dataclass(frozen=True)
+class Cube:
+    """What a brief needs of segments by period: the trend, the largest segments
+    with the total of the first hundred, and the driver of the latest change."""
+
+    trend: list[tuple[datetime, float]]
+    top: list[tuple[object, float]]
+    total: float
+    driver: Driver | None
+
+
+def cube(df: DataFrame, roles: Roles, grain: str | None, most: int = 100) -> Cube:
+    """One pass over the rows: sums by segment and period, and from them, in
+    the same query, the trend, the ``most`` largest segments, and the segments
+    that moved most to either side between the two latest periods."""
+    if grain is None and not roles.dimension:
+        return Cube([], [], 0.0, None)
+    none = F.lit(None).cast("timestamp_ntz")
+    name = col(roles.dimension) if roles.dimension else F.lit(None).cast("string")
+    value = number(roles.measure) if roles.measure else F.lit(1.0)
+    cells = df.groupBy(name.cast("string").alias("segment"), (bucket(roles.date, grain) if grain else none).alias("period")).agg(F.sum(value).alias("value"))
+    # Sums of no value are NULL here: such a cell is no part of a change.
+    trend_ = cells.where("period IS NOT NULL").groupBy("period").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+    sizes = cells.where("segment IS NOT NULL").groupBy("segment").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+    order = (F.desc_nulls_last("value"), "segment")
+    columns = {"part": "int", "segment": "string", "period": "timestamp_ntz", "value": "double", "previous": "double", "net": "double"}
+
+    def part(k: int, frame: DataFrame) -> DataFrame:
+        return frame.select(F.lit(k).alias("part"), *(F.col(c).cast(t) if c in frame.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items() if c != "part"))
+
+    found = part(0, trend_).unionAll(part(1, sizes.orderBy(*order).limit(most)))
+    if grain and roles.dimension:
+        latest = trend_.select("period").orderBy(F.desc("period")).limit(2)
+        ends = {"_a": latest.agg(F.min("period")).scalar(), "_b": latest.agg(F.max("period")).scalar()}
+        two = cells.where("segment IS NOT NULL AND value IS NOT NULL").withColumns(ends).where("_a < _b AND period IN (_a, _b)")
+        at = lambda c: F.coalesce(F.sum(F.when(F.col("period") == F.col(c), F.col("value"))), F.lit(0.0))
+        change = two.groupBy("segment").agg(at("_a").alias("previous"), at("_b").alias("value"))
+        moved = F.col("value") - F.col("previous")
+        change = change.withColumn("net", change.agg(F.sum(moved)).scalar()).where("net <> 0")
+        found = found.unionAll(part(2, change.orderBy(F.desc(F.when(F.col("net") > 0, moved).otherwise(-moved)), "segment").limit(1)))
+    rows = found.collect()
+    top = sorted(((r["segment"], r["value"]) for r in rows if r["part"] == 1), key=lambda x: (-x[1], x[0]))
+    driver = next((Driver(r["segment"], r["previous"], r["value"], r["value"] - r["previous"], r["net"]) for r in rows if r["part"] == 2), None)
+    return Cube(sorted((r["period"], r["value"]) for r in rows if r["part"] == 0), top, sum(v for _, v in top), driver)
+
+
 def last_two(trend_rows: DataFrame) -> list[tuple[datetime, float]]:
     """The latest two observed periods, oldest first."""
     rows = trend_rows.orderBy(F.desc("period")).limit(2).collect()
@@ -84,18 +139,20 @@ def period_change(df: DataFrame, roles: Roles, grain: str, previous: datetime, c
 
 def drivers(change: DataFrame, limit: int = 9) -> DataFrame:
     """(segment, change): the largest movements and the rest as one row, if it
-    isn't zero; sums to the net change."""
-    rank = F.row_number().over(Window.orderBy(F.desc(F.abs("change")), F.col("segment").cast("string")))
-    ranked = change.withColumn("rank", rank)
-    name = F.when(F.col("rank") <= limit, F.col("segment").cast("string")).otherwise(OTHERS)
-    out = ranked.groupBy(name.alias("segment"), F.least("rank", F.lit(limit + 1)).alias("place")).agg(F.sum("change").alias("change"))
-    return out.where((F.col("place") <= limit) | (F.col("change") != 0)).orderBy("place").select("segment", "change")
+    isn't zero; sums to the net change. Only the largest ones are ranked; the
+    rest is the net change without them."""
+    named = change.select(F.col("segment").cast("string").alias("segment"), "change")
+    order = (F.desc(F.abs("change")), "segment")
+    top = named.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    rest = named.agg(F.sum("change").alias("net"), F.count("*").alias("n")).where(F.col("n") > limit)
+    rest = rest.select(F.lit(OTHERS).alias("segment"), (F.col("net") - top.agg(F.sum("change")).scalar()).alias("change"), F.lit(limit + 1).alias("place"))
+    return top.unionByName(rest.where("change <> 0")).orderBy("place").select("segment", "change")
 
 
 def largest_driver(change: DataFrame) -> DataFrame:
     """One row for the segment that moved most in the direction of the net
     change, or none where that is zero."""
-    with_net = change.withColumn("net", F.sum("change").over(whole())).where("net <> 0")
+    with_net = change.withColumn("net", change.agg(F.sum("change")).scalar()).where("net <> 0")
     toward = F.when(F.col("net") > 0, F.col("change")).otherwise(-F.col("change"))
     return with_net.orderBy(F.desc(toward), F.col("segment").cast("string")).limit(1)
 
@@ -168,6 +225,15 @@ def aggregate(measure: str, aggregation: str) -> Column:
     raise ValueError(f"unknown aggregation {aggregation!r}")
 
 
+def scalar(df: DataFrame, measure: str, aggregation: str) -> DataFrame:
+    """(value, rows) of a whole table. A median is found by its rank, since one
+    task can't hold all values."""
+    if aggregation == "median":
+        n, (value,) = percentiles(df, [measure], (0.5,))[measure]
+        return df.sparkSession.createDataFrame([(value, n)], "value double, rows long")
+    return df.agg(aggregate(measure, aggregation).alias("value"), F.count(number(measure)).alias("rows"))
+
+
 def histogram(df: DataFrame, measure: str, bins: int = 35) -> DataFrame:
     """(bin, low, high, rows) of equal widths between the extremes."""
     m = number(measure)

@@ -15,6 +15,9 @@ from lodeline.functions.columns import ORDER, col, kinds, number, present, shown
 CATEGORY_DISTINCT, CATEGORY_RATIO = 50, 0.2
 MODE_DISTINCT = 100
 IQR_FACTOR = 1.5
+#: Values that one rank may gather, half the width of a rank's bracket, and the
+#: accuracy of approximate percentiles, whose error is a fifth of that width.
+SMALL, BRACKET, ACCURACY = 50_000, 0.005, 1000
 
 
 @dataclass(frozen=True)
@@ -102,34 +105,89 @@ def strongest_pair(df: DataFrame, columns: list[str]) -> DataFrame:
     return correlations(df, columns).where("r IS NOT NULL AND NOT isnan(r)").orderBy(F.desc(F.abs("r")), "position").limit(1)
 
 
-def quartiles(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """(column, n, distinct, q1, q3). Exact; with ``accuracy`` approximate, for
-    columns whose distinct values outgrow an executor's memory."""
-
-    def of(c: str) -> Column:
-        m = number(c)
-        cuts = F.percentile(m, [0.25, 0.75]) if accuracy is None else F.percentile_approx(m, [0.25, 0.75], accuracy)
-        return F.struct(F.lit(c).alias("column"), F.count(m).alias("n"), cuts[0].alias("q1"), cuts[1].alias("q3"))
-
-    return df.agg(F.array(*map(of, columns)).alias("all")).select(F.inline("all"))
-
-
-def iqr_outliers(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+@dataclass
+class _Rank:
+    """A rank that is sought: the bracket that has it, and the rows before the bracket."""
+
+    column: str
+    share: float
+    rank: float
+    low: float
+    high: float
+    before: int
+    inside: int
+
+    def within(self, m: Column) -> Column:
+        return (m >= self.low) & (m <= self.high)
+
+    def halve(self, df: DataFrame, m: Column) -> None:
+        """Go on in the half of the bracket's values that has the rank."""
+        inside, first = self.within(m), m <= self.low / 2 + self.high / 2
+        n, below, above = df.agg(F.count_if(inside & first), F.max(F.when(inside & first, m)), F.min(F.when(inside & ~first, m))).first()
+        place = self.rank - self.before
+        if place <= n - 1:
+            self.high, self.inside = below, n
+        elif place >= n:
+            self.low, self.before, self.inside = above, self.before + n, self.inside - n
+        else:  # its neighbours are in different halves
+            self.low = self.high = below + (place - (n - 1)) * (above - below)
+
+
+def percentiles(df: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.25, 0.75), small: int = SMALL) -> dict[str, tuple[int, list[float | None]]]:
+    """{column: (values present, exact percentiles)}, linear between neighbours.
+
+    Approximate percentiles with a known error bracket each rank; a count says
+    how many values lie before and inside; and brackets shrink until they hold
+    ``small`` values, which are read. Each pass is one aggregate of all columns,
+    so no task holds more than ``small`` values of a rank, however many there are.
+    """
+    ms = {c: number(c) for c in columns}
+    first = df.agg(*(F.struct(F.count(m).alias("n"), F.min(m).alias("low"), F.max(m).alias("high")).alias(f"c{k}") for k, m in enumerate(ms.values()))).first() if ms else ()
+    counted = dict(zip(ms, first))
+    ranks = [_Rank(c, p, p * (r["n"] - 1), r["low"], r["high"], 0, r["n"]) for c, r in counted.items() if r["n"] for p in shares]
+    while wide := [r for r in ranks if r.inside > small and r.low < r.high]:
+        at = [(r.rank - r.before) / r.inside for r in wide]
+        cuts = df.agg(*(F.percentile_approx(F.when(r.within(ms[r.column]), ms[r.column]), [max(0.0, x - BRACKET), min(1.0, x + BRACKET)], ACCURACY).alias(f"b{k}") for k, (r, x) in enumerate(zip(wide, at)))).first()
+        inner = [(r, low, high, ms[r.column]) for r, (low, high) in zip(wide, cuts)]
+        counts = df.agg(*(F.struct(F.count_if(m < low).alias("before"), F.count_if((m >= low) & (m <= high)).alias("inside")).alias(f"n{k}") for k, (_, low, high, m) in enumerate(inner))).first()
+        for (r, low, high, _), n in zip(inner, counts):
+            if n["inside"] < r.inside and n["before"] <= r.rank <= n["before"] + n["inside"] - 1:
+                r.low, r.high, r.before, r.inside = low, high, n["before"], n["inside"]
+            else:
+                r.halve(df, ms[r.column])
+    read = [r for r in ranks if r.low < r.high]
+    lists = df.agg(*(F.sort_array(F.collect_list(F.when(r.within(ms[r.column]), ms[r.column]))).alias(f"v{k}") for k, r in enumerate(read))).select(*(F.slice(f"v{k}", int(r.rank) - r.before + 1, 2).alias(f"v{k}") for k, r in enumerate(read))).first() if read else ()
+    found: dict[str, list[float | None]] = {c: [] for c in ms}
+    near = iter(lists)
+    for r in ranks:
+        if r.low < r.high:
+            own = next(near)
+            r.low = own[0] + (r.rank - int(r.rank)) * (own[-1] - own[0])
+        found[r.column].append(r.low)
+    return {c: (counted[c]["n"], found[c] or [None] * len(shares)) for c in ms}
+
+
+def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, q1, q3), exact."""
+    rows = [(c, n, *cuts) for c, (n, cuts) in percentiles(df, columns).items()]
+    return df.sparkSession.createDataFrame(rows, "column string, n long, q1 double, q3 double")
+
+
+def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, q1, q3, low, high, outliers, percent): quartiles first, then
     one counting pass for all columns. A zero range has no outliers."""
-    cuts = {r["column"]: r for r in quartiles(df, columns, accuracy).collect()}
+    cuts = percentiles(df, columns)
 
     def of(c: str) -> Column:
-        r, m = cuts[c], number(c)
-        if r["q1"] is None:
-            low = high = F.lit(None).cast("double")
-            outliers = F.lit(0).cast("long")
-        else:
-            reach = IQR_FACTOR * (r["q3"] - r["q1"])
-            low, high = F.lit(r["q1"] - reach), F.lit(r["q3"] + reach)
-            outliers = F.count_if((m < low) | (m > high)) if reach else F.lit(0).cast("long")
-        lit = lambda x: F.lit(x).cast("double")
-        return F.struct(F.lit(c).alias("column"), F.count(m).alias("n"), lit(r["q1"]).alias("q1"), lit(r["q3"]).alias("q3"), low.alias("low"), high.alias("high"), outliers.alias("outliers"))
+        (n, (q1, q3)), m = cuts[c], number(c)
+        low = high = None
+        outliers = F.lit(0).cast("long")
+        if q1 is not None:
+            reach = IQR_FACTOR * (q3 - q1)
+            low, high = q1 - reach, q3 + reach
+            outliers = F.count_if((m < low) | (m > high)) if reach else outliers
+        values = {"q1": q1, "q3": q3, "low": low, "high": high}
+        return F.struct(F.lit(c).alias("column"), F.lit(n).cast("long").alias("n"), *(F.lit(x).cast("double").alias(k) for k, x in values.items()), outliers.alias("outliers"))
 
     out = df.agg(F.array(*map(of, columns)).alias("all")).select(F.inline("all"))
     return out.withColumn("percent", F.coalesce(F.try_divide("outliers", "n"), F.lit(0.0)) * 100)

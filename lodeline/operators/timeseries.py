@@ -56,7 +56,7 @@ def anomalies(trend: DataFrame, threshold: float = BAND, least: int = LEAST_PERI
 
 
 def detect_anomalies(trend: DataFrame, *, min_periods: int = LEAST_PERIODS, threshold: float = BAND, limit: int = 5) -> tuple[Anomaly, ...]:
-    return tuple(Anomaly(r["period"], r["value"], r["expected_low"], r["expected_high"], r["direction"], r["severity"]) for r in anomalies(trend, threshold, min_periods, limit).collect())
+    return tuple(Anomaly(r["period"], r["value"], (r["expected_low"], r["expected_high"]), r["severity"]) for r in anomalies(trend, threshold, min_periods, limit).collect())
 
 
 def seasonal_medians(trend: DataFrame) -> DataFrame:
@@ -68,6 +68,17 @@ def seasonal_medians(trend: DataFrame) -> DataFrame:
 # Forecasts work on the collected series: a row for each period, a few hundred at most.
 
 
+def unusual(series: list[tuple[datetime, float]], threshold: float = BAND, limit: int = 5) -> list[Anomaly]:
+    """The anomalies of a collected series, as ``anomalies`` finds them in a frame."""
+    if len(series) < LEAST_PERIODS:
+        return []
+    line = Line([p for p, _ in series], [v for _, v in series], False)
+    off = [v - line.at(i, p.month) for i, (p, v) in enumerate(series)]
+    spread = median(map(abs, off)) * MAD_SCALE or fmean(map(abs, off))
+    found = [Anomaly(p, v, (v - x - threshold * spread, v - x + threshold * spread), round(abs(x) / spread, 2)) for (p, v), x in zip(series, off) if spread and abs(x) > threshold * spread]
+    return sorted(found, key=lambda a: (-a.severity, a.period))[:limit]
+
+
 class Line:
     def __init__(self, periods: list[datetime], values: list[float], seasonal: bool):
         steps = [b - a for a, b in zip(values, values[1:])]
@@ -130,7 +141,7 @@ def forecast_series(periods: list[datetime], values: list[float], horizon: int =
     predicted = [max(line.at(n - 1 + k, p.month), floor) for k, p in zip(ahead, future)]
     error, held = backtest(periods, values)
     method = "Median-slope line" + (" with month-of-year seasonality" if line.months else "") + f"; band of ±{FORECAST_BAND:g} robust deviations"
-    return Forecast(tuple(future), tuple(predicted), tuple(max(p - band, floor) for p in predicted), tuple(p + band for p in predicted), error, held, method)
+    return Forecast(tuple((t, p, max(p - band, floor), p + band) for t, p in zip(future, predicted)), error, held, method)
 
 
 def build_forecast(trend: DataFrame, *, horizon: int = 6, min_periods: int = LEAST_PERIODS) -> Forecast | None:

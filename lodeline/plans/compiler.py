@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.functions.columns import col, kinds, number, shown
+from lodeline.functions.columns import col, kinds, shown
 from lodeline.functions.periods import UNITS, in_scope, preferred_grain
 from lodeline.functions.text import format_number
 from lodeline.operators import frames
@@ -62,7 +62,7 @@ def table_of(plan: QueryPlan, df: DataFrame, roles: Roles) -> DataFrame:
         case "count":
             return rows.agg((F.count_distinct(col(plan.count_column)) if plan.count_column else F.count(F.lit(1))).alias("value"))
         case "aggregate":
-            return rows.agg(frames.aggregate(plan.measure, plan.aggregation).alias("value"), F.count(number(plan.measure)).alias("rows"))
+            return frames.scalar(rows, plan.measure, plan.aggregation)
         case "rank" | "breakdown":
             limit = (plan.top_n if plan.intent == "rank" else None) or BREAKDOWN_ROWS
             return frames.grouped(rows, plan.dimension, plan.measure, plan.aggregation, plan.ascending).limit(limit)

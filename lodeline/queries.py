@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.columns import col
 from lodeline.functions.periods import in_year
-from lodeline.functions.shipping import ship
+from lodeline.functions.shipping import scratch, ship
 from lodeline.operators import cleaning, evidence, frames, roles, stats, timeseries
 from lodeline.plans import compiler, parser
 from lodeline.plans.model import QueryPlan, Roles, ValueFilter
+from lodeline.sources import tabular
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +56,7 @@ def r4(*names: str) -> list:
 
 def _scalar(aggregation: str, sql: str, digits: int) -> None:
     def run(df: DataFrame) -> DataFrame:
-        return df.agg(F.round(frames.aggregate("l_extendedprice", aggregation), digits).alias("value"))
+        return frames.scalar(df, "l_extendedprice", aggregation).select(F.round("value", digits).alias("value"))
 
     run.__name__ = f"agg_{aggregation}"
     query("lineitem", f"SELECT {sql} AS value FROM lineitem")(run)
@@ -395,8 +396,7 @@ _SEASON = "h AS (SELECT month(period) AS mo, median(residual) AS adj FROM e GROU
 @query("lineitem", f"WITH {_FIT}, {_SEASON} SELECT period, round(p, 2) AS value, round(greatest(p - 2 * sp, 0), 2) AS lower, round(p + 2 * sp, 2) AS upper FROM y")
 def forecast_next6(df):
     f = timeseries.build_forecast(_monthly(df))
-    rows = list(zip(f.periods, f.values, f.lower, f.upper)) if f else []
-    return df.sparkSession.createDataFrame(rows, "period timestamp_ntz, value double, lower double, upper double").select("period", *r2("value", "lower", "upper"))
+    return df.sparkSession.createDataFrame(f.ahead if f else [], "period timestamp_ntz, value double, lower double, upper double").select("period", *r2("value", "lower", "upper"))
 
 
 _HELD = "t AS (SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS period, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS k, value - lag(value) OVER (ORDER BY period) AS d, count(*) OVER () AS n FROM t), c AS (SELECT *, least(greatest(3, n // 5), n - 5) AS held FROM i), s AS (SELECT median(d) AS slope FROM c WHERE k < n - held), f AS (SELECT median(value - slope * k) AS icpt FROM c, s WHERE k < n - held), h AS (SELECT month(period) AS mo, median(value - icpt - slope * k) AS adj FROM c, s, f WHERE k < n - held GROUP BY 1 HAVING count(*) >= 2)"
@@ -405,7 +405,7 @@ _HELD = "t AS (SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS period, sum(
 @query("lineitem", f"WITH {_HELD} SELECT held::BIGINT AS holdout_periods, round_even(avg(abs(icpt + slope * k + coalesce(adj, 0) - value) / abs(value)) * 100, 1) AS backtest_mape FROM c CROSS JOIN s CROSS JOIN f LEFT JOIN h ON mo = month(period) WHERE k >= n - held GROUP BY 1")
 def forecast_backtest(df):
     f = timeseries.build_forecast(_monthly(df))
-    return df.sparkSession.createDataFrame([(f.holdout_periods, f.backtest_mape)], "holdout_periods long, backtest_mape double")
+    return df.sparkSession.createDataFrame([(f.held_out, f.error_percent)], "holdout_periods long, backtest_mape double")
 
 
 # Typing of text: T-1 to T-3, F-2 to F-4.
@@ -434,8 +434,9 @@ def trim_blank_to_null(df):
 @query("customer", "SELECT count(*) AS final_rows, 3::BIGINT AS final_columns, (SELECT count(*) FROM customer) AS duplicate_rows_removed, 1::BIGINT AS empty_columns_removed FROM (SELECT DISTINCT c_custkey, c_mktsegment, c_acctbal FROM customer)")
 def cleaning_report(df):
     base = df.select("c_custkey", "c_mktsegment", "c_acctbal", F.lit(None).cast("string").alias("nothing"))
-    _, report = cleaning.clean(base.unionAll(base))
-    return df.sparkSession.createDataFrame([(report.final_rows, report.final_columns, report.duplicate_rows_removed, report.empty_columns_removed)], "final_rows long, final_columns long, duplicate_rows_removed long, empty_columns_removed long")
+    _, audit = cleaning.clean(base.unionAll(base))
+    done = audit.operations
+    return df.sparkSession.createDataFrame([(*audit.after, done["Duplicate rows removed"], done["Empty columns removed"])], "final_rows long, final_columns long, duplicate_rows_removed long, empty_columns_removed long")
 
 
 # Questions: Q-1 to Q-13, each from its words to its rows.
@@ -457,40 +458,121 @@ _asked("nlq_trend", "orders", ORDERS, "monthly o_totalprice trend", "SELECT date
 _asked("nlq_growth", "orders", ORDERS, "which o_orderpriority grew fastest per month?", ORACLE_SQL["growth_by_segment"], lambda t: t.select("segment", *r2("previous", "latest"), "change_percent"))
 
 
-# Rows without SQL: decisions and words.
+_asked("nlq_count_entity", "orders", Roles("o_orderdate", "o_totalprice", "o_orderstatus", "o_custkey", ORDERS.numeric, ORDERS.dimensions), "how many o_custkey are there?", "SELECT count(DISTINCT o_custkey) AS value FROM orders", lambda t: t)
 
 
-@query("orders")
+# Decisions and words: R, E, C-4, Q-14.
+
+BRIEFED = Roles("o_orderdate", "o_totalprice", "o_orderpriority", "o_orderkey", ORDERS.numeric, ORDERS.dimensions)
+
+
+@query("orders", "SELECT * FROM (VALUES ('Primary metric', 'o_totalprice'), ('Business segment', 'o_orderstatus'), ('Date', 'o_orderdate'), ('Identifier', 'Not detected')) t(role, \"column\")")
 def detected_roles(df):
     return roles.schema_frame(df, roles.detect_roles(df))
 
 
-@query("orders")
-def brief_evidence(df):
-    own = Roles("o_orderdate", "o_totalprice", "o_orderpriority", "o_orderkey", ORDERS.numeric, ORDERS.dimensions)
-    return evidence.evidence_frame(df, evidence.analyze(df, own))
+_FACTS = """
+WITH c AS (SELECT o_orderpriority AS s, date_trunc('quarter', o_orderdate)::TIMESTAMP AS p, sum(o_totalprice) AS v FROM orders GROUP BY ALL),
+t AS (SELECT p, sum(v) AS v FROM c GROUP BY 1),
+k AS (SELECT *, row_number() OVER (ORDER BY p) - 1 AS k, v - lag(v) OVER (ORDER BY p) AS d, row_number() OVER (ORDER BY p DESC) AS back FROM t),
+growth AS (SELECT 100 * (b.v - a.v) / abs(a.v) AS x FROM k a, k b WHERE a.back = 2 AND b.back = 1),
+moved AS (SELECT s, coalesce(sum(c.v) FILTER (back = 1), 0) - coalesce(sum(c.v) FILTER (back = 2), 0) AS x FROM c JOIN k USING (p) WHERE back <= 2 GROUP BY 1),
+driver AS (SELECT s, x FROM moved ORDER BY CASE WHEN (SELECT sum(x) FROM moved) > 0 THEN -x ELSE x END, s LIMIT 1),
+sizes AS (SELECT s, sum(v) AS v, row_number() OVER (ORDER BY sum(v) DESC, s) AS place FROM c GROUP BY 1),
+slope AS (SELECT median(d) AS a FROM k), base AS (SELECT median(v - a * k) AS b FROM k, slope),
+rest AS (SELECT v - a * k - b AS r FROM k, slope, base), mad AS (SELECT median(abs(r)) * 1.4826 AS m FROM rest),
+odd AS (SELECT least(count(*), 5) AS n FROM rest, mad WHERE abs(r) > 3 * m),
+cut AS (SELECT quantile_cont(o_totalprice, 0.25) AS q, quantile_cont(o_totalprice, 0.75) AS z FROM orders),
+far AS (SELECT count(*) AS n FROM orders, cut WHERE o_totalprice < q - 1.5 * (z - q) OR o_totalprice > z + 1.5 * (z - q)),
+facts AS (
+  SELECT 'trend' AS kind, x AS number, '' AS subject, CASE WHEN x >= 0 THEN 'positive' ELSE 'negative' END AS tone FROM growth
+  UNION ALL SELECT 'driver', x, s, CASE WHEN x > 0 THEN 'positive' ELSE 'negative' END FROM driver
+  UNION ALL SELECT 'leader', 100 * v / (SELECT sum(v) FROM sizes), s, 'positive' FROM sizes WHERE place = 1
+  UNION ALL SELECT 'concentration', 100 * sum(v) FILTER (place <= 3) / sum(v), '', CASE WHEN 100 * sum(v) FILTER (place <= 3) / sum(v) >= 70 THEN 'warning' ELSE 'neutral' END FROM sizes
+  UNION ALL SELECT 'anomaly', n, '', 'warning' FROM odd WHERE n > 0
+  UNION ALL SELECT 'outliers', n, '', 'warning' FROM far WHERE n > 0)
+"""
 
 
-@query("orders")
+@query("orders", _FACTS + "SELECT kind, round(number, 2) AS number, subject, tone FROM facts")
+def brief_evidence(df):
+    return evidence.evidence_frame(df, evidence.analyze(df, BRIEFED)).select("kind", *r2("number"), "subject", "tone")
+
+
+@query(
+    "orders",
+    _FACTS
+    + """, titles AS (
+  SELECT 1 AS k, 'Now' AS "when", CASE WHEN g.tone = 'negative' THEN 'Start with ' || d.subject ELSE 'Make ' || d.subject || '''s growth repeatable' END AS title FROM facts g, facts d WHERE g.kind = 'trend' AND d.kind = 'driver'
+  UNION ALL SELECT 2, 'Next', CASE WHEN tone = 'warning' THEN 'Reduce concentration risk' ELSE 'Learn from the leader' END FROM facts WHERE kind = 'concentration'
+  UNION ALL SELECT 3, 'Now', 'Explain the unusual periods' FROM facts WHERE kind = 'anomaly'
+  UNION ALL SELECT 4, 'Watch', 'Review exceptional records' FROM facts WHERE kind = 'outliers')
+SELECT "when", title FROM titles ORDER BY k LIMIT 4""",
+)
 def brief_recommendations(df):
-    brief = evidence.analyze(df, ORDERS)
-    return df.sparkSession.createDataFrame([(r.priority, r.title, r.action, r.rationale) for r in brief.recommendations], "priority string, title string, action string, rationale string")
-
-
-@query("events")
+    brief = evidence.analyze(df, BRIEFED)
+    return df.sparkSession.createDataFrame([(s.when, s.title) for s in brief.steps], "when string, title string")
+
+
+@query(
+    "events",
+    """
+WITH pair AS (SELECT corr(value, user_id) AS r FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL),
+cut AS (SELECT quantile_cont(value, 0.25) AS q, quantile_cont(value, 0.75) AS z, quantile_cont(user_id, 0.25) AS uq, quantile_cont(user_id, 0.75) AS uz FROM events),
+far AS (SELECT 'value' AS c, count(*) FILTER (value < q - 1.5 * (z - q) OR value > z + 1.5 * (z - q)) AS n, count(value) AS all_n FROM events, cut
+  UNION ALL SELECT 'user_id', count(*) FILTER (user_id < uq - 1.5 * (uz - uq) OR user_id > uz + 1.5 * (uz - uq)), count(user_id) FROM events, cut),
+top AS (SELECT event_type AS v, 100.0 * count(*) / (SELECT count(event_type) FROM events) AS x FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+SELECT 'Strongest numeric relationship' AS title, format('value and user_id: Pearson correlation {:.2f}. Correlation isn''t causation.', r) AS text, 'info' AS level FROM pair
+UNION ALL (SELECT 'Potential outliers', format('{} has {:,} values ({:.1f}%) beyond 1.5 interquartile ranges.', c, n, 100.0 * n / all_n), 'warning' FROM far WHERE n > 0 ORDER BY n / all_n DESC LIMIT 1)
+UNION ALL SELECT 'Largest category share', format('{} makes up {:.1f}% of the present values of event_type.', v, x), 'info' FROM top
+UNION ALL SELECT 'Time coverage', 'ts runs from ' || strftime(min(ts), '%Y-%m-%d') || ' to ' || strftime(max(ts), '%Y-%m-%d') || '.', 'info' FROM events
+""",
+)
 def generic_insights(df):
-    return df.sparkSession.createDataFrame([(i.title, i.detail, i.level) for i in evidence.insights(df.select("ts", "event_type", "value", "user_id"))], "title string, detail string, level string")
+    return df.sparkSession.createDataFrame([(i.title, i.text, i.level) for i in evidence.insights(df.select("ts", "event_type", "value", "user_id"))], "title string, text string, level string")
 
 
-@query("orders")
+@query("orders", "SELECT * FROM (VALUES ('Total o_totalprice'), ('Top 5 o_orderpriority by o_totalprice'), ('Monthly o_totalprice trend'), ('Which o_orderpriority grew fastest?')) t(question)")
 def suggested_questions(df):
     return df.sparkSession.createDataFrame([(s,) for s in parser.suggestions(ORDERS)], "question string")
 
 
-@query("customer")
+@query(
+    "customer",
+    "SELECT * FROM (VALUES ('Empty rows removed', 1::BIGINT), ('Empty columns removed', 1), ('Exported index columns removed', 0), ('Duplicate rows removed', 0), ('Numeric columns inferred', 1), ('Datetime columns inferred', 1)) t(operation, count)",
+)
 def cleaning_audit(df):
-    _, report = cleaning.clean(df.withColumn("empty", F.lit(None).cast("string")))
-    return cleaning.audit_frame(df, report)
+    blank = F.lit(None).cast("string")
+    own = df.select("c_custkey", "c_name", F.col("c_acctbal").cast("string").alias("balance"), F.lit("2024-01-02").alias("created"), blank.alias("empty"))
+    nothing = own.limit(1).select(*(F.lit(None).cast(t).alias(c) for c, t in own.dtypes))
+    df, audit = cleaning.clean(own.unionAll(nothing))
+    return cleaning.audit_frame(df, audit)
+
+
+# Sources and sinks: S-1 to S-6, S-10, S-13, each written and read back.
+
+
+@query("customer", "SELECT c_custkey::DOUBLE AS c_custkey, c_mktsegment || ', \"' || c_name || '\"' AS note, c_acctbal FROM customer")
+def csv_round_trip(df):
+    spark, path = df.sparkSession, scratch(df.sparkSession, "csv")
+    tabular.write_csv(df.select("c_custkey", F.concat("c_mktsegment", F.lit(', "'), "c_name", F.lit('"')).alias("note"), "c_acctbal"), path, single=True)
+    table, _ = cleaning.clean(tabular.read_csv(spark, spark.read.text(path).inputFiles()[0]))
+    # A name with "id" or "code" in it would be kept as text; "c_custkey" is a number.
+    return table.select("c_custkey", "note", "c_acctbal")
+
+
+@query("part", "SELECT p_partkey, p_brand FROM part ORDER BY p_partkey LIMIT 50")
+def parquet_preview(df):
+    spark, path = df.sparkSession, scratch(df.sparkSession, "parquet")
+    df.orderBy("p_partkey").coalesce(1).write.parquet(path)
+    return tabular.preview(tabular.read_parquet(spark, path), 50).select("p_partkey", "p_brand")
+
+
+@query("customer", "SELECT '# ' || count(*) || ' customers' AS line FROM customer")
+def text_sink(df):
+    spark, path = df.sparkSession, scratch(df.sparkSession, "brief") + ".md"
+    tabular.write_text(spark, f"# {df.count()} customers\n", path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 def demo_trend(spark: SparkSession, sf_dir: str) -> DataFrame:

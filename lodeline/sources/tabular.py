@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import csv
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeline.functions.columns import ORDER, col, q, spark_names, unique_names, user_columns, with_order
-from lodeline.sources.xlsx import register, sheet_names
+from lodeline.functions.shipping import ship
+from lodeline.sources.xlsx import blocks, layout, sheet_names
 
 TABLE_SUFFIXES = (".csv", ".xlsx", ".xlsm")
 WORKBOOKS = (".xlsx", ".xlsm")
@@ -30,6 +33,11 @@ def head(spark: SparkSession, path: str, size: int) -> bytes:
         stream.close()
 
 
+def content(spark: SparkSession, path: str) -> bytes:
+    """A workbook's bytes (one file, whose format bounds it)."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+
+
 def validate(spark: SparkSession, path: str) -> str:
     suffix = os.path.splitext(path)[1].lower()
     if suffix not in TABLE_SUFFIXES:
@@ -39,11 +47,17 @@ def validate(spark: SparkSession, path: str) -> str:
     return suffix
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 where every line of the file is valid in it, else Latin-1."""
+def lines_of(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The encoding (UTF-8 where every line is valid in it, else Latin-1), and
+    whether a quoted cell may hold a line end: then a line has an odd number of quotes."""
     # Line ends are single bytes in both, so lines can be tested apart.
-    lines = spark.read.text(path)
-    return "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+    odd = F.size(F.split("value", '"')) % 2 == 0
+    r = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value")).alias("invalid"), F.count_if(odd).alias("odd")).first()
+    return "ISO-8859-1" if r["invalid"] else "UTF-8", r["odd"] > 0
+
+
+def encoding_of(spark: SparkSession, path: str) -> str:
+    return lines_of(spark, path)[0]
 
 
 def delimiter_of(text: str) -> str:
@@ -58,27 +72,35 @@ def delimiter_of(text: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; typing belongs to cleaning. One scan for the encoding, one for the rows."""
+    """All columns as text; typing belongs to cleaning. One scan for the encoding,
+    one for the rows, which only cells with line ends keep in one task for each file."""
     sample = head(spark, path, 1 << 20)
-    encoding = encoding_of(spark, path)
+    encoding, broken = lines_of(spark, path)
     text = sample.decode(encoding, "replace").removeprefix("﻿")
     delimiter = delimiter_of(text[:SAMPLE])
     header = next(csv.reader(text.splitlines(), delimiter=delimiter), [])
     names = spark_names(unique_names(h or f"Unnamed: {k}" for k, h in enumerate(header)))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(schema).options(header=True, sep=delimiter, encoding=encoding, multiLine=True, escape='"', enforceSchema=True, mode="PERMISSIVE").csv(path)
+    raw = spark.read.schema(schema).options(header=True, sep=delimiter, encoding=encoding, multiLine=broken, escape='"', enforceSchema=True, mode="PERMISSIVE").csv(path)
     return with_order(raw.select(*(F.when(~F.coalesce(col(n), F.lit("")).isin(*MISSING), col(n)).alias(n) for n in names)))
 
 
 def list_sheets(spark: SparkSession, path: str) -> list[str]:
-    return sheet_names(path) if validate(spark, path) in WORKBOOKS else []
+    return sheet_names(content(spark, path)) if validate(spark, path) in WORKBOOKS else []
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    register(spark)
-    reader = spark.read.format("xlsx").option("path", path)
-    df = (reader.option("sheet", sheet) if sheet else reader).load()
-    return df.withColumnRenamed("row_number", ORDER)
+    """A sheet from any store that Spark reads. The driver looks at the header, an executor at the rows."""
+    part, names = layout(content(spark, path), sheet)
+    schema = T.StructType([T.StructField(ORDER, T.LongType()), *(T.StructField(n, T.StringType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for whole in batch.column(0):
+                for rows in blocks(whole.as_py(), part, len(names)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k else pa.int64()) for k, c in enumerate(zip(*rows))], schema.names)
+
+    return ship(spark).read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
@@ -98,7 +120,7 @@ def preview(df: DataFrame, rows: int = 1000) -> DataFrame:
 def write_csv(df: DataFrame, path: str, *, single: bool = False) -> None:
     """The table as CSV with a header; ``single`` makes one file of small tables."""
     out = df.select(*(col(c).alias(c) for c in user_columns(df)))
-    (out.coalesce(1) if single else out).write.mode("overwrite").options(header=True, encoding="UTF-8").csv(path)
+    (out.coalesce(1) if single else out).write.mode("overwrite").options(header=True, encoding="UTF-8", escape='"').csv(path)
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:

@@ -1,21 +1,20 @@
-"""A Spark data source for Excel workbooks, on the standard library alone.
+"""Excel workbooks from their bytes, on the standard library alone.
 
-One partition reads one sheet as a stream. Cells come as text, dates in ISO
-form: typing belongs to cleaning.
+Sheets are read as streams. Cells come as text, dates in ISO form: typing
+belongs to cleaning.
 """
 
 from __future__ import annotations
 
+import io
 import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import islice
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
 from lodeline.functions.columns import spark_names, unique_names
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -25,13 +24,9 @@ DATE_FORMATS = frozenset((*range(14, 23), *range(27, 37), *range(45, 48), *range
 EPOCH = datetime(1899, 12, 30)
 
 
-def local(path: str) -> str:
-    return re.sub(r"^file:(//)?", "", path)
-
-
-def opened(path: str) -> zipfile.ZipFile:
+def opened(raw: bytes) -> zipfile.ZipFile:
     try:
-        return zipfile.ZipFile(local(path))
+        return zipfile.ZipFile(io.BytesIO(raw))
     except zipfile.BadZipFile as e:
         raise ValueError("The file is not a valid Excel workbook.") from e
 
@@ -46,8 +41,8 @@ def sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return out
 
 
-def sheet_names(path: str) -> list[str]:
-    with opened(path) as book:
+def sheet_names(raw: bytes) -> list[str]:
+    with opened(raw) as book:
         return [name for name, _ in sheets(book)]
 
 
@@ -113,45 +108,21 @@ def sheet_rows(book: zipfile.ZipFile, part: str) -> Iterator[list[str | None]]:
             row.clear()
 
 
-class XlsxSource(DataSource):
-    """``spark.read.format("xlsx").option("path", ...).option("sheet", ...)``"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
-
-    def _part(self, book: zipfile.ZipFile) -> str:
-        found, wanted = sheets(book), self.options.get("sheet")
-        for name, part in found:
-            if wanted in (None, name):
-                return part
-        raise ValueError(f"The workbook has no sheet named {wanted!r}.")
-
-    def schema(self) -> str:
-        with opened(self.options["path"]) as book:
-            header = next(sheet_rows(book, self._part(book)), [])
-        names = spark_names(unique_names(h or f"Unnamed: {k}" for k, h in enumerate(header)))
-        return ", ".join(["row_number long", *("`" + n.replace("`", "``") + "` string" for n in names)])
-
-    def reader(self, schema) -> DataSourceReader:
-        with opened(self.options["path"]) as book:
-            return XlsxReader(self.options["path"], self._part(book), len(schema.fields) - 1)
-
-
-class XlsxReader(DataSourceReader):
-    def __init__(self, path: str, part: str, width: int):
-        self.path, self.part, self.width = path, part, width
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition) -> Iterator[tuple]:
-        with opened(self.path) as book:
-            rows = sheet_rows(book, self.part)
-            next(rows, None)
-            for k, row in enumerate(rows):
-                yield (k, *(row + [None] * self.width)[: self.width])
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(XlsxSource)
+def layout(raw: bytes, sheet: str | None = None) -> tuple[str, list[str]]:
+    """(part of a sheet, names of its columns)."""
+    with opened(raw) as book:
+        part = next((part for name, part in sheets(book) if sheet in (None, name)), None)
+        if part is None:
+            raise ValueError(f"The workbook has no sheet named {sheet!r}.")
+        header = next(sheet_rows(book, part), [])
+    return part, spark_names(unique_names(h or f"Unnamed: {k}" for k, h in enumerate(header)))
+
+
+def blocks(raw: bytes, part: str, width: int, size: int = 5_000) -> Iterator[list[tuple]]:
+    """The rows below the header, numbered and of one width, in blocks."""
+    with opened(raw) as book:
+        rows = sheet_rows(book, part)
+        next(rows, None)
+        numbered = ((k, *(row + [None] * width)[:width]) for k, row in enumerate(rows))
+        while block := list(islice(numbered, size)):
+            yield block

@@ -89,8 +89,8 @@ def test_cleaning(spark):
     assert out.columns == ["amount", "Order Date", "Region"]
     assert dict(out.dtypes) == {"amount": "double", "Order Date": "timestamp_ntz", "Region": "string"}
     assert out.first()["Region"] == "West" and out.count() == 2
-    assert (audit.index_columns_removed, audit.empty_columns_removed, audit.duplicate_rows_removed) == (1, 1, 2)
-    assert dict(cleaning.audit_rows(audit))["Numeric columns inferred"] == 1
+    assert [audit.operations[f"{x} removed"] for x in ("Exported index columns", "Empty columns", "Duplicate rows")] == [1, 1, 2]
+    assert {r["operation"]: r["count"] for r in cleaning.audit_frame(df, audit).collect()}["Numeric columns inferred"] == 1
 
 
 def test_cleaning_refuses_nothing(spark):
@@ -109,13 +109,13 @@ def test_parsed_numbers(spark, text, value):
 def test_blanks_count_against_typing(spark):
     rows = [(str(k), "a1") for k in range(18)] + [(" ", "a1"), (" ", "a1")]
     df, audit = cleaning.clean(spark.createDataFrame(rows, "amount string, zip string"))
-    assert audit.numeric_columns_inferred == 0 and dict(df.dtypes)["amount"] == "string"
+    assert audit.operations["Numeric columns inferred"] == 0 and dict(df.dtypes)["amount"] == "string"
 
 
 def test_bound(spark):
     prepared = cleaning.prepare(demo(spark, rows=100), row_limit=80)
-    assert prepared.truncated_rows == 20 and prepared.report.original_rows == 80
-    assert prepared.analyze().evidence
+    assert prepared.truncated_rows == 20 and prepared.audit.before[0] == 80
+    assert prepared.analyze().facts
 
 
 # Statistics.
@@ -166,16 +166,17 @@ def test_dip_line_and_short(spark):
 
 def test_forecasts(spark):
     line = timeseries.build_forecast(series(spark, [100 + 10 * k for k in range(16)]))
-    assert len(line.periods) == 6 and abs(line.values[0] - 260) < 1e-6 and line.backtest_mape == 0.0
+    assert len(line.ahead) == 6 and abs(line.ahead[0][1] - 260) < 1e-6 and line.error_percent == 0.0
     assert timeseries.build_forecast(series(spark, range(100, 170, 10))) is None
-    assert len(timeseries.build_forecast(series(spark, range(100, 108))).values) == 4
+    assert len(timeseries.build_forecast(series(spark, range(100, 108))).ahead) == 4
     noise = np.random.default_rng(9).normal(0, 6, 30)
     seasonal = timeseries.build_forecast(series(spark, [1000 + 12 * k + 90 * np.sin(2 * np.pi * k / 12) + noise[k] for k in range(30)]))
-    assert "seasonality" in seasonal.method and seasonal.backtest_mape < 15
+    assert "seasonality" in seasonal.method and seasonal.error_percent < 15
     falling = timeseries.build_forecast(series(spark, [*range(800, 0, -100), 50, 10]))
-    assert min(falling.values) >= 0 and min(falling.lower) >= 0
+    assert min(x for _, *row in falling.ahead for x in row) >= 0
     gapped = timeseries.build_forecast(series(spark, [100 + 5 * k for k in range(14)]).where("period <> timestamp_ntz'2024-07-01'"))
-    assert len(gapped.periods) == 6 and list(gapped.periods) == sorted(set(gapped.periods))
+    periods = [row[0] for row in gapped.ahead]
+    assert len(periods) == 6 and periods == sorted(set(periods))
 
 
 # Frames and briefs.
@@ -193,17 +194,17 @@ def test_drivers_sum_to_the_change(orders, found):
 
 def test_brief(orders, found):
     brief = evidence.analyze(orders, found)
-    assert [e.kind for e in brief.evidence][:3] == ["trend", "driver", "leader"]
-    assert len(brief.kpis) == 4 and 1 <= len(brief.recommendations) <= 4
+    assert [e.kind for e in brief.facts][:3] == ["trend", "driver", "leader"]
+    assert len(brief.tiles) == 4 and 1 <= len(brief.steps) <= 4 and all(t.value for t in brief.tiles)
     text = report.business_report(orders, brief, source_name="demo", context="Q4")
-    assert brief.headline in text and all(e.calculation in text for e in brief.evidence)
+    assert brief.headline in text and all(e.calculation in text for e in brief.facts)
 
 
 def test_decline_starts_with_its_segment(spark):
     rows = [(datetime(2025, m, 15), float(v), r) for m, v, r in zip(range(1, 6), (1000, 1100, 1200, 1300, 600), ("West", "West", "East", "East", "West"))]
     df = spark.createDataFrame(rows, "Date timestamp_ntz, Revenue double, Region string")
     brief = evidence.analyze(df, Roles("Date", "Revenue", "Region", None, ("Revenue",), ("Region",)))
-    assert brief.recommendations[0].title == "Start with East"
+    assert brief.steps[0].title == "Start with East"
 
 
 def test_generic_report(spark, orders):
@@ -282,9 +283,23 @@ def test_planner(orders, found):
 
 def test_narrative(orders, found):
     brief = evidence.analyze(orders, found)
-    subject = next(e.subject for e in brief.evidence if e.subject)
+    subject = next(e.subject for e in brief.facts if e.subject)
     assert subject in planner.narrative_payload(brief) and subject not in planner.narrative_payload(brief, redact=True)
     raw = {"executive_summary": "s", "strategic_read": "r", "actions": [{"title": "t", "recommendation": "d", "evidence": "e", "confidence": "low"}]}
     assert "low confidence" in planner.narrative_markdown(planner.narrate_with(lambda *_: raw, brief), model="m")
     with pytest.raises(RuntimeError):
         planner.narrate_with(lambda *_: None, brief)
+
+
+# Percentiles by rank.
+
+
+@pytest.mark.parametrize("values", [[], [5.0], [1.0, 2.0], list(range(1000)), [7] * 900 + [8] * 3 + [1e9], [0] * 500 + [1] * 500, [0] * 500 + [1] * 501, [-1e300, 0, 1e300] * 50, [None, float("nan"), 3.0, 4.5]])
+@pytest.mark.parametrize("small", [4, 10_000])
+def test_percentiles_are_exact(spark, values, small):
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double").repartition(3)
+    n, got = stats.percentiles(df, ["v"], shares, small)["v"]
+    own = [float(v) for v in values if v is not None and v == v]
+    assert n == len(own)
+    assert got == ([None] * len(shares) if not own else pytest.approx(np.percentile(own, [100 * p for p in shares]).tolist()))
