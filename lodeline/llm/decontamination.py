@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are cut into overlapping windows of words. Their TF-IDF rows over the
-benchmark's terms (other words count in the norm) form a matrix whose leading
-right singular vectors a randomised, distributed range finder computes: one
-pass sums A'(A G) for a Gaussian G, a second one the Gram matrix of A Q. Tables
-that partitions send are of a fixed size and are summed in a tree.
+benchmark's terms (other words count in the norm) form a matrix A whose leading
+right singular vectors a randomised, distributed decomposition computes: one
+pass sums Y = A'(A G) for an orthonormal random G, and the Nystroem
+approximation Y (G'Y)^-1 Y' of A'A has its factors without another pass. Tables
+that partitions send are of a fixed size and are summed in a tree of fixed fan-in.
 
 Windows and pieces of benchmark items meet in the latent space; a window whose
 cosine with a piece reaches the threshold is a candidate. Candidates are
@@ -23,9 +24,11 @@ whole in one of them. Where a share of an item's n words occurs in order, at
 most (1 - share) n of them are missing, so of the (1 - share) n + t rarest ones
 at least t occur: every stretch with t of these is verified.
 
-Counts, factors and search cover all windows of all documents. The benchmark is
-the stated query set; it is taken in blocks of ``BLOCK_ITEMS`` items, so that
-what is broadcast has a bound.
+Counts, factors and search cover all windows of all documents, but for windows
+that can't matter: a copy of an item of n words (32 at most count) that is at
+most half as long again and has the share of 0.6 has 0.4 n of its words in some
+window. The benchmark is the stated query set; it is taken in blocks of about
+``BLOCK_WORDS`` words, which bound the terms and thereby every table.
 
 Words are runs of letters, digits and non-ASCII characters in lower case.
 
@@ -52,15 +55,15 @@ from lodeline.llm.common import dropped, shipped, slices, written
 
 WINDOW, STRIDE, PIECE_STEP = 32, 16, 4
 RANK, EXTRA = 208, 16
-MAX_TERMS = 1 << 15
-BLOCK_ITEMS = 5_000
+BLOCK_WORDS = 1 << 17
+#: Tables that one task of the summing tree adds.
+FAN_IN = 4
 LEAST_WORDS = 8
 #: Short items that the exact search takes at a time.
 SHORT_ITEMS = 512
 #: Bytes of term numbers that a worker takes at a time.
 IDS_BYTES = 1 << 20
 LATENT_COSINE = 0.52
-COSINE = 0.1
 ITEM_SHARE, ANSWER_SHARE = 0.6, 0.5
 
 MATCHES = "doc_id long, item_id long, cosine double, item_share double, answer_share double, first_word long"
@@ -105,8 +108,8 @@ class Queries:
 
     @property
     def width(self) -> int:
-        """Columns of the matrix: terms, folded where there are too many."""
-        return max(1, min(len(self.terms), MAX_TERMS))
+        """Columns of the matrix."""
+        return max(1, len(self.terms))
 
     @property
     def least_known(self) -> int:
@@ -161,15 +164,17 @@ class Windows:
         self.half = first_half[self.doc] + self.place
         self.second = np.where(halves[self.doc] > 1, self.half + 1, -1)
         self.n_halves = int(first_half[-1])
-        known = self.flat >= 0
-        # A row of term numbers for each half; ``width`` stands for no known word.
-        self.terms = np.full((self.n_halves, STRIDE), width, np.int32)
-        within = (np.arange(len(self.flat)) - self.first_word[doc_of_word]) % STRIDE
-        self.terms[half_of_word[known], within[known]] = self.flat[known] % width
-        self.term = self.flat[known] % width
+        known, self.width = self.flat >= 0, width
+        self.term = self.flat[known]
         self.term_half = half_of_word[known]
         self.unknown = np.bincount(half_of_word[~known], minlength=self.n_halves)
         self.known = np.bincount(self.term_half, minlength=self.n_halves)
+        # A row of known terms for each half, those with most terms first; ``width`` fills up.
+        self.order = np.argsort(-self.known, kind="stable")
+        place = np.empty(self.n_halves, np.int64)
+        place[self.order] = np.arange(self.n_halves)
+        self.terms = np.full((self.n_halves, STRIDE), width, np.int32)
+        self.terms[place[self.term_half], np.arange(len(self.term)) - np.repeat(np.cumsum(self.known) - self.known, self.known)] = self.term
 
     def __len__(self) -> int:
         return len(self.doc)
@@ -189,8 +194,8 @@ class Windows:
         a, b = window_of_half[self.term_half], before[self.term_half]
         window = np.concatenate([a[a >= 0], b[b >= 0]])
         term = np.concatenate([self.term[a >= 0], self.term[b >= 0]])
-        keys, counts = np.unique(window * MAX_TERMS + term, return_counts=True)
-        return keys // MAX_TERMS, keys % MAX_TERMS, counts
+        keys, counts = np.unique(window * self.width + term, return_counts=True)
+        return keys // self.width, keys % self.width, counts
 
     def norms(self, idf: np.ndarray, idf_unknown: float) -> np.ndarray:
         window, term, count = self.entries()
@@ -202,8 +207,11 @@ class Windows:
         padded = np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)])
         out = np.zeros((self.n_halves, table.shape[1]), np.float32)
         for at in range(0, self.n_halves, 512):  # whole rows at a time, in blocks that stay in the cache
-            for k in range(STRIDE):
-                out[at : at + 512] += padded[self.terms[at : at + 512, k]]
+            rows = self.order[at : at + 512]
+            total = np.zeros((len(rows), table.shape[1]), np.float32)
+            for k in range(self.known[rows[0]]):
+                total += padded[self.terms[at : at + 512, k]]
+            out[rows] = total
         return self.paired(out)
 
     def back(self, rows: np.ndarray, width: int) -> np.ndarray:
@@ -242,11 +250,11 @@ def summed(encoded: DataFrame, width: int, shape: tuple[int, ...], part: Callabl
         yield table(total)
 
     tables, n = encoded.mapInArrow(first, "table binary"), encoded.rdd.getNumPartitions()
-    while n > 8:
-        n = max(1, round(n**0.5))
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
         tables = tables.repartition(n).mapInArrow(add, "table binary")
     total = np.zeros(shape)
-    for row in tables.collect():  # at most eight tables
+    for row in tables.toLocalIterator():  # at most FAN_IN tables, one at a time
         total += np.frombuffer(row["table"], np.float32).reshape(shape)
     return total
 
@@ -272,25 +280,35 @@ def latent_space(encoded: DataFrame, width: int, rank: int = RANK, seed: int = 7
     idf = np.log((n + 1) / (counts[:-1] + 1)) + 0.01
     idf_unknown = float(np.log(n + 1)) + 0.01
     columns = min(rank + EXTRA, width)
-    start = np.random.default_rng(seed).standard_normal((width, columns))
+    start, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, columns)))
     spread = (start * idf[:, None]).astype(np.float32)
 
     def outer(w: Windows) -> np.ndarray:
         rows = w.projected(spread) / (w.norms(idf, idf_unknown) ** 2)[:, None]
         return w.back(rows, width) * idf[:, None]
 
-    basis, _ = np.linalg.qr(summed(encoded, width, (width, columns), outer))
-    table = (basis * idf[:, None]).astype(np.float32)
-
-    def gram(w: Windows) -> np.ndarray:
-        rows = w.projected(table) / w.norms(idf, idf_unknown)[:, None]
-        return rows.T @ rows
-
-    values, turn = np.linalg.eigh(summed(encoded, width, (basis.shape[1],) * 2, gram))
-    keep = np.argsort(-values)[:rank]
+    vectors, values = nystroem(summed(encoded, width, (width, columns), outer), start)
+    vectors, values = vectors[:, :rank], values[:rank]
     # Coordinates of unit variance: else the few strongest topics decide every cosine.
-    scale = np.sqrt(np.maximum(values[keep], max(1e-6 * values.max(), 1e-12)) / max(n, 1))
-    return Space(idf, idf_unknown, ((basis @ turn[:, keep]) / scale * idf[:, None]).astype(np.float32))
+    scale = np.sqrt(np.maximum(values, max(1e-6 * values.max(), 1e-12)) / max(n, 1))
+    return Space(idf, idf_unknown, (vectors / scale * idf[:, None]).astype(np.float32))
+
+
+def nystroem(image: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvectors and falling eigenvalues of the positive semidefinite M with
+    ``image`` = M ``start``, from these two alone. A small shift keeps the
+    Cholesky factor defined; it grows where rounding asks for more."""
+    shift = max(np.sqrt(len(image)) * np.finfo(np.float32).eps * float(np.linalg.norm(image)), 1e-30)
+    while True:
+        moved = image + shift * start
+        core = start.T @ moved
+        try:
+            factor = np.linalg.cholesky((core + core.T) / 2)
+            break
+        except np.linalg.LinAlgError:
+            shift *= 10
+    vectors, roots, _ = np.linalg.svd(np.linalg.solve(factor, moved.T).T, full_matrices=False)
+    return vectors, np.maximum(roots**2 - shift, 0)
 
 
 def common_length(positions: dict[int, int], region: np.ndarray, size: int) -> int:
@@ -322,10 +340,15 @@ class Wording:
         self.parts = [(masks(ids[a:b]), b - a) for a, b in zip(cuts, cuts[1:])] if len(cuts) > 2 else []
 
     def share(self, region: np.ndarray, least: float) -> float:
-        """Share of the words that the region has in order or, where that is below ``least``, in order by sentence."""
+        """Share of the words that the region has in order or, where that is below ``least``, in order by
+        sentence. 0 where it has too few of the words for ``least`` in any order."""
+        own = [x for x in region.tolist() if x in self.mask]
+        if len(own) < least * self.size:
+            return 0.0
+        region = np.array(own, np.int64)
         most = common_length(self.mask, region, self.size)
         if self.parts and most < least * self.size:
-            here = Counter(region.tolist())
+            here = Counter(own)
             both = sum(min(n, here[x]) for x, n in self.words.items())
             if both >= least * self.size:
                 most = max(most, min(both, sum(common_length(m, region, n) for m, n in self.parts)))
@@ -347,7 +370,7 @@ class Sequences:
         self.ids = np.full((len(queries.tiny), LEAST_WORDS), -2, np.int32)
         for k, i in enumerate(queries.tiny):
             self.ids[k, : len(i.ids)] = i.ids
-        self.place = np.array([int(np.argmax(idf[i.ids % queries.width])) for i in queries.tiny], np.int64)
+        self.place = np.array([int(np.argmax(idf[i.ids])) for i in queries.tiny], np.int64)
         term = self.ids[np.arange(len(self.place)), self.place]
         self.items = np.argsort(term, kind="stable")
         self.count = np.bincount(term, minlength=len(queries.terms) + 1)
@@ -382,7 +405,7 @@ class Anchors:
             ids = queries.items[k].ids
             least = max(1, int(np.ceil(share * len(ids) - 1e-9)))
             self.need[k], self.half[k] = max(1, least // 3), -(-len(ids) // 2)
-            rarest = np.argsort(-idf[ids % queries.width], kind="stable")[: len(ids) - least + self.need[k]]
+            rarest = np.argsort(-idf[ids], kind="stable")[: len(ids) - least + self.need[k]]
             own = np.unique(ids[rarest])
             terms.append(own)
             items.append(np.full(len(own), k))
@@ -409,15 +432,15 @@ class Anchors:
 class Search:
     """Candidate search and verification for one block of queries."""
 
-    def __init__(self, queries: Queries, space: Space, latent_cosine: float, cosine: float, item_share: float, answer_share: float):
+    def __init__(self, queries: Queries, space: Space, latent_cosine: float, item_share: float, answer_share: float):
         self.queries, self.space = queries, space
-        self.latent_cosine, self.cosine, self.item_share, self.answer_share = latent_cosine, cosine, item_share, answer_share
+        self.latent_cosine, self.item_share, self.answer_share = latent_cosine, item_share, answer_share
         self.of, pieces = queries.pieces()
-        width, self.known = queries.width, queries.least_known
+        self.known = queries.least_known
         self.rows = np.zeros((len(pieces), space.vectors.shape[1]), np.float32)
         self.weights: list[dict[int, float]] = []
         for k, ids in enumerate(pieces):
-            term, count = np.unique(ids % width, return_counts=True)
+            term, count = np.unique(ids, return_counts=True)
             weight = count * space.idf[term]
             self.rows[k] = count @ space.vectors[term]
             self.weights.append(dict(zip(term.tolist(), (weight / np.linalg.norm(weight)).tolist())))
@@ -435,14 +458,14 @@ class Search:
         for at in range(0, len(live), 4096):
             some = live[at : at + 4096]
             own = rows[some]
-            own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-            close = own @ self.rows.T >= self.latent_cosine
-            for k in np.flatnonzero(close.any(1)):
-                yield int(some[k]), np.flatnonzero(close[k])
+            least = self.latent_cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", own, own)), 1e-9)
+            scores = own @ self.rows.T
+            for k in np.flatnonzero(scores.max(1, initial=-1.0) >= least):
+                yield int(some[k]), np.flatnonzero(scores[k] >= least[k])
 
     def exact(self, w: Windows, window: int, ids: np.ndarray, piece: int) -> float:
         """TF-IDF cosine of a window and a piece."""
-        term, count = np.unique(ids[ids >= 0] % self.queries.width, return_counts=True)
+        term, count = np.unique(ids[ids >= 0], return_counts=True)
         weight = count * self.space.idf[term]
         norm = np.sqrt((weight**2).sum() + (ids < 0).sum() * self.space.idf_unknown**2)
         own = self.weights[piece]
@@ -464,7 +487,7 @@ class Search:
                     continue
                 in_answer = self.answers[item].share(region, self.answer_share)
                 cosine = max(self.exact(w, window, ids, p) for p in pieces[self.of[pieces] == item].tolist())
-                if in_answer >= self.answer_share and cosine >= self.cosine:
+                if in_answer >= self.answer_share:
                     best[doc, item] = (doc_ids[doc], q.item_id, cosine, share, in_answer, int(start - lo))
         for anchors in self.anchors:
             for doc, item, stretch in anchors.stretches(w):
@@ -479,22 +502,23 @@ class Search:
                 in_answer = self.answers[item].share(region, self.answer_share)
                 piece = int(np.searchsorted(self.of, item))  # a short item has one
                 cosine, at = max((self.exact(w, 0, region[k : k + size], piece), -k) for k in range(max(1, len(region) - size + 1)))
-                if in_answer >= self.answer_share and cosine >= self.cosine:
+                if in_answer >= self.answer_share:
                     best[doc, item] = (doc_ids[doc], q.item_id, cosine, share, in_answer, start - at - lo)
         for doc, item, start in self.sequences.found(w) if self.sequences else ():
             best.setdefault((doc, -1 - item), (doc_ids[doc], self.queries.tiny[item].item_id, 1.0, 1.0, 1.0, start))
         return list(best.values())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, latent_cosine: float = LATENT_COSINE, cosine: float = COSINE, item_share: float = ITEM_SHARE, answer_share: float = ANSWER_SHARE, rank: int = RANK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, latent_cosine: float = LATENT_COSINE, item_share: float = ITEM_SHARE, answer_share: float = ANSWER_SHARE, rank: int = RANK) -> DataFrame:
     """Matches (doc_id, item_id, ...) of documents with benchmark items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    words = items.agg(F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-words // BLOCK_WORDS))
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = None
     for block in range(blocks):
         rows = sorted((r["item_id"], r["text"]) for r in numbered.where(F.col("block") == block).collect())
-        own = _matches(docs, Queries.of(rows), (latent_cosine, cosine, item_share, answer_share), rank)
+        own = _matches(docs, Queries.of(rows), (latent_cosine, item_share, answer_share), rank)
         found = own if found is None else found.unionAll(own)
     # One row for each pair: the best of repeated rows and items.
     best = F.max(F.struct("item_share", "answer_share", "cosine", (-F.col("first_word")).alias("at"))).alias("b")

@@ -609,6 +609,57 @@ def test_short_and_edited_items(spark):
     print(f"{len(copies & got)} of {len(copies)} copies, {len(got - copies)} other pairs")
 
 
+def test_recall_of_paraphrases_against_brute_force(spark):
+    """Copies with words replaced, dropped and inserted and with sentences in another order: all
+    pairs that verification accepts anywhere in a document, tried at every window, against the search."""
+    draw = random.Random(12)
+    given = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").limit(60)
+    items = [(r["item_id"], r["text"]) for r in given.collect()]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND length(text) BETWEEN 300 AND 1500").orderBy("doc_id").limit(120)
+    rows = []
+    for k, (d, text) in enumerate((r["doc_id"], r["text"]) for r in docs.collect()):
+        host = text.split()
+        _, item = items[k % len(items)]
+        sentences = re.split(r"(?<=[.!?])\s+", item)
+        draw.shuffle(sentences)
+        own = (" ".join(sentences) if k % 3 == 0 else item).split()
+        for _ in range(len(own) // draw.choice((4, 5, 8))):
+            at = draw.randrange(len(own))
+            own[at : at + 1] = draw.choice([["changed"], [], [own[at], "extra"]])
+        cut = draw.randrange(len(host))
+        rows.append((d, " ".join(host[:cut] + own + host[cut:])))
+    queries = decontamination.Queries.of(items)
+    wordings = [(decontamination.Wording(i.ids, i.sentences), decontamination.Wording(i.ids[i.answer :], i.sentences), i) for i in queries.items]
+    every = set()
+    for d, text in rows:
+        ids = np.array([queries.terms.get(w, -1) for w in decontamination.word_list(text)], np.int32)
+        for whole, answer, i in wordings:
+            n = len(i.ids)
+            if len(set(ids.tolist()) & set(i.ids.tolist())) < 0.6 * len(set(i.ids.tolist())) / 2:
+                continue
+            for start in range(0, len(ids), decontamination.STRIDE):
+                region = ids[max(0, start - n) : start + decontamination.WINDOW + n]
+                if whole.share(region, decontamination.ITEM_SHARE) >= decontamination.ITEM_SHARE and answer.share(region, decontamination.ANSWER_SHARE) >= decontamination.ANSWER_SHARE:
+                    every.add((d, i.item_id))
+                    break
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(table, given).collect()}
+    assert len(every) > 80 and len(got & every) >= 0.9 * len(every), f"{len(got & every)} of {len(every)}"
+    print(f"{len(got & every)} of {len(every)}, {len(got - every)} others")
+
+
+def test_nystroem_finds_the_leading_vectors():
+    draw = np.random.default_rng(4)
+    a = draw.normal(size=(400, 60)) * np.linspace(3, 0.01, 60) ** 8
+    start, _ = np.linalg.qr(draw.normal(size=(60, 30)))
+    vectors, values = decontamination.nystroem(a.T @ (a @ start), start)
+    true, own = np.linalg.eigh(a.T @ a)
+    assert np.all(np.diff(values) <= 0) and np.allclose(values[:8], true[::-1][:8], rtol=0.02)
+    assert np.linalg.norm(own[:, -5:].T @ vectors[:, :8], axis=1).min() > 0.99
+    vectors, values = decontamination.nystroem(np.zeros((60, 30)), start)
+    assert vectors.shape == (60, 30) and np.isfinite(vectors).all()
+
+
 def test_reordered_sentences(spark, docs):
     a, b = "One two three four five six seven eight nine ten.", "Red green blue white black grey pink brown gold lime."
     given = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").selectExpr("item_id + 10 item_id", "text")
