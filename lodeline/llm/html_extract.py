@@ -1,17 +1,18 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams the events of a page. Blocks become
-lines; each line has its characters over its tags. A Gaussian smooths these
-ratios along the page, and lines above the threshold (their standard
-deviation) form the content clusters. The clusters choose the content region:
-the article element with most clustered text, or the main element where more
-than half of its clustered text is outside that article. On pages without one,
-all clustered lines and what lies between them are the content, with the short
-lines beside them in their containers and the headings before them. The
-region's lines are the text, short ones included, without the parts that are no article by their
-element or by their class, id or role (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts, styles). A compound name as
-"no-sidebar" or "comments-open" says nothing of the part unless all its words do.
+lines; each line has its characters over its tags, and more weight inside an
+article or main element. A Gaussian smooths these ratios along the page, and
+lines that reach the threshold form the content clusters. The clusters choose
+the content region: the article or main element around the deepest container
+with more than half of the clustered text. On pages where the clusters lie in
+no such element, the lines that reach the threshold by themselves and what lies
+between them are the content, with the short lines beside them in their containers and the headings
+before them. The region's lines are the text, short ones included, without the
+parts that are no article by their element or by their class, id or role
+(menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts,
+styles). A compound name as "no-sidebar" or "comments-open" says nothing of the
+part unless all its words do. Time and memory are linear in the page.
 
 Defined results: null or empty html, and pages without content, give an empty
 text. Character references are decoded as browsers do. Broken nesting is
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -38,6 +40,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long, n_lines long, n_c
 CONTAINERS = frozenset("html head body article main section div nav aside header footer form ul ol dl table tbody thead tr td th figure figcaption blockquote details dialog fieldset noscript template iframe svg math object video audio canvas select textarea button menu search address title".split())
 BREAKS = CONTAINERS | frozenset("p br hr h1 h2 h3 h4 h5 h6 li dt dd pre caption legend summary option label center".split())
 NEVER = frozenset("head script style noscript template iframe svg object video audio canvas select textarea button nav aside footer form menu search dialog fieldset title".split())
+ARTICLES = ("article", "main")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NO_ARTICLE = frozenset(
@@ -48,13 +51,18 @@ HEADERS = frozenset("header masthead".split())
 #: Words that leave the meaning of a compound name to its other words ("site-footer").
 PLAIN = frozenset("site page main global entry post article blog top bottom left right primary secondary box bar block area section wrap wrapper container inner outer list item items link links button buttons slot unit form".split())
 
+#: What a line's ratio counts inside an article or main element.
+IN_ARTICLE = 2.0
+
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Line:
+    """A block's text, its tags, and the number of the innermost container (-1: none)."""
+
     __slots__ = ("parts", "tags", "links", "inside", "live", "heading")
 
-    def __init__(self, inside: tuple[int, ...], live: bool, heading: bool = False):
+    def __init__(self, inside: int, live: bool, heading: bool = False):
         self.parts: list[str] = []
         self.tags, self.links, self.inside, self.live, self.heading = 0, 0, inside, live, heading
 
@@ -77,8 +85,12 @@ class Page(HTMLParser):
         self.lines: list[Line] = []
         #: Open containers: (tag, number, state); states: "" live, "never", "hint", "readers", "header".
         self.open: list[tuple[str, int, str]] = []
+        #: How many containers of each tag are open.
+        self.depth: Counter[str] = Counter()
+        #: Of each container: its kind, and the number of the one around it.
         self.kinds: list[str] = []
-        self.line = Line((), True)
+        self.parents: list[int] = []
+        self.line = Line(-1, True)
         self.heading = self.link = 0
         self.raw = ""
 
@@ -89,7 +101,7 @@ class Page(HTMLParser):
         if self.line.parts:
             self.lines.append(self.line)
         state = self.state()
-        self.line = Line(tuple(n for _, n, _ in self.open), not state or (state == "header" and self.heading > 0), self.heading > 0)
+        self.line = Line(self.open[-1][1] if self.open else -1, not state or (state == "header" and self.heading > 0), self.heading > 0)
 
     def own_state(self, tag: str, attrs: dict[str, str | None]) -> str:
         words = part_words(" ".join(attrs.get(k) or "" for k in ("class", "id", "role")))
@@ -103,8 +115,7 @@ class Page(HTMLParser):
         if words & NO_ARTICLE:
             return "hint"
         if tag == "header" or words & HEADERS:
-            in_article = any(t in ("article", "main") for t, _, _ in self.open)
-            return "header" if in_article else "hint"
+            return "header" if any(self.depth[t] for t in ARTICLES) else "hint"
         return ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -119,7 +130,9 @@ class Page(HTMLParser):
             if outer == "header" and own in ("never", "readers", "hint"):
                 state = own
             self.kinds.append("main" if dict(attrs).get("role") == "main" else tag)
+            self.parents.append(self.open[-1][1] if self.open else -1)
             self.open.append((tag, len(self.kinds) - 1, state))
+            self.depth[tag] += 1
         if tag in HEADINGS:
             self.heading = 1
         if tag in BREAKS:
@@ -134,11 +147,13 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def close_to(self, tag: str, soft: bool = False) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-            if soft and self.open[k][0] not in ("head", "title"):
+        """Close the innermost container of a tag and what it encloses, if one is open."""
+        if not self.depth[tag] or soft and self.open[-1][0] not in ("head", "title"):
+            return
+        while True:
+            closed = self.open.pop()[0]
+            self.depth[closed] -= 1
+            if closed == tag:
                 return
 
     def handle_endtag(self, tag: str) -> None:
@@ -171,14 +186,27 @@ def smoothed(values: list[float], sigma: float = 1.0, radius: int = 2) -> list[f
     return out
 
 
-def clustered(lines: list[Line], sizes: list[int]) -> list[bool]:
-    """Lines whose smoothed text-to-tag ratio is above the threshold."""
-    ratios = smoothed([0.0 if not x.live else n / max(1, x.tags) for x, n in zip(lines, sizes)])
+def clustered(lines: list[Line], sizes: list[int], marked: list[bool]) -> tuple[list[bool], list[bool]]:
+    """(clustered, core): lines whose smoothed text-to-tag ratio reaches the threshold: the ratios'
+    standard deviation, or their mean where that is less (pages of long blocks
+    only), and those that reach it without their neighbours. Inside an article
+    or main element a ratio counts ``IN_ARTICLE`` times."""
+    own = [(IN_ARTICLE if m else 1) * n / max(1, x.tags) if x.live else 0.0 for x, n, m in zip(lines, sizes, marked)]
+    ratios = smoothed(own)
     if not ratios:
-        return []
+        return [], []
     mean = sum(ratios) / len(ratios)
-    threshold = math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios))
-    return [x.live and n > 0 and r >= min(threshold, mean) for x, n, r in zip(lines, sizes, ratios)]
+    threshold = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)))
+    content = [x.live and n > 0 and r >= threshold for x, n, r in zip(lines, sizes, ratios)]
+    return content, [c and r >= threshold for c, r in zip(content, own)]
+
+
+def within(parents: list[int], kinds: list[str], wanted: tuple[str, ...]) -> list[bool]:
+    """For each container, whether it or one around it is of the wanted kinds."""
+    out: list[bool] = []
+    for k, up in enumerate(parents):  # a container comes after those around it
+        out.append(kinds[k] in wanted or up >= 0 and out[up])
+    return out
 
 
 def extract(html: str) -> tuple[str, int, int]:
@@ -193,47 +221,80 @@ def extract(html: str) -> tuple[str, int, int]:
             texts.append(text)
             lines.append(line)
     sizes = [len(t) for t in texts]
-    content = clustered(lines, sizes)
-    mass: dict[int, int] = {}
-    for line, n, c in zip(lines, sizes, content):
-        if c:
-            for k in line.inside:
-                mass[k] = mass.get(k, 0) + n
-    best = {kind: max((k for k in mass if page.kinds[k] == kind), key=lambda k: (mass[k], -k), default=None) for kind in ("article", "main")}
-    region, wider = best["article"], best["main"]
-    if region is None or wider is not None and 2 * mass[region] < mass[wider]:
-        region = wider
+    parents, kinds = page.parents, page.kinds
+    in_article = within(parents, kinds, ARTICLES)
+    content, core = clustered(lines, sizes, [x.inside >= 0 and in_article[x.inside] for x in lines])
+    region = content_region(lines, sizes, content, parents, kinds)
     if region is not None:
-        keep = [x.live and region in x.inside for x in lines]
+        here = [False] * len(parents)
+        for k, up in enumerate(parents):
+            here[k] = k == region or up >= 0 and here[up]
+        keep = [x.live and x.inside >= 0 and here[x.inside] for x in lines]
     else:
-        keep = _without_article(lines, sizes, content, page.kinds)
+        keep = _without_article(lines, sizes, core if any(core) else content, parents, kinds)
     chosen = [t for t, k in zip(texts, keep) if k]
     return " ".join(chosen), len(lines), len(chosen)
 
 
-def _without_article(lines: list[Line], sizes: list[int], content: list[bool], kinds: list[str]) -> list[bool]:
-    """No article or main element: from the first clustered line to the last,
-    with the lines beside them in their containers and the heading run before."""
+def content_region(lines: list[Line], sizes: list[int], content: list[bool], parents: list[int], kinds: list[str]) -> int | None:
+    """The article or main element around the deepest container with more than
+    half of the clustered text; None if there is no such element."""
+    mass = [0] * len(parents)
+    total = 0
+    for line, n, c in zip(lines, sizes, content):
+        if c:
+            total += n
+            if line.inside >= 0:
+                mass[line.inside] += n
+    for k in range(len(parents) - 1, -1, -1):
+        if parents[k] >= 0:
+            mass[parents[k]] += mass[k]
+    # Of containers with more than half, each is around the next one.
+    at = max((k for k, m in enumerate(mass) if 2 * m > total), default=-1)
+    while at >= 0 and kinds[at] not in ARTICLES:
+        at = parents[at]
+    return at if at >= 0 else None
+
+
+def _without_article(lines: list[Line], sizes: list[int], content: list[bool], parents: list[int], kinds: list[str]) -> list[bool]:
+    """No article or main element: from the first core line to the last, with
+    the lines beside them in their containers and the heading run before."""
     usable = [x.live and x.links < 0.5 * n for x, n in zip(lines, sizes)]
     marks = [i for i, (a, c) in enumerate(zip(usable, content)) if a and c]
     if not marks:
         return [False] * len(lines)
 
-    def beside(i: int, mark: int) -> bool:
-        own, other = lines[i].inside, lines[mark].inside
-        return own[: len(other)] == other or bool(own) and own[-1] in other and kinds[own[-1]] not in ("html", "body")
-
-    start, end = marks[0], marks[-1]
-    while start and usable[start - 1] and beside(start - 1, marks[0]):
-        start -= 1
+    def around(mark: int) -> set[int]:
+        out, k = set(), lines[mark].inside
+        while k >= 0:
+            out.add(k)
+            k = parents[k]
+        return out
+
+    def run(mark: int, step: int) -> int:
+        """The last line of the run of lines beside a clustered one: in its
+        container or below, or in one around it that is no whole page."""
+        outer, inner, at = around(mark), {lines[mark].inside}, mark
+        while 0 <= at + step < len(lines) and usable[at + step]:
+            k, path = lines[at + step].inside, []
+            while k >= 0 and k not in inner:
+                path.append(k)
+                k = parents[k]
+            own = lines[at + step].inside
+            if k >= 0 or lines[mark].inside < 0:
+                inner.update(path)
+            elif not (own in outer and kinds[own] not in ("html", "body")):
+                break
+            at += step
+        return at
+
+    start, end = run(marks[0], -1), run(marks[-1], 1)
     # Headings, with what stands between them and the text (a byline).
     at = start
     while at and usable[at - 1]:
         at -= 1
         if lines[at].heading:
             start = at
-    while end + 1 < len(lines) and usable[end + 1] and beside(end + 1, marks[-1]):
-        end += 1
     return [a and start <= i <= end for i, a in enumerate(usable)]
 
 

@@ -36,18 +36,17 @@ CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that one salt of a length has at most, about.
-SALT_ROWS = 20_000
+SALT_ROWS = 2_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 @lru_cache(1)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(1)
@@ -65,9 +64,10 @@ def _ranked(path: str, pattern: str):
 class Ids:
     """Token ids of texts as little-endian 32-bit integers.
 
-    Texts within Latin script go through the ranked form, whose ids are the
-    same; where Unicode tables of the two libraries may differ (other scripts,
-    separators U+001C-1F and U+0085) the tokenizer itself encodes.
+    Texts of the Basic Latin to IPA blocks go through the ranked form, whose
+    ids are the same (tested for each of their characters); where Unicode tables
+    of the two libraries may differ (other scripts, separators U+001C-1F and
+    U+0085) and where the special token is spelt out, the tokenizer itself encodes.
     """
 
     def __init__(self, vocabulary: str):
@@ -79,7 +79,7 @@ class Ids:
         self.ranked = None
         if vocabulary == VOCABULARY:
             self.ranked = _ranked(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-        self.odd = re.compile("[^\x00-\x1b\x20-\x84\x86-ʯ]")
+        self.odd = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\u02af]|<\|endoftext\|>")
 
     def encode(self, text: str) -> np.ndarray:
         if self.ranked is not None and not self.odd.search(text):
@@ -94,11 +94,13 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """A row per piece of each document, with the checksum of its ids."""
+    """A row per piece of each document, with the checksum of its ids and a
+    number of its own (``row``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(vocabulary)
-        end = np.array([end_id], "<u4")
+        from pyspark import TaskContext
+
+        ids, end, row = Ids(vocabulary), np.array([end_id], "<u4"), TaskContext.get().partitionId() << 40
         for batch in slices(batches, "t"):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -107,9 +109,10 @@ def tokenize(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABU
                     out.append((doc, k, start, length, zlib.crc32(own[start : start + length].tobytes())))
             columns = list(zip(*out))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(np.arange(row, row + len(out)))], [*NAMES, "row"])
+            row += len(out)
 
-    return shipped(docs).selectExpr("cast(doc_id as long) i", "cast(text as string) t").mapInArrow(run, PIECES)
+    return shipped(docs).selectExpr("cast(doc_id as long) i", "cast(text as string) t").mapInArrow(run, PIECES + ", row long")
 
 
 class Rooms:
@@ -194,16 +197,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["count"] for r in total}
     runs, _ = plan(histogram, capacity)
     table = {k: tuple(np.array(c, np.int64) for c in zip(*v)) for k, v in runs.items()}
-    most = max(histogram.values(), default=1)
 
-    # Rank of each piece within its length: rank within (length, salt) plus the pieces of smaller salts.
-    salts = max(1, -(-most // SALT_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # Rank of each piece within its length: rank within (length, salt) plus the
+    # pieces of smaller salts. Salts go by row number, as rows may be equal.
+    salts = pieces.sparkSession.createDataFrame([(k, -(-n // SALT_ROWS)) for k, n in histogram.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), "salts"))
     by_salt = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(by_salt), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "row")
     ranked = salted.withColumn("k", F.row_number().over(own) - 1).join(before, ["length", "salt"]).withColumn("k", F.col("k") + F.col("before"))
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,9 +218,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 within = k[here] - rank[run]
                 sequence[here] = first[run] + within // each[run]
                 offset[here] = at[run] + within % each[run] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*NAMES, "sequence_id", "offset"])
 
-    return ranked.select(*names, "k").mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked.select(*NAMES, "k").mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:

@@ -194,6 +194,58 @@ def test_html_keeps_the_whole_article(html, text):
     assert html_extract.extract(html)[0] == text
 
 
+def test_clusters_equal_their_definition():
+    draw = random.Random(3)
+    for _ in range(50):
+        n = draw.randint(1, 30)
+        sizes, tags, live, marked = ([f() for _ in range(n)] for f in (lambda: draw.choice((0, 3, 20, 200)), lambda: draw.randint(0, 5), lambda: draw.random() < 0.8, lambda: draw.random() < 0.3))
+        lines = []
+        for t, a in zip(tags, live):
+            lines.append(html_extract.Line(0, a))
+            lines[-1].tags = t
+        r = np.array([(2 if m else 1) * s / max(1, t) if a else 0 for s, t, a, m in zip(sizes, tags, live, marked)])
+        kernel = np.exp(-np.arange(-2, 3) ** 2 / 2)
+        smooth = np.convolve(np.pad(r, 2), kernel, "valid") / np.convolve(np.pad(np.ones(n), 2), kernel, "valid")
+        want = [a and s > 0 and x >= min(smooth.std(), smooth.mean()) - 1e-9 for a, s, x in zip(live, sizes, smooth)]
+        content, core = html_extract.clustered(lines, sizes, marked)
+        assert content == want
+        assert core == [c and x >= min(smooth.std(), smooth.mean()) - 1e-9 for c, x in zip(want, r)]
+
+
+def test_clusters_choose_the_content_without_any_telling_element(monkeypatch):
+    """Pages of nameless divs: only the ratios tell menus and footers from the text."""
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 8)))
+    links = lambda n: "".join(f"<div><b><i>{word()}</i></b> <span>{word()}</span></div>" for _ in range(n))
+    pages = []
+    for _ in range(40):
+        parts = [" ".join(word() for _ in range(draw.randint(60, 120))) for _ in range(draw.randint(4, 9))]
+        title = f"{word()} {word()}"
+        pages.append((f"<body><div>{links(8)}</div><div><h1>{title}</h1>{''.join(f'<p>{x}</p>' for x in parts)}</div><div>{links(8)}</div></body>", " ".join([title, *parts])))
+    equal = lambda: sum(html_extract.extract(h)[0] == t for h, t in pages)
+    assert equal() >= 36
+    monkeypatch.setattr(html_extract, "clustered", lambda lines, sizes, marked: ([x.live and n > 0 for x, n in zip(lines, sizes)],) * 2)
+    assert equal() == 0
+
+
+def test_clusters_choose_between_articles():
+    teaser = "<article><h2>Other</h2><p><b>a</b> <i>b</i> <b>c</b></p></article>"
+    page = f"<body><div>{teaser * 6}</div><div><article><h1>T</h1><p>{SENTENCE * 9}</p><p>{SENTENCE * 9}</p></article></div></body>"
+    assert html_extract.extract(page)[0] == f"T {SENTENCE * 9} {SENTENCE * 9}"
+
+
+def test_html_is_linear_in_depth():
+    import time
+
+    def took(n):
+        start = time.perf_counter()
+        html_extract.extract("<div>x" * n + "</section>" * n)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(32_000) < 5
+
+
 def test_html_odd_rows(spark):
     rows = [(1, None, None), (1, "u", "<article>x</article>"), (None, "u", LONG), (2, "u", "<b" * 1000)]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
@@ -281,19 +333,41 @@ def test_hot_length_is_salted(spark, monkeypatch):
     check_sequences(packing.pack_documents(df).collect())
 
 
+def test_equal_rows_are_salted_apart(spark):
+    df = spark.range(100_000).selectExpr("cast(null as long) doc_id", "'' text").repartition(4)
+    packed = packing.pack_documents(df)
+    groups = packing.written(packing.tokenize(df), "pieces").selectExpr("length", f"pmod(xxhash64(row), {100_000 // packing.SALT_ROWS}) salt").groupBy("length", "salt").count()
+    assert groups.agg({"count": "max"}).first()[0] < 2 * packing.SALT_ROWS
+    sizes = packed.groupBy("sequence_id").agg({"offset": "max", "length": "sum", "*": "count"}).collect()
+    assert len(sizes) == -(-100_000 // packing.CAPACITY) and all(r["max(offset)"] + 1 == r["sum(length)"] == r["count(1)"] <= packing.CAPACITY for r in sizes)
+
+
 def test_unusual_characters_tokenize_alike():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     ids = packing.Ids(packing.VOCABULARY)
     draw = random.Random(2)
     alphabet = [chr(c) for c in (*range(1, 0x300), *range(0x370, 0x500), 0x2028, 0x3000, 0x4E00, 0x1F600, 0xA0, 0x85)]
     for _ in range(300):
         text = "".join(draw.choice(alphabet) if draw.random() < 0.5 else draw.choice("ab 1'\n s") for _ in range(40))
         assert ids.encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
-    assert ids.encode("<|endoftext|>").tolist() == own.encode("<|endoftext|>", add_special_tokens=False).ids
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "x<|endoftext|><|endoftext|>é"):
+        assert ids.encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_every_character_of_the_ranked_form_tokenizes_alike():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = packing.Ids(packing.VOCABULARY)
+    plain = [c for c in map(chr, range(0x2B0)) if not ids.odd.search(c)]
+    assert len(plain) == 0x2B0 - 5 and ids.odd.search("<|endoftext|>")
+    texts = [f.format(c) for c in plain for f in ("{0}", "a{0}b", " {0} {0}", "1{0}{0}2", "'{0}", "{0}'s  {0}\n{0}", "x {0}y\t{0} ")]
+    texts += [a + b + a for a in plain for b in (" ", "\n", "'", "a", "1", "é", "!", "\u00a0")]
+    assert all(ids.encode(t).tolist() == e.ids for t, e in zip(texts, own.encode_batch(texts, add_special_tokens=False)))
 
 
 # Toxicity.
