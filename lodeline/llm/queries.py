@@ -14,7 +14,7 @@ from lodeline.llm.packing import pack_documents
 from lodeline.llm.quality_rules import fit_rules, judge
 from lodeline.llm.sharding import SHARDS, place
 from lodeline.llm.toxicity import fit_model, score
-from lodeline.llm.warc import archive_pages, read_back
+from lodeline.llm.warc import archive_pages, asked_blocks, read_back
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +48,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, directory = archive_pages(spark, table(spark, sf_dir, "pages"))
-    return read_back(directory).drop("url", "payload")
+    pages = table(spark, sf_dir, "pages")
+    _, directory = archive_pages(spark, pages)
+    return read_back(asked_blocks(pages.select("url"), directory)).drop("url", "payload")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

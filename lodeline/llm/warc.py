@@ -6,8 +6,10 @@ earlier page (smallest page_id) has are revisit records without a body.
 
 The index has a line per capture, sorted by the reversed-host key of its URL
 and cut into compressed blocks. A sparse directory keeps the first key of each
-block with its place. A look-up searches the directory by bisection, reads one
-range of an index file, and then one range of an archive.
+block with its place; each index file has the directory of its own blocks
+beside it. Look-ups go by bisection: through the first keys of the index files,
+of which there are as many as shuffle partitions, then through the directory of
+one file. One range of an index file and one of an archive are read then.
 
 Files are written from the executors to the shared folder through the
 filesystem of its URI, under the name of the task attempt; only the names that
@@ -29,8 +31,9 @@ import gzip
 import hashlib
 import os
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -49,20 +52,20 @@ DIRECTORY = "first_key string, path string, start long, length long, lines long"
 
 
 def surt(url: str | None) -> str:
-    """Reversed-host key: ``com,example,www)/path?query`` in lower case, without
-    scheme, user, default port, fragment."""
+    """Reversed-host key: ``com,example,www)/path?query``, the host in lower case,
+    without scheme, user, default port, fragment."""
     if not url:
         return ""
     try:
         p = urlsplit(url.strip())
         host, port = (p.hostname or "").lower().rstrip("."), p.port
     except ValueError:
-        return ")/" + url.strip().lower()
+        return ")/" + url.strip()
     if not host:
-        return ")/" + url.strip().lower()
+        return ")/" + url.strip()
     port = f":{port}" if port and port not in (80, 443) else ""
-    query = f"?{p.query.lower()}" if p.query else ""
-    return ",".join(reversed(host.split("."))) + port + ")" + (p.path.lower() or "/") + query
+    query = f"?{p.query}" if p.query else ""
+    return ",".join(reversed(host.split("."))) + port + ")" + (p.path or "/") + query
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -80,22 +83,29 @@ def digest32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record. The sizes and digests are those of the full payload."""
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """Of a page's response by page and payload; any other record's has its place as well."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}{place and ':' + place}>"
+
+
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str, place: str) -> bytes:
+    """One WARC/1.1 record, whose block is an HTTP message. The payload's size
+    and digest are those of the full payload; a revisit has the message's head alone."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {record_id(page_id, digest, place if revisit or page_id is None else '')}",
+        f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}",
     ]
     if url is not None:
         head.append(f"WARC-Target-URI: {url.encode('unicode_escape').decode()}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    body = b"" if revisit else payload
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
+    block = http if revisit else http + payload
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse(raw: bytes) -> tuple:
@@ -106,13 +116,14 @@ def parse(raw: bytes) -> tuple:
         raise ValueError("not a WARC record")
     fields = dict(x.split(": ", 1) for x in lines[1:])
     size, kind, digest = int(fields["Content-Length"]), fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    body = rest[:size]
-    if rest[size:] != b"\r\n\r\n" or (kind == "response" and digest32(hashlib.sha1(body).hexdigest()) != digest):
+    http, _, body = rest[:size].partition(b"\r\n\r\n")
+    length = int(http.decode().rpartition("Content-Length: ")[2])
+    if rest[size:] != b"\r\n\r\n" or (kind == "response" and (len(body) != length or digest32(hashlib.sha1(body).hexdigest()) != digest)):
         raise ValueError("damaged WARC record")
-    number = lambda x: int(n) if (n := x.removeprefix("<urn:page:").rstrip(">")) else None
+    number = lambda x: int(n) if (n := x.removeprefix("<urn:page:").partition(":")[0]) else None
     url = fields.get("WARC-Target-URI")
     refers = number(fields["WARC-Refers-To"]) if kind == "revisit" else None
-    return number(fields["WARC-Record-ID"]), None if url is None else url.encode().decode("unicode_escape"), int(fields["X-Payload-Length"]), digest, kind, refers, body.decode() if kind == "response" else None
+    return number(fields["WARC-Record-ID"]), None if url is None else url.encode().decode("unicode_escape"), length, digest, kind, refers, body.decode() if kind == "response" else None
 
 
 def marked(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -130,7 +141,10 @@ def marked(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """Write the archives; returns the written table of captures (unsorted)."""
+    """Write the archives; returns the written table of captures (unsorted). The
+    date of all records is the moment when the work began, so that a task that
+    runs again writes the same."""
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root, sink, name, at = None, "", None, "", 0
@@ -143,7 +157,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
                     sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                 keys, ids, starts, sizes = [], [], [], []
                 for p, u, h, d, r, revisit in zip(*(c.to_pylist() for c in batch.columns)):
-                    raw = gzip.compress(record(p, u, h.encode(), digest32(d), r, revisit), 6, mtime=0)
+                    raw = gzip.compress(record(p, u, h.encode(), digest32(d), r, revisit, date, f"{name}.{at}"), 6, mtime=0)
                     sink.write(raw)
                     keys.append(surt(u)), ids.append(p), starts.append(at), sizes.append(len(raw))
                     at += len(raw)
@@ -188,6 +202,10 @@ def write_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES)
         finally:
             if sink is not None:
                 sink.close()
+        if rows:
+            with fs.open_output_stream(f"{root}/{name}.dir", compression=None) as out:
+                out.write("\n".join(f"{k.encode('unicode_escape').decode()}\t{a}\t{n}" for k, _, a, n, _ in rows).encode())
+            rows = [(k.encode().decode("unicode_escape"), *rest) for k, *rest in rows]
         kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         columns = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["first_key", "path", "start", "length", "lines"])
@@ -209,16 +227,66 @@ def block_lines_of(path: str, start: int, length: int) -> list[tuple[str, str, i
     return out
 
 
-def read_back(directory: DataFrame) -> DataFrame:
-    """Every capture, through the index: blocks, then ranges of the archives."""
+def spanning(firsts: list[str], key: str) -> range:
+    """By bisection, the ordered parts that may have a key, from their first
+    keys: those that begin with it, and the one before them."""
+    return range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))
+
+
+def directory_of(path: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """(first key, place) of each block of an index file."""
+    fs, name = opened(path + ".dir")
+    with fs.open_input_stream(name) as f:
+        rows = [x.rsplit("\t", 2) for x in f.read().decode().split("\n")]
+    return [k.encode().decode("unicode_escape") for k, _, _ in rows], [(int(a), int(n)) for _, a, n in rows]
+
+
+def asked_blocks(urls: DataFrame, directory: DataFrame, most: int = BLOCK_LINES) -> DataFrame:
+    """(path, start, length, keys): the blocks that may have the keys of ``urls``
+    (one column), found by bisection. A key of many captures has many blocks, a
+    row for each; keys of one block share a row, ``most`` at a time."""
+    files = sorted((r["k"], r["path"]) for r in directory.groupBy("path").agg(F.min("first_key").alias("k")).collect())  # one for each shuffle partition at most
+    firsts = [k for k, _ in files]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({surt(u) for u in batch.column(0).to_pylist()}), pa.string())], ["key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held = -1, ([], [])
+        for batch in batches:
+            found: dict[tuple[str, int, int], list[list[str]]] = {}
+            for key in batch.column(0).to_pylist():
+                for k in spanning(firsts, key):
+                    if k != file:
+                        file, held = k, directory_of(files[k][1])
+                    for b in spanning(held[0], key):
+                        own = found.setdefault((files[k][1], *held[1][b]), [[]])
+                        if len(own[-1]) >= most:
+                            own.append([])
+                        own[-1].append(key)
+            rows = [(*at, x) for at, own in found.items() for x in own]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["path", "start", "length", "keys"])
+
+    parts = max(1, int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = shipped(urls).mapInArrow(keys, "key string").distinct()
+    return wanted.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(run, "path string, start long, length long, keys array<string>")
+
+
+def read_back(blocks: DataFrame) -> DataFrame:
+    """The captures of blocks (path, start, length) and, where these have
+    ``keys``, of these keys alone: ranges of the index, then of the archives."""
+    all_keys = "keys" not in blocks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         for batch in batches:
-            for path, start, length in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                fs, name, file, rows = None, "", None, []
-                for _, archive, at, size in sorted(block_lines_of(path, start, length), key=lambda x: x[1:]):
+            for path, start, length, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, name, file, rows, own = None, "", None, [], set(keys or ())
+                for _, archive, at, size in sorted((x for x in block_lines_of(path, start, length) if all_keys or x[0] in own), key=lambda x: x[1:]):
                     if archive != name:
                         if file is not None:
                             file.close()
@@ -233,8 +301,9 @@ def read_back(directory: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    parts = max(1, int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return shipped(directory).repartitionByRange(parts, "path", "start").mapInArrow(run, RECORDS)
+    parts = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = F.lit(None).cast("array<string>").alias("keys") if all_keys else F.col("keys")
+    return shipped(blocks).select("path", "start", "length", keys).repartitionByRange(parts, "path", "start").mapInArrow(run, RECORDS)
 
 
 class CaptureIndex:
@@ -247,16 +316,12 @@ class CaptureIndex:
     def lookup(self, url: str) -> list[tuple]:
         """All captures of a URL, read by ranges. Equal keys may span blocks."""
         key, out = surt(url), []
-        at = max(0, bisect_right(self.keys, key) - 1)
-        while at > 0 and self.keys[at] == key:
-            at -= 1
-        while at < len(self.blocks) and self.keys[at] <= key:
+        for at in spanning(self.keys, key):
             for k, archive, start, length in block_lines_of(*self.blocks[at][1:]):
                 if k == key:
                     fs, name = opened(archive)
                     with fs.open_input_file(name) as f:
                         out.append(parse(gzip.decompress(f.read_at(length, start))))
-            at += 1
         return out
 
 

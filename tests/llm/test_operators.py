@@ -534,12 +534,40 @@ def test_archives_round_trip(spark):
         assert (r["record_type"], r["refers_to"]) == (("revisit", first[h]) if revisit else ("response", None))
         assert r["payload"] == (None if revisit else h)
     index = warc.CaptureIndex([tuple(r)[:4] for r in directory.collect()])
-    assert sorted(str(r[0]) for r in index.lookup("http://B.example.com/x?q=1")) == ["1", "1", "6"]
+    assert sorted(str(r[0]) for r in index.lookup("http://B.example.com/x?Q=1")) == ["1", "1", "6"]
+    assert index.lookup("http://b.example.com/x?q=1") == []
     assert index.lookup("http://nowhere.example/") == []
     keys = [k for r in sorted(directory.collect()) for k, *_ in warc.block_lines_of(r["path"], r["start"], r["length"])]
     assert keys == sorted(keys) and len(keys) == len(rows)
 
 
+@pytest.mark.parametrize("lines", [1, 2, 3, 1000])
+def test_bisection_finds_what_a_full_read_finds(spark, lines):
+    draw = random.Random(lines)
+    urls = [f"http://h{draw.randrange(9)}.example/{'Aab'[k % 3]}{draw.randrange(6)}" for k in range(90)] + ["http://hot.example/x"] * 60 + [None, "no url", "http://é.example/ü"]
+    captures, directory = warc.archive_pages(spark, pages_of(spark, [(k, u, f"<p>{k % 7}</p>", 0, "p") for k, u in enumerate(urls)]).repartition(5), block_lines=lines)
+    every = sorted(map(str, warc.read_back(directory).collect()))
+    assert len(every) == len(urls)
+    asked = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert sorted(map(str, warc.read_back(warc.asked_blocks(asked, directory, 2)).collect())) == every
+    some = ["http://hot.example/x", "http://h3.example/A1", "http://h3.example/none", "zzz", None]
+    got = warc.read_back(warc.asked_blocks(spark.createDataFrame([(u,) for u in some], "url string"), directory)).collect()
+    assert sorted(r["page_id"] for r in got) == [k for k, u in enumerate(urls) if u in some]
+    index = warc.CaptureIndex([tuple(r)[:4] for r in directory.collect()])
+    for u in some:
+        assert sorted(r[0] for r in index.lookup(u)) == [k for k, x in enumerate(urls) if x == u]
+
+
+def test_records_are_http_messages_with_dates():
+    raw = warc.record(7, "http://x.y/é", "<p>é</p>".encode(), "D", None, False, "2024-01-02T03:04:05Z", "a.0")
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+    assert fields["WARC-Date"] == "2024-01-02T03:04:05Z" and fields["Content-Type"] == "application/http; msgtype=response"
+    assert rest.startswith(b"HTTP/1.1 200 OK\r\n") and rest.endswith(b"\r\n\r\n<p>\xc3\xa9</p>\r\n\r\n") and len(rest) == int(fields["Content-Length"]) + 4
+    revisit = warc.record(8, None, b"<p>", "D", 7, True, "2024-01-02T03:04:05Z", "a.9")
+    assert warc.parse(revisit)[:6] == (8, None, 3, "D", "revisit", 7) and b"<urn:page:8:D:a.9>" in revisit and b"WARC-Refers-To: " + fields["WARC-Record-ID"].encode() in revisit
+
+
 def test_short_payloads_are_responses(spark):
     rows = [(k, "http://x.y/", "ab", 0, "p") for k in range(3)]
     _, directory = warc.archive_pages(spark, pages_of(spark, rows), least_bytes=3)
@@ -549,7 +577,7 @@ def test_short_payloads_are_responses(spark):
 
 
 def test_surt():
-    assert warc.surt("https://User@WWW.Example.com:8080/A/b?C=d#e") == "com,example,www:8080)/a/b?c=d"
+    assert warc.surt("https://User@WWW.Example.com:8080/A/b?C=d#e") == "com,example,www:8080)/A/b?C=d"
     assert warc.surt("http://example.com") == "com,example)/" and warc.surt(None) == ""
 
 
