@@ -10,13 +10,15 @@ The costs of a stretch of turns form a small table from entry to exit state,
 and tables compose. Conversations are cut into stretches of turns; their
 tables are composed in a tree, which gives every stretch its entry and exit
 state on the cheapest path, and the stretches are then repaired in parallel.
-So no task holds a whole conversation, however long.
+A stretch goes by turn numbers; one that repeated or missing numbers fill with
+many rows is cut again, by role and a hash of the text, and equal rows by
+number. So no task holds a whole conversation, however long and however numbered.
 
 Each turn's row has the part of the rendered text that it adds; the parts of a
-conversation in order are the rendering.
+conversation by ``stretch`` and ``position`` are the rendering.
 
-Defined results: turns go by number, nulls first, then role and text; repeated
-turns are turns of their own. Null or unknown roles count as unlabelled and
+Defined results: turns go by number, nulls first, then role and text (in cut
+stretches a hash of the text); repeated turns are turns of their own. Null or unknown roles count as unlabelled and
 take any role at a small cost. Null texts are empty. A row without a conv_id is
 a conversation of its own. Template marks inside a text get a blank. An empty
 table gives an empty result. Among equal costs the first of keep, merge,
@@ -30,10 +32,10 @@ from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import shipped, written
+from lodeline.llm.common import dropped, shipped, written
 
 # States, legal successions, other names of roles, costs.
 ROLES = ("system", "user", "assistant")
@@ -43,10 +45,13 @@ ALIASES = {"human": "user", "prompter": "user", "customer": "user", "bot": "assi
 MERGE, INSERT, RELABEL, UNLABELLED = 1, 2, 3, 1
 STRETCH = 1024  # turn numbers in a stretch
 FAN = 1024  # tables that are composed at a time
+HOT = 4 * STRETCH  # rows of a stretch from which it is cut
+MOST_HOT = 50_000  # stretches up to which their list is broadcast
+SPREAD, HASHES = 64, 4096  # tasks over which the rows of one cell are joined; text hashes that cut a stretch
 FAR = 10**15
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-OUT = "conv_id long, turn long, role string, new_role string, action string, inserted string, cost int, rendered string"
+OUT = "conv_id long, turn long, role string, new_role string, action string, inserted string, cost int, rendered string, stretch long, position int"
 
 
 def state_of(role: str | None) -> int | None:
@@ -243,22 +248,57 @@ def paths(tables: DataFrame) -> DataFrame:
     return both.repartition("conv_id", "group").sortWithinPartitions("conv_id", "group", F.asc_nulls_first("stretch")).mapInArrow(resolve, PATHS)
 
 
-_OUT = {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "new_role": pa.string(), "action": pa.string(), "inserted": pa.string(), "cost": pa.int32(), "rendered": pa.string()}
+_OUT = {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "new_role": pa.string(), "action": pa.string(), "inserted": pa.string(), "cost": pa.int32(), "rendered": pa.string(), "stretch": pa.int64(), "position": pa.int32()}
+
+
+def placed(turns: DataFrame) -> DataFrame:
+    """``turns`` (conv_id, turn, role, text, stretch) with stretches of bounded
+    size. Where rows with repeated or no numbers fill a stretch, it becomes
+    several: cells of equal turn, role and text hash are laid out one after the
+    other, and a cell of many rows is dealt over stretches by row number."""
+    key = ["conv_id", "stretch"]
+    sizes = turns.groupBy(*key).agg(F.count("*").alias("n"))
+    hot = written(sizes.where(F.col("n") > HOT).select(*key, F.lit(True).alias("hot")), "hot")
+    m = hot.count()
+    if not m:
+        dropped(hot)
+        return turns
+    small = lambda df, n=1: F.broadcast(df) if n * m <= MOST_HOT else df
+    # Row numbers have to stay what they are, so they are written.
+    rows = turns.join(small(hot), key, "left").withColumn("row", F.monotonically_increasing_id()).withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(HASHES)))
+    rows = written(rows, "turns")
+    before = Window.partitionBy(*key).orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), "hash").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.where("hot").groupBy(*key, "turn", "role", "hash").agg(F.count("*").alias("n"))
+    cells = cells.select(*key, "turn", "role", "hash", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / STRETCH).alias("first"), F.ceil(F.col("n") / STRETCH).alias("parts"))
+    cells = written(cells, "cells")
+    cut = cells.groupBy(*key).agg(F.max(F.col("first") + F.col("parts")).alias("parts"))
+    # New numbers for all stretches of conversations with a cut one: a row for each stretch.
+    order = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = sizes.join(small(hot.select("conv_id").distinct()), "conv_id", "left_semi").join(small(cut), key, "left")
+    numbered = written(numbered.select(*key, F.coalesce(F.sum(F.coalesce("parts", F.lit(1))).over(order), F.lit(0)).alias("base")), "numbered")
+    based = rows.join(F.broadcast(numbered) if numbered.count() <= MOST_HOT else numbered, key, "left")
+    cold = based.where("hot IS NULL").withColumn("stretch", F.coalesce("base", "stretch"))
+    spread = cells.withColumnsRenamed({c: f"c_{c}" for c in cells.columns}).withColumn("c_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    same = " AND ".join(f"{c} <=> c_{c}" for c in (*key, "turn", "role", "hash", "spread"))
+    dealt = based.where("hot").withColumn("spread", F.pmod("row", F.lit(SPREAD)).cast("int")).join(spread, F.expr(same))
+    dealt = dealt.withColumn("stretch", F.col("base") + F.col("c_first") + F.pmod(F.xxhash64("row"), "c_parts"))
+    dropped(hot)
+    return cold.select(*turns.columns).unionByName(dealt.select(*turns.columns))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """A row for each turn: its new role, what was done, and its rendered part."""
     turns = shipped(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     turns = turns.withColumn("stretch", F.floor(F.coalesce("turn", F.lit(-1)) / STRETCH))
-    named = turns.where("conv_id IS NOT NULL")
+    named = placed(turns.where("conv_id IS NOT NULL"))
     way = paths(written(stretch_tables(named), "tables"))
 
     def run(batches):
         def made():
             for (conv, _), own in groupby(rows_of(batches), key=lambda r: r[:2]):
                 head, *own = own
-                for r, new in zip(own, rendered([(state_of(r[4]), r[5]) for r in own], head[6], head[7], head[8])):
-                    yield conv, r[3], r[4], *new
+                for k, (r, new) in enumerate(zip(own, rendered([(state_of(r[4]), r[5]) for r in own], head[6], head[7], head[8]))):
+                    yield conv, r[3], r[4], *new, head[1], k
 
         yield from batched(made(), _OUT, 500)
 
@@ -266,7 +306,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         def made():
             for turn, role, text in rows_of(batches):
                 for new in rendered([(state_of(role), text)], START, None, True):
-                    yield None, turn, role, *new
+                    yield None, turn, role, *new, 0, 0
 
         yield from batched(made(), _OUT, 500)
 

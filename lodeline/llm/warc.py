@@ -41,7 +41,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import new_path, shipped, slices, written
+from lodeline.functions.shipping import scratch
+from lodeline.llm.common import shipped, slices, written
 
 BLOCK_LINES = 1000
 LEAST_BYTES = 0
@@ -327,6 +328,6 @@ class CaptureIndex:
 
 def archive_pages(spark: SparkSession, pages: DataFrame, least_bytes: int = LEAST_BYTES, block_lines: int = BLOCK_LINES) -> tuple[DataFrame, DataFrame]:
     """Write archives and index under the shared folder; (captures, directory)."""
-    root = new_path(spark, "warc")
+    root = scratch(spark, "warc")
     captures = write_archives(pages, f"{root}/archives", least_bytes)
     return captures, write_index(captures, f"{root}/index", block_lines)

@@ -157,3 +157,25 @@ def test_odd_chats(spark):
     assert all(legal(r["rendered"]) for r in out if r["conv_id"] in (None, 2, 3))
     assert [r["action"] for r in in_order([r for r in out if r["conv_id"] == 1])] == ["keep", "merge", "merge"]
     assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stretch,fan,n", [(1024, 1024, 100_000), (16, 4, 3_000)])
+def test_repeated_and_missing_turns_are_cut(spark, monkeypatch, stretch, fan, n):
+    """Rows of one turn, equal and different ones, and rows without a number."""
+    monkeypatch.setattr(chat_format, "STRETCH", stretch)
+    monkeypatch.setattr(chat_format, "FAN", fan)
+    monkeypatch.setattr(chat_format, "HOT", 4 * stretch)
+    equal = spark.range(n).selectExpr("1L conv_id", "5L turn", "'user' role", "'same' text")
+    missing = spark.range(n // 4).selectExpr("1L conv_id", "cast(null as long) turn", "if(id % 3 = 0, 'assistant', if(id % 3 = 1, 'user', cast(null as string))) role", "concat('t', id % 50) text")
+    rest = spark.range(100).selectExpr("id % 2 + 1 conv_id", "id * 700 turn", "if(id % 2 = 0, 'assistant', 'user') role", "'x' text")
+    rows = equal.unionAll(missing).unionAll(rest).repartition(4)
+    out = chat_format.format_chats(rows).cache()
+    sizes = out.groupBy("conv_id", "stretch").count()
+    assert out.count() == n + n // 4 + 100 and sizes.agg({"count": "max"}).first()[0] <= chat_format.HOT
+    assert out.groupBy("conv_id", "stretch", "position").count().where("count > 1").count() == 0
+    for conv in (1, 2):
+        own = sorted(out.where(f"conv_id = {conv}").collect(), key=lambda r: (r["stretch"], r["position"]))
+        places = [(r["turn"] is not None, r["turn"] or 0, r["role"] is not None, r["role"] or "") for r in own]
+        assert places == sorted(places) and legal("".join(r["rendered"] for r in own))
+        steps = chat_format.repaired([chat_format.state_of(r["role"]) for r in own], START, None)
+        assert sum(r["cost"] for r in own) == sum(s[0] for s in steps) + ENDS[steps[-1][1]][0]

@@ -10,8 +10,8 @@ import zlib
 import numpy as np
 import pytest
 
+from lodeline.functions.shipping import shared_dir
 from lodeline.llm import decontamination, html_extract, jaccard_join, license_scan, packing, quality_rules, toxicity, warc
-from lodeline.llm.common import shared_dir
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "lorem ipsum dolor " * 20_000
