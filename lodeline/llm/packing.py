@@ -35,6 +35,7 @@ from lodeline.llm.common import shipped, slices, written
 CAPACITY = 2048
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.json"
+SPECIAL = "<|endoftext|>"
 #: Pieces that one salt of a length has at most, about.
 SALT_ROWS = 2_000
 
@@ -79,10 +80,13 @@ class Ids:
         self.ranked = None
         if vocabulary == VOCABULARY:
             self.ranked = _ranked(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-        self.odd = re.compile(r"[^\x00-\x1b\x20-\x84\x86-\u02af]|<\|endoftext\|>")
+        self.foreign = re.compile("[^\x00-\x1b\x20-\x84\x86-\u02af]")
+
+    def odd(self, text: str) -> bool:
+        return SPECIAL in text or self.foreign.search(text) is not None
 
     def encode(self, text: str) -> np.ndarray:
-        if self.ranked is not None and not self.odd.search(text):
+        if self.ranked is not None and not self.odd(text):
             return np.asarray(self.ranked.encode_to_numpy(text, disallowed_special=()), "<u4")
         return np.asarray(_tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4")
 
