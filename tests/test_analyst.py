@@ -285,6 +285,8 @@ def test_narrative(orders, found):
     brief = evidence.analyze(orders, found)
     subject = next(e.subject for e in brief.facts if e.subject)
     assert subject in planner.narrative_payload(brief) and subject not in planner.narrative_payload(brief, redact=True)
+    own = planner.fingerprint(planner.narrative_payload(brief))
+    assert len(own) == 64 and own == planner.fingerprint(planner.narrative_payload(brief)) != planner.fingerprint(planner.narrative_payload(brief, redact=True))
     raw = {"executive_summary": "s", "strategic_read": "r", "actions": [{"title": "t", "recommendation": "d", "evidence": "e", "confidence": "low"}]}
     assert "low confidence" in planner.narrative_markdown(planner.narrate_with(lambda *_: raw, brief), model="m")
     with pytest.raises(RuntimeError):
