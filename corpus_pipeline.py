@@ -4,6 +4,14 @@ benchmark decontamination and packing, each stage on what the one before kept.
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. Between stages the rows are a written
 table in the shared folder.
+
+Defined results: extra columns stay, whatever their names. Null texts count as
+empty: they are not toxic, fail the quality base (fewer than ten words), are
+near copies of nothing and hold no benchmark item. Rows without an id are
+judged by their text alone where a stage does so; they are in no group and
+match no item by name, so they stay. Repeated rows stay or go together, since
+they are one document. Empty tables give empty results, and without usable
+labels or items nothing is rejected by what would be learned from them.
 """
 
 from __future__ import annotations
