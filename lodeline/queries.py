@@ -583,16 +583,13 @@ def demo_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An addition: the daily trend of events as a stream, run to its end."""
-    import uuid
-
     from lodeline.streaming.trends import windowed_trend
 
-    source = ship(spark).read.parquet(f"{sf_dir}/events.parquet")
+    source, path = ship(spark).read.parquet(f"{sf_dir}/events.parquet"), scratch(spark, "daily")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"daily_{uuid.uuid4().hex}"
-    run = windowed_trend(stream, "ts", "value", lateness="3650 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select("period", F.round("value", 2).alias("value"))
+    daily = windowed_trend(stream, "ts", "value", lateness="3650 days").writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state")
+    daily.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("period", F.round("value", 2).alias("value"))
 
 
 QUERIES["demo_trend"] = demo_trend
