@@ -205,22 +205,26 @@ class Windows:
     def projected(self, table: np.ndarray) -> np.ndarray:
         """Rows times ``table`` (terms by columns, idf included), not normalised."""
         padded = np.concatenate([table, np.zeros((1, table.shape[1]), np.float32)])
-        out = np.zeros((self.n_halves, table.shape[1]), np.float32)
+        out = np.empty((self.n_halves + 1, table.shape[1]), np.float32)
+        out[-1] = 0
         for at in range(0, self.n_halves, 512):  # whole rows at a time, in blocks that stay in the cache
             rows = self.order[at : at + 512]
             total = np.zeros((len(rows), table.shape[1]), np.float32)
             for k in range(self.known[rows[0]]):
                 total += padded[self.terms[at : at + 512, k]]
             out[rows] = total
-        return self.paired(out)
+        both = out[self.half]
+        for at in range(0, len(both), 512):
+            both[at : at + 512] += out[self.second[at : at + 512]]
+        return both
 
     def back(self, rows: np.ndarray, width: int) -> np.ndarray:
         """Transposed rows times ``rows`` (windows by columns), without idf."""
         out = np.zeros((width, rows.shape[1]))
         halves = np.zeros((self.n_halves + 1, rows.shape[1]), np.float32)
-        halves[self.half] += rows
-        two = self.second >= 0
-        halves[self.second[two]] += rows[two]
+        halves[self.half] = rows
+        for at in range(0, len(rows), 512):  # windows without a second half meet in the last row
+            halves[self.second[at : at + 512]] += rows[at : at + 512]
         order = np.argsort(self.term, kind="stable")
         term, half = self.term[order], self.term_half[order]
         starts = np.flatnonzero(np.diff(term, prepend=-1))
