@@ -624,6 +624,55 @@ def test_learned_lists_find_planted_rules():
     assert sum(a == b for a, b in zip(said, bad)) > 0.97 * len(rows)
 
 
+def brute_cover(rows, bad, most_tests=4):
+    """The covering from its definition: every test on every feature, gains counted from scratch."""
+    every = lambda live: [
+        quality_rules.Test(name, above, (a + b) / 2)
+        for k, name in enumerate(quality_rules.FEATURES)
+        for a, b in zip(sorted({rows[i][k] for i in live}), sorted({rows[i][k] for i in live})[1:])
+        for above in (False, True)
+    ]
+    covered = lambda tests, some: [i for i in some if all(t.holds(rows[i]) for t in tests)]
+    share = lambda some: np.mean([bad[i] for i in some]) if some else 0.0
+    out, left = [], list(range(len(rows)))
+    while len(out) < 12:
+        held, grown, tests = left[::3], [i for k, i in enumerate(left) if k % 3], []
+        while len(tests) < most_tests and 0 < share(live := covered(tests, grown)) < 1:
+            best, chosen = 1e-9, None
+            for t in every(live):
+                hit = covered([t], live)
+                gain = sum(bad[i] for i in hit) * np.log2(share(hit) / share(live)) if share(hit) else 0.0
+                if gain > best:
+                    best, chosen = gain + 1e-9, t
+            if not chosen:
+                break
+            tests.append(chosen)
+        if not tests:
+            break
+
+        def worth(n):
+            hit = covered(tests[:n], held)
+            return (sum(bad[i] for i in hit) + 1) / (len(hit) + 2) + sum(bad[i] for i in hit) / (10 * len(held) + 1)
+
+        while len(tests) > 1 and worth(len(tests) - 1) >= worth(len(tests)):
+            tests.pop()
+        hit = covered(tests, left)
+        if sum(bad[i] for i in hit) < 3 or share(hit) < 0.9 or covered(tests, held) and share(covered(tests, held)) < 0.9:
+            break
+        out.append(quality_rules.Rule(tuple(tests)))
+        left = [i for i in left if i not in hit]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_covering_equals_a_full_search(seed):
+    draw = random.Random(seed)
+    rows = [tuple(float(draw.randrange(9)) for _ in quality_rules.FEATURES) for _ in range(240)]
+    bad = [(r[1] > 5 and r[3] <= 4) or r[6] > 7 or draw.random() < 0.01 * seed for r in rows]
+    rules = quality_rules.learn(rows, bad)
+    assert rules and rules == brute_cover(rows, bad)
+
+
 def test_quality_odd_rows(odd, none, labels, docs):
     rules = quality_rules.fit_rules(docs, labels)
     assert quality_rules.judge(odd, rules).count() == len(ODD) and quality_rules.judge(none, rules).count() == 0
