@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeline.llm.chat_format import format_chats
 from lodeline.llm.common import table
 from lodeline.llm.decontamination import contaminated
+from lodeline.llm.exact_dedup import exact_groups
 from lodeline.llm.html_extract import extract_pages
 from lodeline.llm.jaccard_join import similar_groups
 from lodeline.llm.license_scan import scan_licenses
@@ -62,6 +63,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -110,3 +116,10 @@ WITH RECURSIVE w AS (
 )
 SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c.component_id FROM s JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1) c ON c.doc_id = s.doc_id
 """
+
+ORACLE_SQL["op13_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
