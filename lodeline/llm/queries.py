@@ -13,6 +13,7 @@ from lodeline.llm.html_extract import extract_pages
 from lodeline.llm.jaccard_join import similar_groups
 from lodeline.llm.license_scan import scan_licenses
 from lodeline.llm.packing import pack_documents
+from lodeline.llm.prefix_trie import conversation_trie
 from lodeline.llm.quality_rules import fit_rules, judge
 from lodeline.llm.sharding import SHARDS, place
 from lodeline.llm.toxicity import fit_model, score
@@ -68,6 +69,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -148,3 +154,34 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, C
   sha256(t) AS restored_sha256
 FROM o
 """
+
+ORACLE_SQL["op12_conversation_prefix_trie"] = r"""
+WITH o AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST,
+    substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT c.conv_id, c.t, r.t AS head, (list_reduce(list_concat([4294967295], list_transform(string_split(c.conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) & 3) AS h
+  FROM o c LEFT JOIN o r ON r.conv_id = c.conv_id - c.conv_id % 20
+), b AS (
+  SELECT conv_id, list_concat(coalesce(head[1:3 - h], []), t[4 - h:]) AS t FROM h
+), p AS (
+  SELECT conv_id, len(t) AS l, unnest(range(len(t) + 1)) AS depth, t FROM b
+), m AS (
+  SELECT conv_id, l, depth, t[1:depth] AS k, t[1:depth - 1] AS up,
+    CASE WHEN depth > 0 THEN len(regexp_extract_all(t[depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w FROM p
+), n AS (
+  SELECT depth, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (l = depth), '')) AS ends_sha256
+  FROM m GROUP BY depth, k
+), d AS (
+  SELECT a.conv_id, a.depth, a.n_convs, a.w, a.ends_sha256, b.conv_id AS parent_conv_id FROM n a LEFT JOIN n b ON b.depth = a.depth - 1 AND b.k = a.up AND a.depth > 0
+), c AS (
+  SELECT d.*, coalesce(x.n, 0) AS n_children FROM d LEFT JOIN (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM d WHERE depth > 0 GROUP BY ALL) x USING (conv_id, depth)
+), s AS (
+  SELECT a.conv_id, a.depth, sum((b.n_convs - 1) * b.w)::BIGINT AS saved_tokens, count(*) FILTER (b.n_children = 0) AS n_leaves
+  FROM (SELECT n.conv_id, n.depth, u.conv_id AS top, u.depth AS at FROM n JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth JOIN n u ON u.depth = m.depth AND u.k = m.k AND n.depth >= u.depth AND m.k = n.k[1:m.depth]) y
+  JOIN c b ON b.conv_id = y.conv_id AND b.depth = y.depth JOIN c a ON a.conv_id = y.top AND a.depth = y.at GROUP BY ALL
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM c JOIN s USING (conv_id, depth)
+"""
