@@ -13,12 +13,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.functions.columns import col, number
+from lodeline.functions.columns import col, kinds, number, shown, user_columns
 from lodeline.functions.periods import bucket, preferred_grain
 from lodeline.operators.stats import percentiles
 from lodeline.plans.model import Roles
 
 OTHERS = "Other segments"
+#: Points of a scatter for each segment, segments that have a colour of their own, and bins of each axis.
+POINTS, COLOURS, BINS = 60, 8, 40
 
 
 def total(measure: str | None, when: Column | None = None) -> Column:
@@ -244,3 +246,73 @@ def histogram(df: DataFrame, measure: str, bins: int = 35) -> DataFrame:
     place = F.least(F.floor((m - low) / width), F.lit(bins - 1)).cast("int")
     out = df.where(m.isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("rows"))
     return out.select("bin", (low + F.col("bin") * width).alias("low"), (low + (F.col("bin") + 1) * width).alias("high"), "rows")
+
+
+def scatter_partner(df: DataFrame, roles: Roles) -> str | None:
+    """The first other numeric column of more than two values: one with a value
+    strictly between its extremes. Two aggregates of all columns."""
+    others = [c for c in roles.numeric if c != roles.measure]
+    if not others:
+        return None
+    ends = df.agg(*(F.struct(F.min(number(c)).alias("low"), F.max(number(c)).alias("high")).alias(f"c{k}") for k, c in enumerate(others))).first()
+    wide = [(c, e) for c, e in zip(others, ends) if e["low"] is not None and e["low"] < e["high"]]
+    if not wide:
+        return None
+    between = df.agg(*(F.bool_or((number(c) > e["low"]) & (number(c) < e["high"])).alias(f"b{k}") for k, (c, e) in enumerate(wide))).first()
+    return next((c for (c, _), b in zip(wide, between) if b), None)
+
+
+def scatter_grid(df: DataFrame, x: str, y: str, bins: int = BINS) -> DataFrame:
+    """(x_bin, y_bin, x_low, x_high, y_low, y_high, rows): how many rows fall in
+    each cell of a grid between the extremes of both columns; at most
+    bins x bins rows, whatever the table. Rows without one of the two are in none."""
+    a, b = number(x), number(y)
+    both = df.where(a.isNotNull() & b.isNotNull()).select(a.alias("x"), b.alias("y"))
+    ends = both.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if ends["x0"] is None:
+        return df.sparkSession.createDataFrame([], "x_bin int, y_bin int, x_low double, x_high double, y_low double, y_high double, rows long")
+    steps = {c: (ends[f"{c}0"], (ends[f"{c}1"] - ends[f"{c}0"]) / bins or 1.0) for c in "xy"}
+    place = {c: F.least(F.floor((F.col(c) - low) / width), F.lit(bins - 1)).cast("int").alias(f"{c}_bin") for c, (low, width) in steps.items()}
+    cells = both.groupBy(place["x"], place["y"]).agg(F.count("*").alias("rows"))
+    edge = lambda c, k: F.lit(steps[c][0]) + (F.col(f"{c}_bin") + k) * steps[c][1]
+    return cells.select("x_bin", "y_bin", *(edge(c, k).alias(f"{c}_{name}") for c in "xy" for k, name in enumerate(("low", "high"))), "rows")
+
+
+def scatter_sample(df: DataFrame, roles: Roles, x: str, y: str, key: tuple[str, ...] = (), points: int = POINTS, colours: int = COLOURS) -> DataFrame:
+    """(segment, x, y): for each of the largest segments, and for all others
+    together, the rows whose hashes are the smallest; at most
+    points x (colours + 1) rows, whatever the table.
+
+    The hash is of the ``key`` columns (else of all), so the same rows come up each
+    time. Counts of the segments say below which hash about ``points`` of their
+    rows lie, with some to spare; only those are read and ranked, so no row is
+    sorted that is not nearly drawn. A segment that was short of rows gets a
+    wider bound.
+    """
+    a, b = number(x), number(y)
+    name = shown(roles.dimension, kinds(df)[roles.dimension]) if roles.dimension else F.lit(None).cast("string")
+    of = [shown(c, kinds(df)[c]) for c in key or user_columns(df)]
+    # The first 13 hex digits are a whole number below 2^52, which a double holds.
+    spot = F.conv(F.substring(F.md5(F.concat_ws(":", *(F.coalesce(c, F.lit("")) for c in of)).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    both = df.where(a.isNotNull() & b.isNotNull()).select(name.alias("segment"), a.alias("x"), b.alias("y"), spot.alias("spot"))
+    sizes = both.groupBy("segment").agg(F.count("*").alias("rows"))
+    top = {r["segment"]: r["rows"] for r in sizes.where("segment IS NOT NULL").orderBy(F.desc("rows"), "segment").limit(colours).collect()}
+    rest = (sizes.agg(F.sum("rows")).first()[0] or 0) - sum(top.values())
+    labelled = both.withColumn("segment", F.when(F.col("segment").isin(*top), F.col("segment")).otherwise(OTHERS if roles.dimension else None))
+    found, wanted = [], {**top, **({(OTHERS if roles.dimension else None): rest} if rest else {})}
+    spare = 4.0
+    while wanted:
+        bound = F.lit(None).cast("double")
+        for segment, n in wanted.items():
+            bound = F.when(F.col("segment").eqNullSafe(F.lit(segment)), F.lit(min(1.0, (points + spare * (points**0.5 + 1)) / n))).otherwise(bound)
+        near = labelled.where(F.col("spot") <= bound)
+        place = F.row_number().over(Window.partitionBy("segment").orderBy("spot", "x", "y"))
+        drawn: dict[str | None, list] = {}
+        for r in near.withColumn("place", place).where(F.col("place") <= points).select("segment", "x", "y").collect():
+            drawn.setdefault(r["segment"], []).append(tuple(r))
+        done = [s for s, n in wanted.items() if len(drawn.get(s, ())) >= min(points, n)]
+        for s in done:
+            found += drawn.get(s, [])
+            del wanted[s]
+        spare *= 8
+    return df.sparkSession.createDataFrame(found, "segment string, x double, y double")

@@ -145,6 +145,19 @@ def execute(plan: QueryPlan, df: DataFrame, roles: Roles) -> Answer:
     return made(f"{what}{phrase} is {'up' if change >= 0 else 'down'} {abs(change):.1f}% on the period before (from {money(previous)} to {money(latest)}).", "(latest − previous) ÷ |previous| of period sums", trend, "line")
 
 
+def figure(result: Answer) -> DataFrame | None:
+    """What an answer's figure shows, in the order in which it is drawn: (label,
+    value) of a bar for each segment, smallest first, or (period, value) of a
+    line. Bars show a change in percent where there is one, else the first value."""
+    if result.table is None or result.chart is None:
+        return None
+    names = result.table.columns
+    if result.chart == "line":
+        return result.table.select("period", "value").orderBy("period") if {"period", "value"} <= set(names) else None
+    value = "Change %" if "Change %" in names else names[1]
+    return result.table.select(col(names[0]).cast("string").alias("label"), col(value).cast("double").alias("value")).orderBy(F.asc_nulls_first("value"), F.desc("label"))
+
+
 def answer(question: str, df: DataFrame, roles: Roles, values: dict[str, list[str]] | None = None) -> Answer | None:
     """Parse and execute; None where the rules can't read or run the question."""
     plan = parse(question, df, roles, values)

@@ -7,6 +7,7 @@ doubles are rounded to 2 places and other doubles to 4 in both.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -366,6 +367,58 @@ def histogram_35(df):
     return frames.histogram(df, "value").select("bin", "rows")
 
 
+# Scatter of two measures: presentation frames.
+
+_RANGE = "r AS (SELECT min(l_quantity) AS x0, (max(l_quantity) - min(l_quantity)) / 40.0 AS xw, min(l_extendedprice) AS y0, (max(l_extendedprice) - min(l_extendedprice)) / 40.0 AS yw FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL)"
+
+
+@query("lineitem", f"""
+WITH {_RANGE}, c AS (
+  SELECT least(floor((l_quantity - x0) / xw), 39)::INTEGER AS x_bin, least(floor((l_extendedprice - y0) / yw), 39)::INTEGER AS y_bin, count(*) AS rows
+  FROM lineitem, r WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY ALL
+)
+SELECT x_bin, y_bin, round(x0 + x_bin * xw, 4) AS x_low, round(x0 + (x_bin + 1) * xw, 4) AS x_high, round(y0 + y_bin * yw, 4) AS y_low, round(y0 + (y_bin + 1) * yw, 4) AS y_high, rows FROM c, r
+""")
+def scatter_grid(df):
+    return frames.scatter_grid(df, "l_quantity", "l_extendedprice").select("x_bin", "y_bin", *r4("x_low", "x_high", "y_low", "y_high"), "rows")
+
+
+@query("lineitem", """
+WITH n AS (SELECT l_linestatus, count(*) AS rows FROM lineitem GROUP BY 1), t AS (SELECT l_linestatus FROM n WHERE l_linestatus IS NOT NULL ORDER BY rows DESC, l_linestatus LIMIT 1
+), h AS (
+  SELECT CASE WHEN l_linestatus IN (FROM t) THEN l_linestatus ELSE 'Other segments' END AS segment, l_quantity::DOUBLE AS x, l_extendedprice AS y,
+    ('0x' || substr(md5(l_orderkey || ':' || l_linenumber), 1, 13))::BIGINT / 4503599627370496 AS spot
+  FROM lineitem
+)
+SELECT segment, x, y FROM h QUALIFY row_number() OVER (PARTITION BY segment ORDER BY spot, x, y) <= 60
+""")
+def scatter_sample(df):
+    return frames.scatter_sample(df, LINEITEM, "l_quantity", "l_extendedprice", ("l_orderkey", "l_linenumber"), colours=1)
+
+
+@query("lineitem", """
+SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS column, unnest([count(DISTINCT l_quantity) > 2, count(DISTINCT l_discount) > 2, count(DISTINCT l_tax) > 2]) AS suits,
+  CASE WHEN count(DISTINCT l_quantity) > 2 THEN 'l_quantity' WHEN count(DISTINCT l_discount) > 2 THEN 'l_discount' WHEN count(DISTINCT l_tax) > 2 THEN 'l_tax' END AS partner
+FROM lineitem
+""")
+def scatter_partners(df):
+    """Which columns suit as the other axis, and the one that is taken."""
+    others = [c for c in LINEITEM.numeric if c != LINEITEM.measure]
+    taken = frames.scatter_partner(df, LINEITEM)
+    suits = [(c, frames.scatter_partner(df, replace(LINEITEM, numeric=(c,))) == c, taken) for c in others]
+    return df.sparkSession.createDataFrame(suits, "column string, suits boolean, partner string")
+
+
+@query("lineitem", """
+WITH t AS (SELECT l_returnflag AS label, round(sum(l_extendedprice), 2) AS value FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1)
+SELECT row_number() OVER (ORDER BY value, label DESC)::INTEGER AS place, label, value FROM t
+""")
+def answer_figure(df):
+    """The bars of a breakdown's answer, in the order in which they are drawn."""
+    drawn = compiler.figure(compiler.execute(QueryPlan("breakdown", measure="l_extendedprice", dimension="l_returnflag"), df, FLAGS)).collect()
+    return df.sparkSession.createDataFrame([(k, r["label"], round(r["value"], 2)) for k, r in enumerate(drawn, 1)], "place int, label string, value double")
+
+
 # Time series: X-3, A-19, A-20, W-1 to W-4, X-5 to X-9.
 
 _FIT = "t AS (SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS period, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS k, value - lag(value) OVER (ORDER BY period) AS d FROM t), s AS (SELECT median(d) AS slope FROM i), f AS (SELECT median(value - slope * k) AS icpt FROM i, s), e AS (SELECT period, value, k, icpt + slope * k AS expected, value - (icpt + slope * k) AS residual FROM i, s, f), m AS (SELECT CASE WHEN median(abs(residual)) * 1.4826 = 0 THEN avg(abs(residual)) ELSE median(abs(residual)) * 1.4826 END AS spread FROM e)"
