@@ -159,6 +159,10 @@ class Prepared:
 
         return analyze(self.table, roles or self.roles)
 
+    def release(self) -> None:
+        """Let go of the cached table."""
+        self.table.unpersist()
+
 
 def bounded(raw: DataFrame, rows: int | None) -> tuple[DataFrame, int]:
     """The first rows in source order, and how many are beyond."""

@@ -6,6 +6,7 @@ doubles are rounded to 2 places and other doubles to 4 in both.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -16,9 +17,9 @@ from lodeline.functions.columns import col
 from lodeline.functions.periods import in_year
 from lodeline.functions.shipping import scratch, ship
 from lodeline.operators import cleaning, evidence, frames, roles, stats, timeseries
-from lodeline.plans import compiler, parser
+from lodeline.plans import compiler, parser, planner
 from lodeline.plans.model import QueryPlan, Roles, ValueFilter
-from lodeline.sources import tabular
+from lodeline.sources import csv_shape, memo, tabular, workbook
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -614,6 +615,74 @@ def csv_round_trip(df):
     return table.select("c_custkey", "note", "c_acctbal")
 
 
+@query("customer", "SELECT CASE WHEN c_custkey % 5 = 0 THEN 3 WHEN c_custkey % 7 = 0 THEN 1 ELSE 2 END AS cells, count(*) AS lines FROM customer GROUP BY 1")
+def csv_ragged_report(df):
+    """Cells of the lines of a file whose records are not all of one width."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "csv")
+    quoted = F.concat(F.lit('"'), "c_name", F.lit(', of ""'), "c_mktsegment", F.lit('"""'))
+    line = F.when(F.col("c_custkey") % 5 == 0, F.concat_ws(",", "c_custkey", quoted, F.lit("x"))).when(F.col("c_custkey") % 7 == 0, quoted).otherwise(F.concat_ws(",", "c_custkey", quoted))
+    df.select(line.alias("value")).write.text(path)
+    return csv_shape.widths(spark, path, ",")
+
+
+@query("customer", "SELECT c_custkey, '1 cell more' AS verdict FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer)")
+def csv_strict_error(df):
+    """Where reading stops in a file that has one cell too many in the record of the first customer."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "csv")
+    first = df.agg(F.min("c_custkey").alias("k")).first()["k"]
+    rows = df.select(F.concat_ws(",", F.col("c_custkey"), F.when(F.col("c_custkey") == first, F.lit("x,y")).otherwise("c_mktsegment")).alias("key,segment"))
+    rows.coalesce(1).write.option("header", True).option("quote", "").csv(path)
+    file = spark.read.text(path).inputFiles()[0]
+    try:
+        tabular.read_csv(spark, file)
+    except ValueError as e:
+        n, cells, width = map(int, re.search(r"line (\d+) has (\d+) cells, and the header has (\d+)", str(e)).groups())
+        line = spark.read.text(file).withColumn("n", F.monotonically_increasing_id() + 1).where(F.col("n") == n)
+        return line.select(F.split("value", ",")[0].cast("long").alias("c_custkey"), F.lit(f"{cells - width} cell more").alias("verdict"))
+
+
+@query("supplier", "SELECT s_suppkey::DOUBLE AS s_suppkey, s_name, s_acctbal FROM supplier")
+def workbook_round_trip(df):
+    spark, path = df.sparkSession, scratch(df.sparkSession, "book") + ".xlsx"
+    tabular.write_workbook(df.select("s_suppkey", "s_name", "s_acctbal"), path)
+    table, _ = cleaning.clean(tabular.read_table(spark, path, "Data"))
+    return table.select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("supplier", "SELECT 'Suppliers & more' AS sheet, count(*) + 1 AS rows, 3 * (count(*) + 1) AS cells FROM supplier")
+def workbook_sheets(df):
+    """Rows and cells of all sheets of a workbook, read in parts of 50 rows."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "book") + ".xlsx"
+    tabular.write_workbook(df.select("s_suppkey", "s_name", "s_acctbal"), path, "Suppliers & more")
+    every = workbook.register(spark).read.format("workbook").option("path", path).option("sheet", "*").option("rows", 50).load()
+    return every.groupBy("sheet").agg(F.count("*").alias("rows"), F.sum(F.size("cells")).alias("cells"))
+
+
+@query("customer", "SELECT c_mktsegment AS segment, count(*) AS rows, round(sum(c_acctbal), 2) AS value, 1 AS parses FROM customer GROUP BY 1")
+def scan_memo(df):
+    """A file that is read twice, under two names, and parsed once."""
+    spark, folder = df.sparkSession, scratch(df.sparkSession, "csv")
+    scans, files = memo.ScanMemo(spark), []
+    for name in ("one", "two"):
+        tabular.write_csv(df.select("c_mktsegment", "c_acctbal").orderBy("c_custkey"), f"{folder}-{name}", single=True)
+        files.append(spark.read.text(f"{folder}-{name}").inputFiles()[0])
+    read = [scans.read(f) for f in files]
+    table = read[1][1].select(col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("double").alias("v"))
+    return table.groupBy("segment").agg(F.count("*").alias("rows"), F.round(F.sum("v"), 2).alias("value")).withColumn("parses", F.lit(len({key for key, _ in read})))
+
+
+@query("orders", """
+WITH s AS (SELECT o_orderpriority AS name, count(*) AS rows FROM orders GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY length(name) DESC, name) AS k FROM s)
+SELECT k::INTEGER AS place, 'segment ' || k || ' has ' || rows || ' rows; the facts of segment ' || k || ' are no numbers' AS reads FROM k
+""")
+def redacted_payload(df):
+    """Statements about all segments, without their names."""
+    rows = df.groupBy("o_orderpriority").agg(F.count("*").alias("n")).collect()
+    names = sorted((r[0] for r in rows), key=lambda n: (-len(n), n))
+    says = {r[0]: f"{r[0]} has {r[1]} rows; the facts of {r[0]} are no numbers" for r in rows}
+    return df.sparkSession.createDataFrame(list(enumerate(planner.redacted([says[n] for n in names], names), 1)), "place int, reads string")
+
+
 @query("part", "SELECT p_partkey, p_brand FROM part ORDER BY p_partkey LIMIT 50")
 def parquet_preview(df):
     spark, path = df.sparkSession, scratch(df.sparkSession, "parquet")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,17 @@ from pyspark.sql import types as T
 
 from lodeline.functions.columns import ORDER, col, q, spark_names, unique_names, user_columns, with_order
 from lodeline.functions.shipping import ship
-from lodeline.sources.xlsx import blocks, layout, sheet_names
+from lodeline.sources import workbook
+from lodeline.sources.csv_shape import shape_of
+from lodeline.sources.xlsx import blocks, layout, sheet_names, write_sheet
 
 TABLE_SUFFIXES = (".csv", ".xlsx", ".xlsm")
 WORKBOOKS = (".xlsx", ".xlsm")
 # Cells that mean missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 SAMPLE = 4096
+SHEET_ROWS = 1 << 20  # the format's bound
+BOM = b"\xef\xbb\xbf"
 
 
 def head(spark: SparkSession, path: str, size: int) -> bytes:
@@ -47,17 +52,15 @@ def validate(spark: SparkSession, path: str) -> str:
     return suffix
 
 
-def lines_of(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """The encoding (UTF-8 where every line is valid in it, else Latin-1), and
-    whether a quoted cell may hold a line end: then a line has an odd number of quotes."""
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 where every line is valid in it, else Latin-1."""
     # Line ends are single bytes in both, so lines can be tested apart.
-    odd = F.size(F.split("value", '"')) % 2 == 0
-    r = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value")).alias("invalid"), F.count_if(odd).alias("odd")).first()
-    return "ISO-8859-1" if r["invalid"] else "UTF-8", r["odd"] > 0
+    return "ISO-8859-1" if spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value")).alias("n")).first()["n"] else "UTF-8"
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    return lines_of(spark, path)[0]
+def header_of(sample: bytes, encoding: str, delimiter: str) -> list[str]:
+    text = sample.removeprefix(BOM).decode(encoding, "replace")
+    return next((row for row in csv.reader(text.splitlines(), delimiter=delimiter) if row), [])
 
 
 def delimiter_of(text: str) -> str:
@@ -72,25 +75,53 @@ def delimiter_of(text: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; typing belongs to cleaning. One scan for the encoding,
-    one for the rows, which only cells with line ends keep in one task for each file."""
+    """All columns as text; typing belongs to cleaning. One scan for the encoding
+    and the shape, one for the rows, which only cells with line ends keep in one
+    task for each file.
+
+    A record of more cells than the header and a quote that is never closed are
+    errors that name the line; also where the first record has one cell too many,
+    which other readers take for a row label. Missing cells at the end of a
+    record are NULL.
+    """
     sample = head(spark, path, 1 << 20)
-    encoding, broken = lines_of(spark, path)
-    text = sample.decode(encoding, "replace").removeprefix("﻿")
-    delimiter = delimiter_of(text[:SAMPLE])
-    header = next(csv.reader(text.splitlines(), delimiter=delimiter), [])
-    names = spark_names(unique_names(h or f"Unnamed: {k}" for k, h in enumerate(header)))
+    # Delimiters and quotes are the same bytes in both encodings.
+    delimiter = delimiter_of(sample.decode("latin-1").removeprefix(BOM.decode("latin-1"))[:SAMPLE])
+    width = len(header_of(sample, "latin-1", delimiter))
+    shape = shape_of(spark, path, delimiter, width)
+    names = spark_names(unique_names(h or f"Unnamed: {k}" for k, h in enumerate(header_of(sample, shape.encoding, delimiter))))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(schema).options(header=True, sep=delimiter, encoding=encoding, multiLine=broken, escape='"', enforceSchema=True, mode="PERMISSIVE").csv(path)
+    raw = spark.read.schema(schema).options(header=True, sep=delimiter, encoding=shape.encoding, multiLine=shape.multiline, escape='"', enforceSchema=True, mode="PERMISSIVE").csv(path)
     return with_order(raw.select(*(F.when(~F.coalesce(col(n), F.lit("")).isin(*MISSING), col(n)).alias(n) for n in names)))
 
 
 def list_sheets(spark: SparkSession, path: str) -> list[str]:
-    return sheet_names(content(spark, path)) if validate(spark, path) in WORKBOOKS else []
+    if validate(spark, path) not in WORKBOOKS:
+        return []
+    if opens(path):
+        with workbook.open_book(path) as file:
+            return sheet_names(file)
+    return sheet_names(content(spark, path))
+
+
+def opens(path: str) -> bool:
+    """Whether Python can open the file where it is, without Spark."""
+    try:
+        with workbook.open_book(path):
+            return True
+    except (OSError, ValueError, pa.ArrowException):
+        return False
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A sheet from any store that Spark reads. The driver looks at the header, an executor at the rows."""
+    """A sheet of a workbook; ``sheet`` = ``*`` gives all as (sheet, row, cells).
+    In stores that only Spark reads, one executor gets the file's bytes, and the
+    driver looks at the header."""
+    if opens(path):
+        reader = workbook.register(spark).read.format("workbook").option("path", path)
+        return (reader.option("sheet", sheet) if sheet is not None else reader).load()
+    if sheet == workbook.ALL:
+        raise ValueError("All sheets at once need a store that Python opens; read them one by one.")
     part, names = layout(content(spark, path), sheet)
     schema = T.StructType([T.StructField(ORDER, T.LongType()), *(T.StructField(n, T.StringType()) for n in names)])
 
@@ -123,6 +154,18 @@ def write_csv(df: DataFrame, path: str, *, single: bool = False) -> None:
     (out.coalesce(1) if single else out).write.mode("overwrite").options(header=True, encoding="UTF-8", escape='"').csv(path)
 
 
+def write_workbook(df: DataFrame, path: str, sheet: str = "Data") -> None:
+    """A table as a workbook, if it has no more rows than a sheet can have; the
+    driver holds a part of them at a time."""
+    names = user_columns(df)
+    n = df.limit(SHEET_ROWS).count()
+    if n == SHEET_ROWS:
+        raise ValueError(f"A sheet has no room for {SHEET_ROWS:,} rows and a header.")
+    store, inside = workbook.store_of(path)
+    with store.open_output_stream(inside) as out:
+        write_sheet(out, sheet, chain([tuple(names)], map(tuple, df.select(*map(col, names)).toLocalIterator())), (n + 1, len(names)))
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A report to any store that Spark writes."""
     jvm = spark._jvm
@@ -134,4 +177,4 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
         stream.close()
 
 
-__all__ = ["list_sheets", "preview", "q", "read_csv", "read_parquet", "read_table", "read_workbook", "write_csv", "write_text"]
+__all__ = ["list_sheets", "preview", "q", "read_csv", "read_parquet", "read_table", "read_workbook", "write_csv", "write_text", "write_workbook"]

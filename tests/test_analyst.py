@@ -1,5 +1,8 @@
 """Fixtures with known outcomes: roles, cleaning, series, frames, briefs, questions."""
 
+import collections
+import json
+from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
@@ -305,3 +308,73 @@ def test_percentiles_are_exact(spark, values, small):
     own = [float(v) for v in values if v is not None and v == v]
     assert n == len(own)
     assert got == ([None] * len(shares) if not own else pytest.approx(np.percentile(own, [100 * p for p in shares]).tolist()))
+
+
+def test_redaction_takes_whole_words_of_values():
+    names = ["A", "facts", "segment 1", "number", "West", "West Coast"]
+    texts = ["A leads; facts of West Coast, not West", "segment 1 and AA, Western, number", "x"]
+    got = planner.redacted(texts, names)
+    place = {n: f"segment {k}" for k, n in enumerate(sorted(names, key=lambda n: (-len(n), n)), 1)}
+    assert got == [f"{place['A']} leads; {place['facts']} of {place['West Coast']}, not {place['West']}", f"{place['segment 1']} and AA, Western, {place['number']}", "x"]
+    assert planner.redacted(texts, []) == texts
+
+
+def test_redacted_payload_keeps_its_shape(orders, found):
+    brief = evidence.analyze(orders, found)
+    for name in ("A", "facts", "number", "segment 1"):
+        facts = tuple(replace(f, subject=name, statement=f"{name} moved") if f.subject else f for f in brief.facts)
+        open_, shut = (json.loads(planner.narrative_payload(replace(brief, facts=facts), redact=r)) for r in (False, True))
+        assert shut["instructions"] == open_["instructions"] and shut["roles"] == open_["roles"]
+        assert [set(f) for f in shut["facts"]] == [set(f) for f in open_["facts"]]
+        assert all(f["segment"] in ("", "segment 1") for f in shut["facts"])
+
+
+def test_narratives_are_told_once(orders, found):
+    brief, calls = evidence.analyze(orders, found), []
+    raw = {"executive_summary": "s", "strategic_read": "r", "actions": [{"title": "t", "recommendation": "d", "evidence": "e", "confidence": "low"}]}
+    told = planner.Narratives(lambda *a: calls.append(a) or raw)
+    assert not told.fits(brief) and told.of(brief) is told.of(brief) and told.fits(brief) and len(calls) == 1
+    told.of(brief, redact=True)
+    told.of(replace(brief, facts=brief.facts[1:]))
+    assert len(calls) == 3
+    none = planner.Narratives(lambda *_: None)
+    with pytest.raises(RuntimeError):
+        none.of(brief)
+    assert not none.told
+
+
+def test_scatter_is_bounded_and_repeats(spark):
+    rows = spark.range(40_000).selectExpr("concat('s', cast(sqrt(id % 400) AS int)) AS seg", "CASE WHEN id % 11 = 0 THEN NULL ELSE id % 97 END AS x", "id * 1.5 AS y", "id AS k")
+    of = Roles(None, "y", "seg", None, ("x", "y"), ("seg",))
+    got = frames.scatter_sample(rows, of, "x", "y", ("k",)).collect()
+    counts = collections.Counter(r["segment"] for r in got)
+    assert len(counts) == frames.COLOURS + 1 and set(counts.values()) == {frames.POINTS}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, frames.scatter_sample(rows.repartition(7), of, "x", "y", ("k",)).collect()))
+    few = frames.scatter_sample(rows.where("k < 30"), of, "x", "y", ("k",)).collect()
+    assert len(few) == 27
+    equal = frames.scatter_sample(rows.withColumn("k", F.lit(1)), of, "x", "y", ("k",), points=5).collect()
+    assert set(collections.Counter(r["segment"] for r in equal).values()) == {5}
+    grid = frames.scatter_grid(rows, "x", "y")
+    assert grid.count() <= frames.BINS**2 and grid.agg(F.sum("rows")).first()[0] == rows.where("x IS NOT NULL").count()
+    none = rows.where("k < 0")
+    assert frames.scatter_grid(none, "x", "y").count() == frames.scatter_sample(none, of, "x", "y").count() == 0
+    flat = rows.withColumn("x", F.lit(2.0))
+    assert frames.scatter_grid(flat, "x", "y").select("x_bin").distinct().count() == 1
+    assert frames.scatter_sample(rows, replace(of, dimension=None), "x", "y", ("k",)).count() == frames.POINTS
+
+
+def test_scatter_partner_has_more_than_two_values(spark):
+    rows = spark.createDataFrame([(1.0, 5, 0, 3.0, None), (2.0, 5, 1, None, None), (3.0, 5, 0, 7.0, None), (4.0, 5, 1, 5.0, None)], "m double, one int, two int, three double, none double")
+    of = lambda *c: Roles(None, "m", None, None, ("m", *c))
+    assert frames.scatter_partner(rows, of("none", "one", "two", "three")) == "three"
+    assert frames.scatter_partner(rows, of("none", "one", "two")) is None and frames.scatter_partner(rows, of()) is None
+
+
+def test_figure_of_an_answer(orders, found):
+    bars = compiler.figure(compiler.answer("top 3 products by revenue", orders, found)).collect()
+    assert [r["value"] for r in bars] == sorted(r["value"] for r in bars) and len(bars) == 3
+    change = compiler.answer("which product grew fastest", orders, found)
+    assert [r["value"] for r in compiler.figure(change).collect()] == sorted(r["Change %"] for r in change.table.collect())
+    line = compiler.figure(compiler.answer("revenue trend by month", orders, found)).collect()
+    assert [r["period"] for r in line] == sorted(r["period"] for r in line)
+    assert compiler.figure(compiler.answer("how many orders", orders, found)) is None

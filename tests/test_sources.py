@@ -1,12 +1,16 @@
 """Files: dialects, encodings, workbooks, sinks, streams."""
 
+import csv
+import io
+import random
 import zipfile
 from datetime import datetime
 
 import pytest
 
 from lodeline.operators import cleaning
-from lodeline.sources import tabular
+from lodeline.sources import csv_shape, memo, tabular, xlsx
+from lodeline.sources import workbook as books
 from lodeline.streaming.trends import run_to_end, windowed_trend
 
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -84,6 +88,140 @@ def test_encoding_equals_a_whole_decode(spark, tmp_path, raw):
     assert tabular.encoding_of(spark, str(path)) == want
 
 
+@pytest.mark.parametrize("raw,words", [
+    (b"a,b\n1,2\n3,4,5\n", "line 3 has 3 cells, and the header has 2"),
+    (b"a,b\n3,4,5\n6,7,8\n", "line 2 has 3 cells"),
+    (b'a,b\n1,"x\ny"\n"3,4\n5,6\n', "quote opened in line 4 is never closed"),
+    (b'a,b\n\n"x\n\ny",2\n"u\nv",1,2\n', "line 6 has 3 cells"),
+    (b'a,b\n"u\nv,w",1,2\n', "line 2 has 3 cells"),
+    (b'a;b\n1;"x;y";3\n', "line 2 has 3 cells"),
+    (b'a,b\n\xe9,"\n', "quote opened in line 2"),
+])
+def test_csv_malformed(spark, tmp_path, raw, words):
+    path = tmp_path / "t.csv"
+    path.write_bytes(raw)
+    with pytest.raises(ValueError, match=words):
+        tabular.read_table(spark, str(path))
+
+
+@pytest.mark.parametrize("raw,rows", [
+    (b"a,b,c\n1\n2,3\n4,5,6\n", [("1", None, None), ("2", "3", None), ("4", "5", "6")]),
+    (b'a,b\n"x ""q"", z",3\n5" pipe,4\n', [('x "q", z', "3"), ('5" pipe', "4")]),
+    (b'"a","b"\n"",""\n"""",2\n\n"1,2",3\n', [(None, None), ('"', "2"), ("1,2", "3")]),
+    (b'a,b\n"x\ny, z\n""w""",2\n', [('x\ny, z\n"w"', "2")]),
+])
+def test_csv_well_formed(spark, tmp_path, raw, rows):
+    path = tmp_path / "t.csv"
+    path.write_bytes(raw)
+    assert [tuple(r) for r in tabular.read_table(spark, str(path)).orderBy("_ord").drop("_ord").collect()] == rows
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_csv_shape_over_splits(spark, tmp_path, seed):
+    """Against the standard reader, with the file cut into parts of some 30 bytes, so that cells reach over several."""
+    draw, out = random.Random(seed), io.StringIO()
+    write = csv.writer(out, lineterminator="\n")
+    cell = lambda: "".join(draw.choices(["a", "b", ",", '"', "\n", " "], [6, 6, 1, 1, 2, 1], k=draw.randrange(12)))
+    write.writerow(["k", "v"])
+    for _ in range(40):
+        write.writerow(["x" + cell(), cell()])
+    text = out.getvalue()
+    broken = {1: text + 'end,"never\nclosed', 2: text + 'one,"two\n\n",three\n' + text[4:]}.get(seed, text)
+    path = tmp_path / "t.csv"
+    path.write_text(broken)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        if seed in (1, 2):
+            line = text.count("\n") + 1
+            with pytest.raises(ValueError, match=f"line {line} " + ("is never closed" if seed == 1 else "has 3 cells")):
+                csv_shape.shape_of(spark, str(path), ",", 2)
+        else:
+            assert csv_shape.shape_of(spark, str(path), ",", 2) == csv_shape.Shape("UTF-8", any("\n" in c for r in csv.reader(io.StringIO(text)) for c in r))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_workbook_source(spark, tmp_path):
+    rows = [["Team", "Count"], *[[f"T{k} <&>", k / 2] for k in range(1234)]]
+    path = workbook(tmp_path / "b.xlsx", {"First": [["only"], ["one"]], "Long": [[str(x).replace("&", "&amp;").replace("<", "&lt;") if isinstance(x, str) else x for x in r] for r in rows]})
+    reader = lambda **o: books.register(spark).read.format("workbook").options(path=path, **o).load()
+    assert reader().columns == ["_ord", "only"]
+    long = reader(sheet="Long", rows=100)
+    assert [(r["Team"], float(r["Count"])) for r in long.orderBy("_ord").collect()] == [tuple(r) for r in rows[1:]]
+    every = reader(sheet="*").collect()
+    assert {(r["sheet"], r["row"]): r["cells"] for r in every if r["row"] < 2} == {("First", 0): ["only"], ("First", 1): ["one"], ("Long", 0): ["Team", "Count"], ("Long", 1): ["T0 <&>", "0.0"]}
+    assert len(every) == 2 + len(rows)
+    with pytest.raises(Exception, match="no sheet named"):
+        reader(sheet="Other")
+
+
+def test_workbook_is_written_and_read_in_parts(spark, tmp_path):
+    table = spark.range(950).selectExpr("id AS k", "concat('a <b> & \"', id, '\" ') AS t", "CASE WHEN id % 3 = 0 THEN NULL ELSE id / 7 END AS v")
+    path = str(tmp_path / "w.xlsx")
+    tabular.write_workbook(table, path, "A & B")
+    assert tabular.list_sheets(spark, path) == ["A & B"]
+    got = books.register(spark).read.format("workbook").options(path=path, rows=100).load()
+    assert got.rdd.getNumPartitions() == 10
+    assert [(int(r["k"]), r["t"], r["v"] and float(r["v"])) for r in got.orderBy("_ord").collect()] == [(r["k"], r["t"], r["v"]) for r in table.collect()]
+
+
+def test_rows_of_sheets_in_any_dialect():
+    """Prefixes, own name spaces, empty rows, tags cut by blocks of every size."""
+    sheet = b'<?xml version="1.0"?><x:worksheet xmlns:x="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:y="urn:y"><x:rowBreaks/><x:sheetData><x:row r="1" y:z="1"><x:c><x:v>1</x:v></x:c></x:row><x:row/><x:row r="3"><x:c r="B3" t="inlineStr"><x:is><x:t>a &gt; b</x:t></x:is></x:c></x:row ></x:sheetData></x:worksheet>'
+    for size in range(1, 90):
+        found = [x for _, x in xlsx.row_elements(io.BytesIO(sheet), 0, size)]
+        assert len(found) == 3 and found[1] == b"<x:row/>" and [x for _, x in xlsx.row_elements(io.BytesIO(sheet), 2, size)] == found[2:]
+    with io.BytesIO() as raw:
+        with zipfile.ZipFile(raw, "w") as z:
+            z.writestr("s.xml", sheet)
+        with zipfile.ZipFile(raw) as book:
+            assert list(xlsx.sheet_rows(book, "s.xml")) == [["1"], [], [None, "a > b"]]
+
+
+def jobs_of(spark, run):
+    """What a call gives, and how many Spark jobs it took."""
+    sc = spark.sparkContext
+    sc.setJobGroup(f"test-{id(run)}", "counted")
+    try:
+        return run(), len(sc.statusTracker().getJobIdsForGroup(f"test-{id(run)}"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_memo_parses_equal_content_once(spark, tmp_path):
+    one, two, other = (tmp_path / f"{n}.csv" for n in ("one", "two", "other"))
+    one.write_text("a,b\n1,x\n2,y\n")
+    two.write_text("a,b\n1,x\n2,y\n")
+    other.write_text("a,b\n2,y\n1,x\n")  # the same lines in another order
+    scans = memo.ScanMemo(spark)
+    key, table = scans.read(str(one))
+    path = scans.path(key).removeprefix("file://")
+    (again, same), jobs = jobs_of(spark, lambda: scans.read(str(two)))
+    # One aggregate, which adaptive execution runs as a job for each of its two stages.
+    assert again == key and same is table and jobs <= 2 and scans.references(key) == 2
+    assert [tuple(r) for r in table.orderBy("_ord").drop("_ord").collect()] == [("1", "x"), ("2", "y")]
+    assert scans.read(str(other))[0] != key
+    scans.release(key)
+    assert (tmp_path / path).exists() and scans.references(key) == 1
+    scans.release(key)
+    assert not (tmp_path / path).exists() and scans.references(key) == 0
+    book = workbook(tmp_path / "b.xlsx", {"A": [["x"], ["1"]], "B": [["y"], ["2"]]})
+    keys = {scans.read(book, s)[0] for s in ("A", "B", "A")}
+    assert len(keys) == 2
+
+
+def test_memo_keeps_nothing_of_a_failed_read(spark, tmp_path):
+    bad = tmp_path / "t.csv"
+    bad.write_text("a\n1,2\n")
+    scans = memo.ScanMemo(spark)
+    for _ in range(2):
+        with pytest.raises(ValueError, match="line 2"):
+            scans.read(str(bad))
+    assert not scans.tables
+
+
 def test_workbooks(spark, tmp_path):
     one = workbook(tmp_path / "two.xlsx", {"Sales": [["Region", "Revenue", "Order Date"], ["West", 1200, datetime(2024, 1, 2)], ["East", 900.5, None]], "Operations": [["Team", "Tickets"], ["A", 3]]})
     assert tabular.list_sheets(spark, one) == ["Sales", "Operations"]
