@@ -2,9 +2,11 @@
 
 A notice of m characters that occurs with at most k edits has, cut into k + 1
 pieces, one piece that occurs unchanged (pigeonhole). An Aho-Corasick machine
-finds these pieces in one walk over a text; only the surroundings of a piece
-are compared, with the bit vectors of Myers, which give the edits of every span
-from word boundary to word boundary. All spans within the bound are found; of
+finds these pieces in one walk over a text. Only the surroundings of a piece go
+to the bounded-error matching of the regex library: it says whether a window
+has a span from word boundary to word boundary within the bound, and then which
+spans those are and how many edits each takes. Word boundaries are part of what
+is matched, and no best match is asked for, so no span hides another one. Of
 spans of one notice that overlap, the one with fewest edits counts (the first
 of equals), and what doesn't overlap it is reported as well.
 
@@ -83,31 +85,19 @@ def pieces(phrase: str, edits: int) -> list[tuple[int, str]]:
     return [(a, phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def distances(masks: dict[str, int], size: int, text: str, start: int, end: int, anywhere: bool = False) -> Iterator[tuple[int, int]]:
-    """(i, edits between a phrase of ``size`` characters and text[start:i]) for
-    each i after ``start``; ``anywhere``: the least edits over later starts too."""
-    full, top, first = (1 << size) - 1, 1 << (size - 1), 0 if anywhere else 1
-    up, down, edits = full, 0, size
-    for i, c in enumerate(text[start:end], start + 1):
-        same = masks.get(c, 0)
-        either = same | down
-        along = (((same & up) + up) ^ up) | same
-        more, less = down | (full & ~(along | up)), up & along
-        edits += 1 if more & top else -1 if less & top else 0
-        more = (more << 1) | first
-        up, down = (less << 1 | ~(either | more)) & full, more & either
-        yield i, edits
-
-
 class Scanner:
     """Finds base phrases and fuzzy notices in a text given as UTF-8."""
 
     def __init__(self, notices: tuple[Notice, ...] = NOTICES, base: tuple[tuple[str, str], ...] = BASE_PHRASES):
         import ahocorasick
+        import regex
 
         self.notices = notices
         self.base = [(p.encode().split(), p.encode(), label) for p, label in base]
-        self.masks = [{c: sum(1 << i for i, x in enumerate(n.phrase) if x == c) for c in n.phrase} for n in notices]
+        errors = lambda n, k: f"(?:{regex.escape(n.phrase)}){{e<={k}}}"
+        self.within = [regex.compile(rf"(?<![^ ]){errors(n, n.edits)}(?![^ ])") for n in notices]
+        #: For each notice, patterns of at most 0, 1, 2, ... edits.
+        self.by_edits = [[regex.compile(errors(n, k)) for k in range(n.edits + 1)] for n in notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for k, n in enumerate(notices):
             for at, piece in pieces(n.phrase, n.edits):
@@ -135,15 +125,18 @@ class Scanner:
 
     def spans(self, k: int, text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
         """(edits, start, end) of the spans of whole words in a window that are within the bound."""
-        n, masks = self.notices[k], self.masks[k]
+        n = self.notices[k]
         size = len(n.phrase)
-        ends = {i for i in range(lo + 1, hi + 1) if i == len(text) or text[i] == " "}
-        if not any(edits <= n.edits and i in ends for i, edits in distances(masks, size, text, lo, hi, anywhere=True)):
+        # One character more, so that a word that goes on is not taken for one that ends.
+        if not self.within[k].search(text, max(0, lo - 1), hi + 1):
             return
         for start in range(lo, hi):
-            if start == 0 or text[start - 1] == " ":
-                for end, edits in distances(masks, size, text, start, min(hi, start + size + n.edits)):
-                    if edits <= n.edits and end in ends:
+            if start and text[start - 1] != " ":
+                continue
+            for end in range(max(start + 1, start + size - n.edits), min(hi, start + size + n.edits) + 1):
+                if end == len(text) or text[end] == " ":
+                    edits = next((e for e, p in enumerate(self.by_edits[k]) if p.fullmatch(text, start, end)), None)
+                    if edits is not None:
                         yield edits, start, end
 
     def matches(self, text: str) -> list[dict]:

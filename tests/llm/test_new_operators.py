@@ -133,7 +133,7 @@ def test_middle_of_odd_rows(spark):
 def test_middle_of_all_classes(spark):
     draw = random.Random(11)
     alphabet = ["a", " ", "\n", "é", "ß", "中", "文", "😀", "𝒳", "́", "<", ">", "<P", "S>", "\x00"]
-    rows = [(k, "".join(draw.choices(alphabet, k=draw.randrange(60)))) for k in range(3000)]
+    rows = [(k, "".join(draw.choices(alphabet, k=draw.randrange(60)))) for k in range(1500)]
     rows += [(k, t) for k, t in enumerate(["<P>", "x<S>y", "<M>", "<<S>", "<P<S", "é" * 5000, "a" * 5000 + "😀" * 3, "", None])]
     check_middle(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
 
@@ -181,11 +181,12 @@ def brute_trie(built):
             members[tuple(turns[:d])].append(c)
         ends[tuple(turns)].append(c)
     children, leaves, saved = collections.Counter(k[:-1] for k in members if k), collections.Counter(), collections.Counter()
-    for k, m in members.items():
-        words = len(WORD.findall(k[-1][1])) if k else 0
-        for d in range(len(k) + 1):
-            saved[k[:d]] += (len(m) - 1) * words
-            leaves[k[:d]] += not children[k]
+    for k in sorted(members, key=len, reverse=True):
+        saved[k] += (len(members[k]) - 1) * (len(WORD.findall(k[-1][1])) if k else 0)
+        leaves[k] += not children[k]
+        if k:
+            saved[k[:-1]] += saved[k]
+            leaves[k[:-1]] += leaves[k]
     return {(min(m), len(k), min(members[k[:-1]]) if k else None, len(m), children[k], leaves[k], saved[k], sha(",".join(map(str, ends[k])))) for k, m in members.items()}
 
 
@@ -214,9 +215,9 @@ def test_trie_of_parts(spark, part):
 
 
 def test_trie_of_long_and_equal_conversations(spark):
-    """Long shared paths over many parts, one conversation of 3,000 turns, many copies."""
-    rows = [(c, k, "user", f"turn {k}" if k < 300 + c % 5 else f"own {c % 7} {k}") for c in range(40) for k in range(310)]
-    rows += [(1000, k, "user", f"turn {k}") for k in range(3000)] + [(c, k, "user", "hello all") for c in range(2000, 2600) for k in range(2)]
+    """Long shared paths over many parts, one conversation of 1,500 turns, many copies."""
+    rows = [(c, k, "user", f"turn {k}" if k < 300 + c % 5 else f"own {c % 7} {k}") for c in range(30) for k in range(310)]
+    rows += [(1000, k, "user", f"turn {k}") for k in range(1500)] + [(c, k, "user", "hello all") for c in range(2000, 2600) for k in range(2)]
     got = prefix_trie.trie(prefix_trie.rebuilt(spark.createDataFrame(rows, TALKS)), 500).collect()
     assert set(map(tuple, got)) == brute_nodes(rows) and len(got) == len(brute_nodes(rows))
 
