@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodeline.functions.shipping import scratch, ship
 
@@ -56,6 +57,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is none of ``ids`` (one column). Rows
+    without an id stay, and stay out of the exchange, where they would all meet."""
+    name = free_name(docs, "lost_id")
+    named = docs.where("doc_id IS NOT NULL").join(ids.toDF(name), F.col("doc_id") == F.col(name), "left_anti")
+    return docs.where("doc_id IS NULL").unionAll(named)
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """The column as strings, nulls as empty strings."""
     if isinstance(column, pa.ChunkedArray):

@@ -51,11 +51,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import dropped, shipped, slices, written
+from lodeline.llm.common import dropped, shipped, slices, without_ids, written
 
 WINDOW, STRIDE, PIECE_STEP = 32, 16, 4
 RANK, EXTRA = 208, 16
-BLOCK_WORDS = 1 << 17
+#: Words of a block; so many bytes count as a word at least. An item is whole in one block.
+BLOCK_WORDS, WORD_BYTES = 1 << 17, 8
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Tables that one task of the summing tree adds.
 FAN_IN = 4
 LEAST_WORDS = 8
@@ -516,7 +518,10 @@ class Search:
 def contaminated(docs: DataFrame, benchmark: DataFrame, latent_cosine: float = LATENT_COSINE, item_share: float = ITEM_SHARE, answer_share: float = ANSWER_SHARE, rank: int = RANK) -> DataFrame:
     """Matches (doc_id, item_id, ...) of documents with benchmark items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    words = items.agg(F.coalesce(F.sum(F.size(F.split("text", " "))), F.lit(0)).alias("n")).first()["n"]
+    # Equal rows would all fall into one block, and find the same.
+    items = items.distinct()
+    size = F.greatest(F.regexp_count("text", F.lit(WORD)), F.ceil(F.octet_length("text") / WORD_BYTES))
+    words = items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-words // BLOCK_WORDS))
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     found = None
@@ -552,5 +557,4 @@ def _matches(docs: DataFrame, queries: Queries, limits: tuple[float, ...], rank:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that match no benchmark item, all columns."""
-    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, docs["doc_id"] == F.col("leak_id"), "left_anti")
+    return without_ids(docs, contaminated(docs, benchmark).select("doc_id").distinct())

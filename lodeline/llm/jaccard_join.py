@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.llm.common import SLICE_BYTES, dropped, hash_words, shipped, slices, split_words, texts_of, written
+from lodeline.llm.common import SLICE_BYTES, dropped, hash_words, shipped, slices, split_words, texts_of, without_ids, written
 from lodeline.llm.components import components
 
 #: Sizes up to which enumeration is ever considered.
@@ -361,5 +361,4 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFr
     without a group stay. Rows of one id are one document, so they stay or go
     together; rows without an id stay."""
     groups = similar_groups(docs, n, num, den)
-    lost = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "lost")
-    return docs.join(lost.select(F.col("doc_id").alias("lost_id")), docs["doc_id"] == F.col("lost_id"), "left_anti")
+    return without_ids(docs, written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "lost"))

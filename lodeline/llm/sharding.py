@@ -56,10 +56,10 @@ def slot_of(key: Column, text: Column, slots: int) -> Column:
 def place(docs: DataFrame, names: list[str], slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with their slot and shard: a broadcast look-up, no shuffle."""
     slot, shard = free_name(docs, "slot"), free_name(docs, "shard")
-    table = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(names, slots))), "table_slot int, table_shard int")
+    at, to = free_name(docs, "table_slot"), free_name(docs, "table_shard")
+    table = docs.sparkSession.createDataFrame(list(enumerate(lookup_table(names, slots))), "slot int, place int").toDF(at, to)
     placed = docs.withColumn(slot, slot_of(F.col(f"`{key}`"), F.col(f"`{text}`"), slots).cast("int"))
-    hit = placed.join(F.broadcast(table.withColumnsRenamed({"table_slot": "_table_slot", "table_shard": "_table_shard"})), F.col(slot) == F.col("_table_slot"), "left")
-    return hit.withColumn(shard, F.col("_table_shard")).drop("_table_slot", "_table_shard")
+    return placed.join(F.broadcast(table), F.col(slot) == F.col(at), "left").withColumn(shard, F.col(to)).drop(at, to)
 
 
 def write_shards(placed: DataFrame, path: str, shard: str = "shard", parts: int = 1) -> None:
