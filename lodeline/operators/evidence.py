@@ -17,7 +17,7 @@ from lodeline.functions.columns import col, kinds, number
 from lodeline.functions.periods import grain_of, span_days
 from lodeline.functions.text import format_number, format_period, spaced
 from lodeline.operators import frames, stats, timeseries
-from lodeline.operators.roles import TIME_PARTS, choose_roles, is_identifier
+from lodeline.operators.roles import TIME_PARTS, choose_roles, is_identifier, role_stats
 from lodeline.plans.model import Brief, Fact, Observation, Roles, Step, Tile
 
 # Fixed values.
@@ -38,7 +38,12 @@ class Findings:
 
     @cached_property
     def columns(self) -> dict[str, stats.ColumnStats]:
-        return stats.column_stats(self.df)
+        return role_stats(self.df)
+
+    def distinct_of(self, column: str) -> int:
+        """An exact number of distinct values, for display."""
+        s = self.columns[column]
+        return s.distinct if s.exact else stats.column_stats(self.df.select(col(column)), exact=[column])[column].distinct
 
     @cached_property
     def roles(self) -> Roles:
@@ -197,8 +202,8 @@ def tiles(f: Findings, facts: list[Fact]) -> tuple[Tile, ...]:
         out.append(Tile("Latest movement", by["trend"].value, "Against the period before", tone=by["trend"].tone))
     if "leader" in by:
         out.append(Tile(f"Top {r.dimension}", by["leader"].value, "Share of the leader"))
-    if r.identifier:
-        out.append(Tile(f"Distinct {r.identifier}", f"{f.columns[r.identifier].distinct:,}", "Different entities"))
+    if r.identifier and len(out) < TILES:
+        out.append(Tile(f"Distinct {r.identifier}", f"{f.distinct_of(r.identifier):,}", "Different entities"))
     out.append(Tile("Records analyzed", f"{f.rows:,}", "After cleaning"))
     cells = f.rows * len(f.columns)
     while len(out) < TILES:

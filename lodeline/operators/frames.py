@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions.columns import col, kinds, number, shown, user_columns
 from lodeline.functions.periods import bucket, preferred_grain
-from lodeline.operators.stats import percentiles
+from lodeline.operators.stats import grouped_percentile, percentiles
 from lodeline.plans.model import Roles
 
 OTHERS = "Other segments"
@@ -199,7 +199,9 @@ def ranked_growth(change: DataFrame, ascending: bool = False, limit: int | None
 def grouped(df: DataFrame, dimension: str, measure: str | None, aggregation: str, ascending: bool = False) -> DataFrame:
     """(segment, value[, share]) by any aggregation."""
     rows = df.where(col(dimension).isNotNull()).groupBy(col(dimension).alias("segment"))
-    if aggregation == "count" or measure is None:
+    if aggregation == "median" and measure is not None:
+        out = grouped_percentile(df, col(dimension), measure)
+    elif aggregation == "count" or measure is None:
         out = rows.agg(F.count(F.lit(1)).alias("value"))
     else:
         out = rows.agg(aggregate(measure, aggregation).alias("value"))

@@ -34,10 +34,13 @@ def score(name: str, table: dict[str, int]) -> int:
     return max((points for part, points in table.items() if part in spaced(name)), default=0)
 
 
+def is_marked(name: str) -> bool:
+    return not IDENTIFIER_WORDS.isdisjoint(re.findall(r"[^\W_]+", spaced(name)))
+
+
 def is_identifier(s: ColumnStats) -> bool:
     """A whole-word mark in the name, and mostly distinct values."""
-    marked = not IDENTIFIER_WORDS.isdisjoint(re.findall(r"[^\W_]+", spaced(s.name)))
-    return marked and s.distinct / max(s.present, 1) >= IDENTIFIER_RATIO
+    return is_marked(s.name) and s.distinct / max(s.present, 1) >= IDENTIFIER_RATIO
 
 
 def is_time_part(name: str) -> bool:
@@ -70,8 +73,13 @@ def choose_roles(stats: dict[str, ColumnStats]) -> Roles:
     )
 
 
+def role_stats(df: DataFrame) -> dict[str, ColumnStats]:
+    """Statistics that are as exact as roles need them."""
+    return column_stats(df, near={n: IDENTIFIER_RATIO for n in kinds(df) if is_marked(n)})
+
+
 def detect_roles(df: DataFrame) -> Roles:
-    return choose_roles(column_stats(df))
+    return choose_roles(role_stats(df))
 
 
 def override_roles(roles: Roles, *, date: str | None = None, measure: str | None = None, dimension: str | None = None) -> Roles:

@@ -3,13 +3,16 @@ outliers, correlations, category shares."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeline.functions.columns import ORDER, col, kinds, number, present, shown, user_columns, with_order
+from lodeline.functions.shipping import scratch
 
 # Fixed values.
 CATEGORY_DISTINCT, CATEGORY_RATIO = 50, 0.2
@@ -18,42 +21,83 @@ IQR_FACTOR = 1.5
 #: Values that one rank may gather, half the width of a rank's bracket, and the
 #: accuracy of approximate percentiles, whose error is a fifth of that width.
 SMALL, BRACKET, ACCURACY = 50_000, 0.005, 1000
+#: Most distinct values that a rule asks for, the estimate from which a column
+#: surely has more, and the estimates' standard error.
+FEW, SURELY, ERROR = 100, 150, 0.02
+#: Parts of the grid on which brackets of segments are read off.
+GRID = 200
 
 
 @dataclass(frozen=True)
 class ColumnStats:
+    """``distinct`` is exact up to FEW, and beyond where ``exact`` says so; else it is an estimate above FEW."""
+
     name: str
     kind: str
     rows: int
     present: int
     distinct: int
+    exact: bool = True
 
     @property
     def missing(self) -> int:
         return self.rows - self.present
 
 
-def column_stats(df: DataFrame) -> dict[str, ColumnStats]:
-    """Rows, present values and exact distinct values of every column.
+def column_stats(df: DataFrame, exact: Iterable[str] = (), near: dict[str, float] | None = None) -> dict[str, ColumnStats]:
+    """Rows, present and distinct values of every column.
 
-    Counts come from one aggregate. Distinct values come from one more over
-    (column, value) pairs, so that no row is copied once for each column before
-    the map-side aggregation.
+    One aggregate counts, and estimates distinct values from sketches of a fixed
+    size. Columns of few values, by an estimate that is far beyond its error,
+    are then counted exactly in one more aggregate, whose sets stay as small.
+    Others keep their estimate, unless they are in ``exact``, or in ``near`` with
+    a ratio of distinct to present values that the estimate doesn't decide: their
+    values are exchanged as fingerprints of 128 bits. So keys and free texts are
+    neither copied nor exchanged where only a rule asks for them.
     """
     of = kinds(df)
     names = list(of)
     if not names:
         return {}
-    first = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(F.when(present(n, df), 1)).alias(f"p{k}") for k, n in enumerate(names))).first()
-    pairs = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.when(present(n, df), F.to_json(F.struct(col(n).alias("v")))).alias("v")) for k, n in enumerate(names)))).alias("x")).select("x.k", "x.v")
-    distinct = {r["k"]: r["n"] for r in pairs.where("v IS NOT NULL").distinct().groupBy("k").agg(F.count("*").alias("n")).collect()}
-    return {n: ColumnStats(n, of[n], first["rows"], first[f"p{k}"], distinct.get(k, 0)) for k, n in enumerate(names)}
+    value = {n: F.when(present(n, df), col(n)) for n in names}
+    first = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(value[n]).alias(f"p{k}") for k, n in enumerate(names)), *(F.approx_count_distinct(value[n], ERROR).alias(f"d{k}") if sortable(df, n) else F.lit(None).cast("long").alias(f"d{k}") for k, n in enumerate(names))).first()
+    counted = {n: first[f"p{k}"] for k, n in enumerate(names)}
+    guess = {n: first[f"d{k}"] for k, n in enumerate(names)}
+    few = [n for n in names if guess[n] is not None and guess[n] <= SURELY]
+    sets = df.agg(*(F.size(F.collect_set(value[n])).alias(f"s{k}") for k, n in enumerate(few))).first() if few else ()
+    found = {n: (x, True) for n, x in zip(few, sets)}
+
+    def undecided(n: str) -> bool:
+        ratio = (near or {}).get(n)
+        return ratio is not None and abs(guess[n] / max(counted[n], 1) - ratio) <= 5 * ERROR * ratio
+
+    wanted = [n for n in names if n not in found and (guess[n] is None or n in set(exact) or undecided(n))]
+    if wanted:
+        marks = df.select(F.explode(F.array(*(F.when(present(n, df), F.struct(F.lit(k).alias("k"), *fingerprint(n, df))) for k, n in enumerate(wanted)))).alias("x")).select("x.*")
+        numbers = {r["k"]: r["n"] for r in marks.where("k IS NOT NULL").distinct().groupBy("k").agg(F.count("*").alias("n")).collect()}
+        found |= {n: (numbers.get(k, 0), True) for k, n in enumerate(wanted)}
+    return {n: ColumnStats(n, of[n], first["rows"], counted[n], *found.get(n, (guess[n], False))) for n in names}
+
+
+def sortable(df: DataFrame, name: str) -> bool:
+    """Whether values of the column's type can be told apart by sketches and sets (maps can't)."""
+    return not isinstance(df.schema[name].dataType, (T.MapType, T.VariantType, T.ArrayType, T.StructType))
+
+
+def fingerprint(name: str, df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a value, as columns a and b; equal numbers have equal ones."""
+    c = col(name)
+    if not sortable(df, name):
+        c = F.to_json(F.struct(c))
+    elif isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        c = c + F.lit(0.0)  # both zeros are one value
+    return [F.xxhash64(c).alias("a"), F.xxhash64(F.lit("b"), c).alias("b")]
 
 
 def profile(df: DataFrame) -> DataFrame:
     """A data dictionary: a row for each column."""
     df = with_order(df)
-    found = column_stats(df)
+    found = column_stats(df, exact=user_columns(df))
     firsts = df.agg(*(F.min_by(shown(n, s.kind), F.when(present(n, df), F.col(ORDER))).alias(f"e{k}") for k, (n, s) in enumerate(found.items()))).first() if found else None
     rows = []
     for k, (name, s) in enumerate(found.items()):
@@ -167,6 +211,62 @@ def percentiles(df: DataFrame, columns: list[str], shares: tuple[float, ...] = (
     return {c: (counted[c]["n"], found[c] or [None] * len(shares)) for c in ms}
 
 
+def grouped_percentile(df: DataFrame, by: Column, measure: str, share: float = 0.5, small: int = SMALL) -> DataFrame:
+    """(segment, value): the exact percentile of a measure in each segment,
+    linear between neighbours; NULL where a segment has no value.
+
+    Segments of at most ``small`` values are computed as they are. For the others
+    the two values that the rank lies between are sought as in ``percentiles``,
+    for all of these segments at once: sketches bracket them, counts say how many
+    values lie before and inside, and brackets shrink until they hold ``small``
+    values. The brackets are a table, joined to the rows, so there may be many
+    such segments; no task holds more than ``small`` values of one.
+    """
+    rows = df.where(by.isNotNull()).select(by.alias("segment"), number(measure).alias("m"))
+    sizes = rows.groupBy("segment").agg(F.count("m").alias("n"))
+    state = kept(sizes.where(F.col("n") > small), "segments")
+    if state.isEmpty():
+        return rows.groupBy("segment").agg(F.percentile("m", F.lit(share)).alias("value"))
+    light = rows.join(state.select("segment"), "segment", "left_anti").groupBy("segment").agg(F.percentile("m", F.lit(share)).alias("value"))
+    heavy = rows.where("m IS NOT NULL").join(state.select("segment"), "segment", "left_semi")
+    rank = share * (F.col("n") - 1)
+    ends = heavy.groupBy("segment").agg(F.min("m").alias("low"), F.max("m").alias("high"))
+    # Places k1 and k2 from 0 are of the values that the rank lies between.
+    state = kept(state.join(ends, "segment").select("segment", rank.alias("rank"), F.floor(rank).alias("k1"), F.ceil(rank).alias("k2"), "low", "high", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside"), F.lit(None).cast("double").alias("v1"), F.lit(None).cast("double").alias("v2")), "brackets")
+    wide = (F.col("inside") > small) & (F.col("low") < F.col("high")) & F.col("v1").isNull()
+    while not (narrowing := state.where(wide)).isEmpty():
+        near = heavy.join(narrowing, "segment").where("m BETWEEN low AND high")
+        places = F.array(F.greatest((F.first("k1") - F.first("before")) / F.first("inside") - BRACKET, F.lit(0.0)), F.least((F.first("k2") - F.first("before")) / F.first("inside") + BRACKET, F.lit(1.0)))
+        # Percentages of an approximate percentile are literals, so a grid of them is read off at both places.
+        grid = [k / GRID for k in range(GRID + 1)]
+        cuts = near.groupBy("segment").agg(F.percentile_approx("m", grid, ACCURACY).alias("cuts"), places.alias("at"))
+        at = lambda k, up: F.expr(f"cuts[cast({'ceil' if up else 'floor'}(at[{k}] * {GRID}) as int)]")
+        cuts = cuts.select("segment", at(0, False).alias("lo"), at(1, True).alias("hi"))
+        mid = F.col("low") / 2 + F.col("high") / 2
+        told = near.join(cuts, "segment").groupBy("segment").agg(
+            F.count_if(F.col("m") < F.col("lo")).alias("under"), F.count_if(F.col("m").between(F.col("lo"), F.col("hi"))).alias("within"),
+            F.count_if(F.col("m") <= mid).alias("half"), F.max(F.when(F.col("m") <= mid, F.col("m"))).alias("below"), F.min(F.when(F.col("m") > mid, F.col("m"))).alias("above"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+        )
+        both = state.join(told, "segment", "left")
+        cut = "within < inside AND before + under <= k1 AND k2 <= before + under + within - 1"
+        step = F.when(F.col("half").isNull(), "stay").when(F.expr(cut), "cut").when(F.expr("k2 <= before + half - 1"), "lower").when(F.expr("k1 >= before + half"), "upper").otherwise("apart")
+        both = both.withColumn("step", step)
+        pick = lambda cut, lower, upper, stay: F.when(F.col("step") == "cut", F.expr(cut)).when(F.col("step") == "lower", F.expr(lower)).when(F.col("step") == "upper", F.expr(upper)).otherwise(F.expr(stay))
+        state = kept(both.select("segment", "rank", "k1", "k2", pick("lo", "low", "above", "low").alias("low"), pick("hi", "below", "high", "high").alias("high"), pick("before + under", "before", "before + half", "before").cast("long").alias("before"), pick("within", "half", "inside - half", "inside").cast("long").alias("inside"), F.when(F.col("step") == "apart", F.col("below")).otherwise(F.col("v1")).alias("v1"), F.when(F.col("step") == "apart", F.col("above")).otherwise(F.col("v2")).alias("v2")), "brackets")
+    left = state.where("v1 IS NULL AND low < high")
+    lists = heavy.join(left, "segment").where("m BETWEEN low AND high").groupBy("segment").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    values = state.join(lists, "segment", "left")
+    one, two = F.coalesce("v1", F.expr("ms[cast(k1 - before as int)]"), "low"), F.coalesce("v2", F.expr("ms[cast(k2 - before as int)]"), "high")
+    return light.unionByName(values.select("segment", (one + (F.col("rank") - F.col("k1")) * (two - one)).alias("value")))
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: later plans start from it."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, q1, q3), exact."""
     rows = [(c, n, *cuts) for c, (n, cuts) in percentiles(df, columns).items()]

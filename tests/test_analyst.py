@@ -378,3 +378,38 @@ def test_figure_of_an_answer(orders, found):
     line = compiler.figure(compiler.answer("revenue trend by month", orders, found)).collect()
     assert [r["period"] for r in line] == sorted(r["period"] for r in line)
     assert compiler.figure(compiler.answer("how many orders", orders, found)) is None
+
+
+@pytest.mark.parametrize("share,small", [(0.5, 50), (0.5, 3000), (0.9, 50), (0.25, 50), (0.0, 50), (1.0, 50)])
+def test_percentiles_of_segments(spark, share, small):
+    """Constant, two-valued, tied, heavy-tailed, negative and empty segments, above and below the bound."""
+    big = spark.range(30_000).selectExpr(
+        "concat('s', id % 6) AS seg",
+        "CASE id % 6 WHEN 0 THEN 5.0D WHEN 1 THEN cast(id % 12 = 1 AS double) WHEN 2 THEN pow(pmod(xxhash64(id), 9973) / 100, 5) WHEN 3 THEN cast(pmod(xxhash64(id), 7) AS double) WHEN 5 THEN -exp(pmod(xxhash64(id), 4999) / 99) END AS m",
+    )
+    df = big.unionAll(spark.range(31).selectExpr("'few'", "id * 1.5D")).unionAll(spark.range(5).selectExpr("cast(NULL AS string)", "1.0D"))
+    got = {r["segment"]: r["value"] for r in stats.grouped_percentile(df, F.col("seg"), "m", share, small).collect()}
+    want = {r["seg"]: r["v"] for r in df.where("seg IS NOT NULL").groupBy("seg").agg(F.percentile("m", F.lit(share)).alias("v")).collect()}
+    assert set(got) == set(want) and want["s4"] is None and got["s4"] is None
+    assert all(got[s] == pytest.approx(v, rel=1e-9) for s, v in want.items() if v is not None)
+
+
+def test_distinct_counts_are_bounded(spark):
+    df = spark.range(5000).selectExpr("id AS key", "cast(id AS string) AS text", "cast(id % 100 AS double) AS hundred", "id % 101 AS more", "CASE WHEN id % 2 = 0 THEN 0.0D ELSE -0.0D END AS zeros", "CASE WHEN id < 3 THEN id END AS three", "cast(NULL AS int) AS none", "array(id % 4) AS list", "CASE WHEN id % 5 = 0 THEN double('NaN') ELSE 1.0D END AS nan")
+    rough, whole = stats.column_stats(df), stats.column_stats(df, exact=df.columns)
+    assert {n: s.distinct for n, s in whole.items()} == {"key": 5000, "text": 5000, "hundred": 100, "more": 101, "zeros": 1, "three": 3, "none": 0, "list": 4, "nan": 1}
+    assert all(s.exact for s in whole.values())
+    assert {n for n, s in rough.items() if not s.exact} == {"key", "text"}
+    assert all(s.distinct == whole[n].distinct for n, s in rough.items() if s.exact)
+    assert all(abs(rough[n].distinct / 5000 - 1) < 0.15 for n in ("key", "text"))
+
+
+def test_identifiers_at_the_limit_are_counted_exactly(spark):
+    """A ratio near 0.8 is not left to an estimate, and one far from it is not exchanged."""
+    def stat(n):
+        return roles.role_stats(spark.range(10_000).selectExpr(f"id % {n} AS order_id", f"id % {n} AS amount"))
+    for n, marked in ((7999, False), (8000, True), (8001, True)):
+        found = stat(n)
+        assert found["order_id"].exact and found["order_id"].distinct == n and roles.is_identifier(found["order_id"]) == marked
+        assert not found["amount"].exact
+    assert not stat(9999)["order_id"].exact and roles.is_identifier(stat(9999)["order_id"])
