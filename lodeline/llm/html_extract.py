@@ -12,7 +12,11 @@ before them. The region's lines are the text, short ones included, without the
 parts that are no article by their element or by their class, id or role
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts,
 styles). A compound name as "no-sidebar" or "comments-open" says nothing of the
-part unless all its words do. Time and memory are linear in the page.
+part unless all its words do. A form is such a part unless it holds more than
+half of the clustered text, as where one is wrapped around the whole page; a
+menu or the like that is never closed ends where an article begins. Of several
+articles beside each other, those with at least a third of the largest one's
+clustered text are taken. Time and memory are linear in the page.
 
 Defined results: null or empty html, and pages without content, give an empty
 text. Character references are decoded as browsers do. Broken nesting is
@@ -39,7 +43,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long, n_lines long, n_c
 # Elements by their part in a page.
 CONTAINERS = frozenset("html head body article main section div nav aside header footer form ul ol dl table tbody thead tr td th figure figcaption blockquote details dialog fieldset noscript template iframe svg math object video audio canvas select textarea button menu search address title".split())
 BREAKS = CONTAINERS | frozenset("p br hr h1 h2 h3 h4 h5 h6 li dt dd pre caption legend summary option label center".split())
-NEVER = frozenset("head script style noscript template iframe svg object video audio canvas select textarea button nav aside footer form menu search dialog fieldset title".split())
+NEVER = frozenset("head script style noscript template iframe svg object video audio canvas select textarea button nav aside footer menu search dialog fieldset title".split())
 ARTICLES = ("article", "main")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,7 +53,12 @@ NO_ARTICLE = frozenset(
 READERS = frozenset("comment comments disqus respond reply replies responses discussion".split())
 HEADERS = frozenset("header masthead".split())
 #: Words that leave the meaning of a compound name to its other words ("site-footer").
-PLAIN = frozenset("site page main global entry post article blog top bottom left right primary secondary box bar block area section wrap wrapper container inner outer list item items link links button buttons slot unit form".split())
+PLAIN = frozenset("site page main global entry post article blog top bottom left right primary secondary box bar block area section wrap wrapper container inner outer list item items link links button buttons slot unit form title heading text body label content".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: Blocks whose end closes a link that was opened in them.
+PARAGRAPHS = frozenset("p li dt dd h1 h2 h3 h4 h5 h6".split())
+#: Share of the largest article's clustered text from which one beside it is taken too.
+BESIDE = 1 / 3
 
 #: What a line's ratio counts inside an article or main element.
 IN_ARTICLE = 2.0
@@ -83,25 +92,49 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        #: Open containers: (tag, number, state); states: "" live, "never", "hint", "readers", "header".
-        self.open: list[tuple[str, int, str]] = []
+        #: Open containers: (tag, number).
+        self.open: list[tuple[str, int]] = []
         #: How many containers of each tag are open.
         self.depth: Counter[str] = Counter()
         #: Of each container: its kind, and the number of the one around it.
         self.kinds: list[str] = []
         self.parents: list[int] = []
+        #: Also its own state ("" live, "never", "hint", "readers", "header", "form") and whether an end tag closed it.
+        self.own: list[str] = []
+        self.ended: list[bool] = []
         self.line = Line(-1, True)
-        self.heading = self.link = 0
+        self.heading = self.link = self.link_depth = 0
         self.raw = ""
+        #: An inline element of an advert, and how many of its tag are open.
+        self.muted, self.muted_depth = "", 0
 
-    def state(self) -> str:
-        return self.open[-1][2] if self.open else ""
-
-    def new_line(self) -> None:
+    def new_line(self, live: bool = True) -> None:
         if self.line.parts:
             self.lines.append(self.line)
-        state = self.state()
-        self.line = Line(self.open[-1][1] if self.open else -1, not state or (state == "header" and self.heading > 0), self.heading > 0)
+        self.line = Line(self.open[-1][1] if self.open else -1, live, self.heading > 0)
+        self.muted = ""
+
+    def states(self) -> list[str]:
+        """What each container is, with those around it."""
+        out: list[str] = []
+        #: The container that a state comes from.
+        source: list[int] = []
+        for k, (up, own) in enumerate(zip(self.parents, self.own)):  # a container comes after those around it
+            outer = out[up] if up >= 0 else ""
+            if not outer or outer == "form" and own:
+                state = own
+            elif self.kinds[k] in ARTICLES and (outer in ("hint", "form") or not self.ended[source[up]]):
+                # A wrapper's class says little about the article inside it, and what was never closed ends there.
+                state = own
+            elif outer == "header" and own in ("never", "readers", "hint"):
+                state = own
+            else:
+                state = outer
+            if outer == "form" and not own and self.kinds[k] in ARTICLES:
+                state = ""
+            out.append(state)
+            source.append(k if state != outer else source[up] if up >= 0 else k)
+        return out
 
     def own_state(self, tag: str, attrs: dict[str, str | None]) -> str:
         words = part_words(" ".join(attrs.get(k) or "" for k in ("class", "id", "role")))
@@ -114,6 +147,8 @@ class Page(HTMLParser):
             return ""
         if words & NO_ARTICLE:
             return "hint"
+        if tag == "form":
+            return "form"
         if tag == "header" or words & HEADERS:
             return "header" if any(self.depth[t] for t in ARTICLES) else "hint"
         return ""
@@ -124,26 +159,29 @@ class Page(HTMLParser):
         if tag in CONTAINERS:
             if tag in ("head", "body"):  # no body without an end of the head
                 self.close_to("head" if tag == "body" else "", soft=True)
-            own, outer = self.own_state(tag, dict(attrs)), self.state()
-            # A wrapper's class says little about the article inside it.
-            state = own if tag in ("article", "main") and outer == "hint" else outer or own
-            if outer == "header" and own in ("never", "readers", "hint"):
-                state = own
+            self.own.append(self.own_state(tag, dict(attrs)))
+            self.ended.append(False)
             self.kinds.append("main" if dict(attrs).get("role") == "main" else tag)
             self.parents.append(self.open[-1][1] if self.open else -1)
-            self.open.append((tag, len(self.kinds) - 1, state))
+            self.open.append((tag, len(self.kinds) - 1))
             self.depth[tag] += 1
         if tag in HEADINGS:
             self.heading = 1
+        names = "" if tag in CONTAINERS else " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
+        words = part_words(names) if names else set()
         if tag in BREAKS:
-            self.new_line()
-        if tag == "a":
-            self.link += 1
+            self.new_line(live=not words & (NO_ARTICLE | READERS))
+        elif self.muted:
+            self.muted_depth += tag == self.muted
+        elif words & ADVERTS and tag not in VOID:
+            self.muted, self.muted_depth = tag, 1
+        if tag == "a":  # ends the one before; a mere anchor is no link
+            self.link, self.link_depth = int("href" in dict(attrs)), len(self.open)
         self.line.tags += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag in CONTAINERS and tag not in ("div", "section", "article", "main", "body", "html"):
+        if tag == "a" or tag in CONTAINERS and tag not in ("div", "section", "article", "main", "body", "html"):
             self.handle_endtag(tag)
 
     def close_to(self, tag: str, soft: bool = False) -> None:
@@ -151,10 +189,13 @@ class Page(HTMLParser):
         if not self.depth[tag] or soft and self.open[-1][0] not in ("head", "title"):
             return
         while True:
-            closed = self.open.pop()[0]
+            closed, k = self.open.pop()
             self.depth[closed] -= 1
             if closed == tag:
-                return
+                self.ended[k] = not soft
+                break
+        if len(self.open) < self.link_depth:
+            self.link = 0
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
@@ -166,11 +207,15 @@ class Page(HTMLParser):
         self.line.tags += 1
         if tag in BREAKS:
             self.new_line()
-        if tag == "a" and self.link:
-            self.link -= 1
+        elif tag == self.muted:
+            self.muted_depth -= 1
+            if not self.muted_depth:
+                self.muted = ""
+        if tag == "a" or tag in PARAGRAPHS:
+            self.link = 0
 
     def handle_data(self, data: str) -> None:
-        if self.raw:
+        if self.raw or self.muted:
             return
         self.line.parts.append(data)
         if self.link:
@@ -221,14 +266,24 @@ def extract(html: str) -> tuple[str, int, int]:
             texts.append(text)
             lines.append(line)
     sizes = [len(t) for t in texts]
-    parents, kinds = page.parents, page.kinds
+    parents, kinds, states = page.parents, page.kinds, page.states()
+    of = [states[x.inside] if x.inside >= 0 else "" for x in lines]
+    mine = [x.live for x in lines]
+    for x, m, state in zip(lines, mine, of):
+        x.live = m and (not state or state == "header" and x.heading)
     in_article = within(parents, kinds, ARTICLES)
-    content, core = clustered(lines, sizes, [x.inside >= 0 and in_article[x.inside] for x in lines])
-    region = content_region(lines, sizes, content, parents, kinds)
-    if region is not None:
+    marked = [x.inside >= 0 and in_article[x.inside] for x in lines]
+    if "form" in of:
+        whole = whole_forms(lines, sizes, marked, mine, of, parents, states)
+        for x, m, state in zip(lines, mine, of):
+            if state == "form" and m and form_of(x.inside, parents, states) in whole:
+                x.live = True
+    content, core = clustered(lines, sizes, marked)
+    regions = content_regions(lines, sizes, content, parents, kinds)
+    if regions:
         here = [False] * len(parents)
         for k, up in enumerate(parents):
-            here[k] = k == region or up >= 0 and here[up]
+            here[k] = k in regions or up >= 0 and here[up]
         keep = [x.live and x.inside >= 0 and here[x.inside] for x in lines]
     else:
         keep = _without_article(lines, sizes, core if any(core) else content, parents, kinds)
@@ -236,9 +291,31 @@ def extract(html: str) -> tuple[str, int, int]:
     return " ".join(chosen), len(lines), len(chosen)
 
 
-def content_region(lines: list[Line], sizes: list[int], content: list[bool], parents: list[int], kinds: list[str]) -> int | None:
+def form_of(k: int, parents: list[int], states: list[str]) -> int:
+    """The outermost container of the form around a container."""
+    while parents[k] >= 0 and states[parents[k]] == "form":
+        k = parents[k]
+    return k
+
+
+def whole_forms(lines: list[Line], sizes: list[int], marked: list[bool], mine: list[bool], of: list[str], parents: list[int], states: list[str]) -> set[int]:
+    """Forms with more than half of the text that is clustered if all of them count."""
+    before = [x.live for x in lines]
+    for x, m, state in zip(lines, mine, of):
+        x.live = x.live or m and state == "form"
+    content, _ = clustered(lines, sizes, marked)
+    mass: Counter[int] = Counter()
+    for x, n, c, state in zip(lines, sizes, content, of):
+        mass[form_of(x.inside, parents, states) if state == "form" else -1] += n * c
+    for x, live in zip(lines, before):
+        x.live = live
+    return {k for k, m in mass.items() if k >= 0 and 2 * m > mass.total()}
+
+
+def content_regions(lines: list[Line], sizes: list[int], content: list[bool], parents: list[int], kinds: list[str]) -> set[int]:
     """The article or main element around the deepest container with more than
-    half of the clustered text; None if there is no such element."""
+    half of the clustered text, and articles beside it with much of it; none if
+    there is no such element."""
     mass = [0] * len(parents)
     total = 0
     for line, n, c in zip(lines, sizes, content):
@@ -253,7 +330,9 @@ def content_region(lines: list[Line], sizes: list[int], content: list[bool], par
     at = max((k for k, m in enumerate(mass) if 2 * m > total), default=-1)
     while at >= 0 and kinds[at] not in ARTICLES:
         at = parents[at]
-    return at if at >= 0 else None
+    if at < 0:
+        return set()
+    return {at, *(k for k, up in enumerate(parents) if up == parents[at] and kinds[k] == kinds[at] == "article" and mass[k] >= BESIDE * mass[at])}
 
 
 def _without_article(lines: list[Line], sizes: list[int], content: list[bool], parents: list[int], kinds: list[str]) -> list[bool]:

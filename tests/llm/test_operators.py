@@ -171,6 +171,32 @@ def test_html_parts(html, text):
     assert html_extract.extract(html or "")[0] == text
 
 
+SAID = "A sentence with a good number of words in it, so that it is content. " * 4
+LONG_BLOCK = f"<p>{SAID}</p>"
+
+
+@pytest.mark.parametrize("html,times", [
+    # A form around the page, with and without an article; small forms go.
+    (f"<body><form id=aspnetForm><div>menu</div><article>{LONG_BLOCK}</article></form></body>", 1),
+    (f"<body><form id=aspnetForm><div><a href=x>menu</a></div><div>{LONG_BLOCK}{LONG_BLOCK}</div></form></body>", 2),
+    (f"<form><main>{LONG_BLOCK}</main></form>", 1),
+    (f"<article>{LONG_BLOCK}<form><p>Your mail</p><input></form></article>", 1),
+    # Anchors that are no links, or never closed.
+    (f"<div><a name=top>{LONG_BLOCK}{LONG_BLOCK}</div>", 2), (f"<div><a id=x/>{LONG_BLOCK}{LONG_BLOCK}</div>", 2),
+    (f"<div><p><a href=x>Read this</p>{LONG_BLOCK}{LONG_BLOCK}</div>", 2),
+    # A menu that is never closed; one that is, with an article in it.
+    (f"<body><nav><a href=x>menu</a><article>{LONG_BLOCK}</article></body>", 1),
+    (f"<article>{LONG_BLOCK}</article><aside><article>{LONG_BLOCK}</article></aside>", 1),
+    # Articles beside each other, and a teaser.
+    (f"<body><article>{LONG_BLOCK}{LONG_BLOCK}</article><article>{LONG_BLOCK}</article><article><p>teaser</p></article></body>", 3),
+    # Adverts and notices in blocks and inside of them.
+    (f"<article><p class=advert>buy now</p>{LONG_BLOCK}<p>{SAID}<span class=advertisement>buy <span>this</span></span></p><p class='cookie-notice'>we use</p><div class=widget-title>W</div></article>", 2),
+])
+def test_html_of_real_shapes(html, times):
+    text = html_extract.extract(html)[0]
+    assert text.removeprefix("Read this").strip() == " ".join([SAID.strip()] * times)
+
+
 def test_html_without_article():
     words = "a sentence with a good number of words in it, so that it is content. "
     page = f"<body><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><div><h2>Title</h2><p>{words * 3}</p><p>Short.</p><p>{words * 3}</p></div><div class=footer>(c) us</div></body>"
