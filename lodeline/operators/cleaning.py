@@ -1,18 +1,24 @@
 """Audited cleaning and typing of raw tables.
 
-All tests of a step run in one aggregate; the driver decides; one projection
-applies. Rows keep the order of their source in a hidden column.
+One aggregate counts cells and tests what texts could be numbers, one more
+counts dates where a name asks for them; the driver decides; the typed rows are
+written once, with fingerprints, and whole rows are compared only where
+fingerprints meet. So the source is parsed by two passes, three with dates, and
+later work reads the written table. Rows keep the order of their source in a
+hidden column.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeline.functions.columns import ORDER, col, kinds, present, q, spark_names, unique_names, user_columns, with_order
 from lodeline.operators.roles import detect_roles
+from lodeline.operators.stats import kept as kept_table
 from lodeline.plans.model import Audit, Roles
 
 # Name parts that ask for dates or protect from numbers, and the shares that must parse.
@@ -48,7 +54,9 @@ def date_format(spark, sample: str | None) -> str | None:
     """The first known format that reads a sample."""
     if sample is None:
         return None
-    row = spark.range(1).select(*(parsed_time(F.lit(sample), f).isNotNull().alias(str(k)) for k, f in enumerate(DATE_FORMATS))).first()
+    # A row of literals is folded by the optimizer, so no job runs.
+    tests = ", ".join(f"try_to_timestamp(:s, :f{k}) IS NOT NULL AS f{k}" for k in range(len(DATE_FORMATS)))
+    row = spark.sql(f"SELECT {tests} FROM VALUES (1) AS one(x)", args={"s": sample} | {f"f{k}": f for k, f in enumerate(DATE_FORMATS)}).first()
     return next((f for f, ok in zip(DATE_FORMATS, row) if ok), None)
 
 
@@ -60,24 +68,38 @@ class Inference:
     numbers: tuple[str, ...]
 
 
-def infer(df: DataFrame, texts: list[str]) -> Inference:
-    """Two aggregates: first values of date-like columns, then the shares that parse.
+def counted(df: DataFrame, names: list[str]) -> Row:
+    """One aggregate: rows, rows with a cell, present cells (c), and of texts
+    values before stripping (n), numbers (v) and the first value of date-like ones (f)."""
+    of, wanted = kinds(df), [F.count(F.lit(1)).alias("rows"), F.count_if(F.greatest(*(present(n, df).cast("int") for n in names), F.lit(0)) == 1).alias("filled")]
+    for k, n in enumerate(names):
+        wanted.append(F.count_if(present(n, df)).alias(f"c{k}"))
+        if of[n] == "text":
+            wanted.append(F.count(col(n)).alias(f"n{k}"))
+            if is_open(n):
+                wanted.append(F.count(parsed_number(stripped(n))).alias(f"v{k}"))
+            if is_dated(n):
+                wanted.append(F.min_by(stripped(n), F.when(stripped(n).isNotNull(), F.col(ORDER))).alias(f"f{k}"))
+    return df.agg(*wanted).first()
 
-    Shares are of the values present before stripping, so blanks count against.
-    """
-    dated = [n for n in texts if any(p in n.lower() for p in DATE_PARTS)]
-    firsts = df.agg(*(F.min_by(stripped(n), F.when(stripped(n).isNotNull(), F.col(ORDER))).alias(f"f{k}") for k, n in enumerate(dated))).first() if dated else ()
-    formats = {n: f for n, x in zip(dated, firsts) if (f := date_format(df.sparkSession, x))}
-    open_ = [n for n in texts if not any(p in n.lower() for p in PROTECTED_PARTS)]
-    tests = [F.count(col(n)).alias(f"n{k}") for k, n in enumerate(texts)]
-    tests += [F.count(parsed_time(stripped(n), f)).alias(f"t{texts.index(n)}") for n, f in formats.items()]
-    tests += [F.count(parsed_number(stripped(n))).alias(f"v{texts.index(n)}") for n in open_]
-    if not tests:
-        return Inference({}, ())
-    got = df.agg(*tests).first().asDict()
-    share = lambda letter, n: got[f"n{texts.index(n)}"] and got[f"{letter}{texts.index(n)}"] / got[f"n{texts.index(n)}"]
-    times = {n: f for n, f in formats.items() if share("t", n) >= DATE_SHARE and share("t", n) > 0}
-    return Inference(times, tuple(n for n in open_ if n not in times and share("v", n) >= NUMBER_SHARE and share("v", n) > 0))
+
+def is_dated(name: str) -> bool:
+    return any(p in name.lower() for p in DATE_PARTS)
+
+
+def is_open(name: str) -> bool:
+    return not any(p in name.lower() for p in PROTECTED_PARTS)
+
+
+def infer(df: DataFrame, counts: Row, place: dict[str, int]) -> Inference:
+    """What texts become, by the shares that parse. Shares are of the values
+    present before stripping, so blanks count against. ``place`` has the texts'
+    numbers in ``counts``."""
+    formats = {n: f for n, k in place.items() if is_dated(n) and (f := date_format(df.sparkSession, counts[f"f{k}"]))}
+    parsed = df.agg(*(F.count(parsed_time(stripped(n), f)).alias(n) for n, f in formats.items())).first() if formats else ()
+    share = lambda hits, n: counts[f"n{place[n]}"] and hits / counts[f"n{place[n]}"]
+    times = {n: f for (n, f), hits in zip(formats.items(), parsed) if hits and share(hits, n) >= DATE_SHARE}
+    return Inference(times, tuple(n for n, k in place.items() if is_open(n) and n not in times and (hits := counts[f"v{k}"]) and share(hits, n) >= NUMBER_SHARE))
 
 
 def typed(df: DataFrame, texts: list[str], found: Inference) -> DataFrame:
@@ -119,28 +141,51 @@ def clean(raw: DataFrame) -> tuple[DataFrame, Audit]:
     df = df.select(*(col(a).alias(b) for a, b in zip(labels, names)), ORDER)
     if not names:
         raise ValueError("The table has no columns to analyze.")
-    counts = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(present(n, df)).alias(f"c{k}") for k, n in enumerate(names))).first()
+    counts = counted(df, names)
     if not counts["rows"]:
         raise ValueError("The table has no rows to analyze.")
     empty = [n for k, n in enumerate(names) if not counts[f"c{k}"]]
     kept = [n for n in names if n not in empty]
     if not kept:
         raise ValueError("Nothing is left to analyze after removing empty rows and columns.")
-    df = df.select(*map(col, kept), ORDER)
-    filled = df.where(F.greatest(*(present(n, df).cast("int") for n in kept), F.lit(0)) == 1)
+    filled = df.select(*map(col, kept), ORDER).where(F.greatest(*(present(n, df).cast("int") for n in kept), F.lit(0)) == 1)
     indexes = exported_indexes(filled)
     kept = [n for n in kept if n not in indexes]
     if not kept:
         raise ValueError("Nothing is left to analyze after removing empty rows and columns.")
     df = filled.select(*map(col, kept), ORDER)
     texts = [n for n, k in kinds(df).items() if k == "text"]
-    found = infer(df, texts)
-    out = typed(df, texts, found)
-    # Equal rows, NULLs equal too: the first in source order stays.
-    single = out.groupBy(*map(col, kept)).agg(F.min(ORDER).alias(ORDER))
-    sizes = out.agg(F.count(F.lit(1)).alias("filled")).first()["filled"], single.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    done = dict(zip(OPERATIONS, (counts["rows"] - sizes[0], len(empty), len(indexes), sizes[0] - sizes[1], len(found.numbers), len(found.times))))
-    return single, Audit((counts["rows"], len(names)), (sizes[1], len(kept)), done)
+    found = infer(df, counts, {n: names.index(n) for n in texts})
+    single, repeats = without_repeats(typed(df, texts, found), kept)
+    done = dict(zip(OPERATIONS, (counts["rows"] - counts["filled"], len(empty), len(indexes), repeats, len(found.numbers), len(found.times))))
+    return single, Audit((counts["rows"], len(names)), (counts["filled"] - repeats, len(kept)), done)
+
+
+def without_repeats(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """The first in source order of equal rows, NULLs equal too, and how many went.
+
+    Rows are written once, with two 64-bit hashes; only hashes are exchanged,
+    and whole rows only where hashes of two rows meet.
+    """
+    same = [c + F.lit(0.0) if isinstance(rows.schema[n].dataType, (T.DoubleType, T.FloatType)) else c for n, c in ((n, col(n)) for n in columns)]  # both zeros are equal
+    a, b = free_names(columns, 2)
+    table = kept_table(rows.withColumns({a: F.xxhash64(*same), b: F.xxhash64(F.lit("b"), *same)}), "cleaned")
+    met = table.groupBy(a, b).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(a, b)
+    if met.isEmpty():
+        return table.drop(a, b), 0
+    again = table.join(met, [a, b], "left_semi")
+    first = again.groupBy(*map(col, columns)).agg(F.min(ORDER).alias(ORDER)).select(ORDER)
+    lost = kept_table(again.select(ORDER).join(first, ORDER, "left_anti"), "repeats")
+    return table.drop(a, b).join(lost, ORDER, "left_anti").select(*map(col, columns), ORDER), lost.count()
+
+
+def free_names(taken: list[str], n: int) -> list[str]:
+    lower, out, k = {t.lower() for t in taken}, [], 0
+    while len(out) < n:
+        if (name := f"_hash_{k}") not in lower:
+            out.append(name)
+        k += 1
+    return out
 
 
 def audit_frame(df: DataFrame, audit: Audit) -> DataFrame:
@@ -165,11 +210,26 @@ class Prepared:
 
 
 def bounded(raw: DataFrame, rows: int | None) -> tuple[DataFrame, int]:
-    """The first rows in source order, and how many are beyond."""
+    """The first rows in source order, and how many are beyond.
+
+    Where the parts of the table have consecutive numbers, as readers give them,
+    counts of the parts say which number is the last one, and no row is sorted.
+    """
     raw = with_order(raw)
     if rows is None:
         return raw, 0
-    return raw.orderBy(ORDER).limit(rows), max(raw.count() - rows, 0)
+    parts = sorted(raw.groupBy(F.spark_partition_id().alias("part")).agg(F.min(ORDER).alias("low"), F.max(ORDER).alias("high"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["low"])
+    beyond = max(sum(r["n"] for r in parts) - rows, 0)
+    if not beyond:
+        return raw, 0
+    if any(r["high"] - r["low"] + 1 != r["n"] for r in parts) or any(a["high"] >= b["low"] for a, b in zip(parts, parts[1:])):
+        return raw.orderBy(ORDER).limit(rows), beyond
+    before = 0
+    for r in parts:
+        if before + r["n"] >= rows:
+            return raw.where(F.col(ORDER) < r["low"] + rows - before), beyond
+        before += r["n"]
+    return raw, 0
 
 
 def prepare(raw: DataFrame, *, row_limit: int | None = None) -> Prepared:

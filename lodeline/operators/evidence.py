@@ -70,12 +70,16 @@ class Findings:
             wanted += [F.coalesce(F.sum(number(r.measure)), F.lit(0.0)).alias("sum"), F.avg(number(r.measure)).alias("mean")]
         if r.date:
             wanted.append(span_days(F.min(col(r.date)), F.max(col(r.date))).alias("days"))
-        wanted += [stats.pearson(a, b).alias(f"r{k}") for k, (a, b) in enumerate(combinations(self.usable, 2))]
+        if len(self.usable) <= stats.WIDE:
+            wanted += [stats.pearson(a, b).alias(f"r{k}") for k, (a, b) in enumerate(combinations(self.usable, 2))]
         return self.df.agg(*wanted).first().asDict()
 
     @cached_property
     def pair(self) -> tuple[str, str, float] | None:
         """The columns with the strongest correlation; the first of equals."""
+        if len(self.usable) > stats.WIDE:
+            row = stats.strongest_pair(self.df, self.usable).first()
+            return row and (row["left"], row["right"], row["r"])
         found = [(*ab, r) for k, ab in enumerate(combinations(self.usable, 2)) if (r := self.single[f"r{k}"]) is not None and r == r]
         return max(found, key=lambda x: abs(x[2]), default=None)
 

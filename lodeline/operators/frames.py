@@ -42,6 +42,12 @@ def segments(df: DataFrame, roles: Roles, limit: int | None = 12) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
+def segment_trend(df: DataFrame, roles: Roles, grain: str) -> DataFrame:
+    """(segment, period, value): the trend of each segment."""
+    rows = df.where(col(roles.date).isNotNull() & col(roles.dimension).isNotNull())
+    return rows.groupBy(col(roles.dimension).alias("segment"), bucket(roles.date, grain).alias("period")).agg(total(roles.measure).alias("value"))
+
+
 def shares(frame: DataFrame, value: str = "value") -> DataFrame:
     """Adds each row's share of the whole in percent, to one place, half to even.
     The whole is a scalar, so that segments stay where they are."""

@@ -3,16 +3,18 @@ outliers, correlations, category shares."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeline.functions.columns import ORDER, col, kinds, number, present, shown, user_columns, with_order
-from lodeline.functions.shipping import scratch
+from lodeline.functions.shipping import scratch, ship
 
 # Fixed values.
 CATEGORY_DISTINCT, CATEGORY_RATIO = 50, 0.2
@@ -24,6 +26,9 @@ SMALL, BRACKET, ACCURACY = 50_000, 0.005, 1000
 #: Most distinct values that a rule asks for, the estimate from which a column
 #: surely has more, and the estimates' standard error.
 FEW, SURELY, ERROR = 100, 150, 0.02
+#: Numeric columns from which correlations are summed as matrices, columns of a
+#: block, and sums that one task adds. A variance below FLAT of the mean square is rounding.
+WIDE, BLOCK, SLOTS, FLAT = 24, 128, 256, 1e-13
 #: Parts of the grid on which brackets of segments are read off.
 GRID = 200
 
@@ -132,11 +137,16 @@ def pearson(a: str, b: str) -> Column:
     """Pairwise-complete correlation; NULL where a side is constant."""
     both = number(a).isNotNull() & number(b).isNotNull()
     x, y = F.when(both, number(a)), F.when(both, number(b))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    # Deviations of equal values can differ from zero by rounding, extremes can't.
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(left, right, r) of every pair of columns, in one aggregate."""
+    """(position, left, right, r) of every pair of columns: in one aggregate, or
+    for wide tables from matrices of sums."""
+    if len(columns) > WIDE:
+        return wide_correlations(df, columns)
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "position int, left string, right string, r double")
@@ -144,6 +154,78 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*every).alias("all")).select(F.inline("all"))
 
 
+#: Of a pair of blocks of columns (rows: first block): rows present in both,
+#: sums of the first and the second, of their squares, and of their product.
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
+TABLES = "a int, b int, slot int, " + ", ".join(f"{s} binary" for s in SUMS)
+_TABLES = pa.schema([(n, pa.int32()) for n in ("a", "b", "slot")] + [(s, pa.binary()) for s in SUMS])
+
+
+def wide_correlations(df: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """``correlations`` of many columns: each task sums products of blocks of
+    columns as matrices, and these sums are added in two steps, so that no task
+    adds more than SLOTS of them for a pair of blocks after the first. Values are
+    taken from about the median of their column, which keeps sums of squares small."""
+    names = list(columns)
+    middle = df.agg(*(F.percentile_approx(number(c), 0.5, 100).alias(f"m{k}") for k, c in enumerate(names))).first()
+    shift = np.array([m or 0.0 for m in middle])
+    cuts = [slice(k, min(k + block, len(names))) for k in range(0, len(names), block)]
+    pairs = [(a, b) for a in range(len(cuts)) for b in range(a, len(cuts))]
+
+    def rows(found: dict[tuple[int, int, int], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for (a, b, slot), sums in found.items():
+            yield pa.record_batch([[a], [b], [slot], *([s.tobytes()] for s in sums)], schema=_TABLES)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        found: dict[tuple[int, int, int], list[np.ndarray]] = {}
+        slot = TaskContext.get().partitionId() % SLOTS
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+            there = ~np.isnan(x)
+            x = np.where(there, x - shift, 0.0)
+            there = there.astype(float)
+            for a, b in pairs:
+                u, v, p, q = x[:, cuts[a]], x[:, cuts[b]], there[:, cuts[a]], there[:, cuts[b]]
+                own = [p.T @ q, u.T @ q, p.T @ v, (u * u).T @ q, p.T @ (v * v), u.T @ v]
+                for s, more in zip(found.setdefault((a, b, slot), [np.zeros_like(m) for m in own]), own):
+                    s += more
+        yield from rows(found)
+
+    def added(slots: bool) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[tuple[int, int, int], list[np.ndarray]] = {}
+            for batch in batches:
+                for a, b, slot, *sums in zip(*(c.to_pylist() for c in batch.columns)):
+                    own = [np.frombuffer(s) for s in sums]
+                    for s, more in zip(found.setdefault((a, b, slot if slots else 0), [np.zeros_like(m) for m in own]), own):
+                        s += more
+            yield from rows(found)
+
+        return run
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = len(names)
+        for batch in batches:
+            for a, b, _, *sums in zip(*(c.to_pylist() for c in batch.columns)):
+                shape = (cuts[a].stop - cuts[a].start, cuts[b].stop - cuts[b].start)
+                n, x, y, xx, yy, xy = (np.frombuffer(s).reshape(shape) for s in sums)
+                with np.errstate(all="ignore"):
+                    u, v = xx - x * x / n, yy - y * y / n
+                    r = (xy - x * y / n) / np.sqrt(u * v)
+                none = ~((n > 0) & (u > FLAT * xx) & (v > FLAT * yy))
+                i, j = np.meshgrid(np.arange(cuts[a].start, cuts[a].stop), np.arange(cuts[b].start, cuts[b].stop), indexing="ij")
+                ok = i < j
+                i, j = i[ok], j[ok]
+                yield pa.record_batch([pa.array(i * wide - i * (i + 1) // 2 + j - i - 1, pa.int32()), pa.array([names[k] for k in i], pa.string()), pa.array([names[k] for k in j], pa.string()), pa.array(np.clip(r[ok], -1, 1), pa.float64(), mask=none[ok])], ["position", "left", "right", "r"])
+
+    ship(df.sparkSession)
+    parts = df.select(*(number(c).alias(f"c{k}") for k, c in enumerate(names))).mapInArrow(summed, TABLES)
+    once = parts.repartition("a", "b", "slot").mapInArrow(added(True), TABLES)
+    return once.repartition("a", "b").mapInArrow(added(False), TABLES).mapInArrow(finished, "position int, left string, right string, r double")
+
+
 def strongest_pair(df: DataFrame, columns: list[str]) -> DataFrame:
     """The pair with the largest magnitude; the first on ties; none if undefined."""
     return correlations(df, columns).where("r IS NOT NULL AND NOT isnan(r)").orderBy(F.desc(F.abs("r")), "position").limit(1)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from statistics import fmean, median
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.plans.model import Anomaly, Forecast
@@ -21,6 +21,8 @@ LEAST_SEASONAL = 18
 BAND = 3.0
 FORECAST_BAND = 2.0
 MAD_SCALE = 1.4826
+HOUR = 3_600_000_000  # microseconds
+DAY = 24 * HOUR
 
 
 def fitted(trend: DataFrame) -> DataFrame:
@@ -147,3 +149,41 @@ def forecast_series(periods: list[datetime], values: list[float], horizon: int =
 def build_forecast(trend: DataFrame, *, horizon: int = 6, min_periods: int = LEAST_PERIODS) -> Forecast | None:
     rows = trend.orderBy("period").collect()
     return forecast_series([r["period"] for r in rows], [float(r["value"]) for r in rows], horizon, min_periods)
+
+
+# Forecasts of many series at once, as one plan over (segment, period, value).
+
+
+def micros(t: Column) -> Column:
+    """Microseconds of a local time since 1970, in no zone."""
+    return F.unix_date(t.cast("date")) * DAY + F.hour(t) * HOUR + F.minute(t) * 60_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+
+def forecast_by_segment(series: DataFrame, horizon: int = 6, least: int = LEAST_PERIODS) -> DataFrame:
+    """(segment, period, value, lower, upper): what ``forecast_series`` gives for
+    each segment of at least ``least`` periods. Medians, seasons and future
+    periods are columns, so nothing is collected, however many segments there are."""
+    own = Window.partitionBy("segment").orderBy("period")
+    t = series.where("segment IS NOT NULL AND period IS NOT NULL").select("segment", F.col("period").cast("timestamp_ntz").alias("period"), F.col("value").cast("double").alias("value"))
+    before = F.lag("period").over(own)
+    months = (F.year("period") - F.year(before)) * 12 + F.month("period") - F.month(before)
+    t = t.withColumns({"position": F.row_number().over(own) - 1, "step": F.col("value") - F.lag("value").over(own), "gap": micros(F.col("period")) - micros(before), "months": months})
+    days = F.floor(F.col("gap") / DAY)
+    shape = t.groupBy("segment").agg(
+        F.count("*").alias("n"), F.max("period").alias("last"), F.coalesce(F.median("step"), F.lit(0.0)).alias("slope"), F.min("value").alias("least"), F.median("gap").alias("gap_"),
+        (F.coalesce(F.bool_and(days.between(28, 31)), F.lit(False)) & (F.count("*") >= LEAST_SEASONAL)).alias("seasonal"),
+        F.when(F.bool_and(F.dayofmonth("period") == 1) & (F.min("months") == F.max("months")) & F.max("months").isin(1, 3, 12), F.max("months")).alias("every"),
+    ).where(F.col("n") >= least)
+    t = t.select("segment", "period", "value", "position").join(shape.select("segment", "slope", "seasonal"), "segment")
+    cut = t.groupBy("segment").agg(F.median(F.col("value") - F.col("slope") * F.col("position")).alias("intercept"))
+    left = t.join(cut, "segment").withColumn("residual", F.col("value") - F.col("intercept") - F.col("slope") * F.col("position")).withColumn("month", F.month("period"))
+    season = left.where("seasonal").groupBy("segment", "month").agg(F.median("residual").alias("season"), F.count("*").alias("seen")).where("seen >= 2").drop("seen")
+    rest = F.abs(F.col("residual") - F.coalesce("season", F.lit(0.0)))
+    spread = left.join(season, ["segment", "month"], "left").groupBy("segment", "intercept").agg(F.median(rest).alias("mid"), F.avg(rest).alias("mean"))
+    spread = spread.select("segment", "intercept", (FORECAST_BAND * F.when(F.col("mid") == 0, F.col("mean")).otherwise(F.col("mid") * MAD_SCALE)).alias("band"))
+    ahead = shape.join(spread, "segment").withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(horizon), F.floor(F.col("n") / 2))).cast("int"))))
+    period = F.when(F.col("every").isNotNull(), F.col("last") + F.make_ym_interval(F.lit(0), F.col("every") * F.col("k"))).otherwise(F.col("last") + F.make_dt_interval(secs=(F.col("gap_") * F.col("k") / 1_000_000).cast("decimal(18,6)")))
+    ahead = ahead.withColumn("period", period).withColumn("month", F.month("period")).join(season, ["segment", "month"], "left")
+    floor = F.when(F.col("least") >= 0, F.lit(0.0)).otherwise(F.lit(float("-inf")))
+    value = F.greatest(F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("k")) + F.coalesce("season", F.lit(0.0)), floor)
+    return ahead.withColumn("value", value).select("segment", "period", "value", F.greatest(F.col("value") - F.col("band"), floor).alias("lower"), (F.col("value") + F.col("band")).alias("upper"))

@@ -373,6 +373,12 @@ def histogram_35(df):
 _RANGE = "r AS (SELECT min(l_quantity) AS x0, (max(l_quantity) - min(l_quantity)) / 40.0 AS xw, min(l_extendedprice) AS y0, (max(l_extendedprice) - min(l_extendedprice)) / 40.0 AS yw FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL)"
 
 
+@query("lineitem", " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(corr({a}, {b}), 4) AS r FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax"))))
+def corr_matrix_blocks(df):
+    """Correlations from matrices of sums, in blocks of three columns."""
+    return stats.wide_correlations(df, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], block=3).select("left", "right", *r4("r"))
+
+
 @query("lineitem", f"""
 WITH {_RANGE}, c AS (
   SELECT least(floor((l_quantity - x0) / xw), 39)::INTEGER AS x_bin, least(floor((l_extendedprice - y0) / yw), 39)::INTEGER AS y_bin, count(*) AS rows
@@ -453,6 +459,29 @@ def forecast_next6(df):
     return df.sparkSession.createDataFrame(f.ahead if f else [], "period timestamp_ntz, value double, lower double, upper double").select("period", *r2("value", "lower", "upper"))
 
 
+@query("lineitem", """
+WITH t AS (SELECT l_returnflag AS segment, date_trunc('month', l_shipdate)::TIMESTAMP AS period, sum(l_extendedprice) AS value FROM lineitem WHERE l_returnflag IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY ALL
+), i AS (
+  SELECT *, row_number() OVER w - 1 AS k, value - lag(value) OVER w AS d, epoch(period) - epoch(lag(period) OVER w) AS g, date_diff('month', lag(period) OVER w, period) AS m FROM t WINDOW w AS (PARTITION BY segment ORDER BY period)
+), s AS (
+  SELECT segment, count(*) AS n, median(d) AS slope, bool_and(floor(g / 86400) BETWEEN 28 AND 31) AND count(*) >= 18 AS seasonal, max(period) AS last, min(value) AS low, median(g) AS g, CASE WHEN min(m) = max(m) AND max(m) IN (1, 3, 12) THEN max(m) END AS m
+  FROM i GROUP BY 1 HAVING count(*) >= 8
+), f AS (SELECT segment, median(value - slope * k) AS icpt FROM i JOIN s USING (segment) GROUP BY 1
+), e AS (SELECT segment, month(period) AS mo, value - icpt - slope * k AS residual, seasonal FROM i JOIN (SELECT segment, slope, seasonal FROM s) USING (segment) JOIN f USING (segment)
+), h AS (SELECT segment, mo, median(residual) AS adj FROM e WHERE seasonal GROUP BY ALL HAVING count(*) >= 2
+), w AS (SELECT segment, CASE WHEN median(abs(residual - coalesce(adj, 0))) = 0 THEN avg(abs(residual - coalesce(adj, 0))) ELSE median(abs(residual - coalesce(adj, 0))) * 1.4826 END AS sp FROM e LEFT JOIN h USING (segment, mo) GROUP BY 1
+), u AS (
+  SELECT s.*, sp, icpt, j, CASE WHEN m IS NOT NULL THEN last + to_months((m * j)::INTEGER) ELSE last + to_microseconds((g * j * 1000000)::BIGINT) END::TIMESTAMP AS period
+  FROM s JOIN w USING (segment) JOIN f USING (segment), range(1, 7) x(j) WHERE j <= greatest(1, least(6, n // 2))
+), y AS (
+  SELECT u.segment, u.period, sp, low, icpt + slope * (n - 1 + j) + coalesce(adj, 0) AS p FROM u LEFT JOIN h ON h.segment = u.segment AND mo = month(u.period)
+), z AS (SELECT segment, period, sp, low, CASE WHEN low >= 0 THEN greatest(p, 0) ELSE p END AS p FROM y)
+SELECT segment, period, round(p, 2) AS value, round(CASE WHEN low >= 0 THEN greatest(p - 2 * sp, 0) ELSE p - 2 * sp END, 2) AS lower, round(p + 2 * sp, 2) AS upper FROM z
+""")
+def forecast_by_segment(df):
+    return timeseries.forecast_by_segment(frames.segment_trend(df, FLAGS, "M")).select("segment", "period", *r2("value", "lower", "upper"))
+
+
 _HELD = "t AS (SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS period, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS k, value - lag(value) OVER (ORDER BY period) AS d, count(*) OVER () AS n FROM t), c AS (SELECT *, least(greatest(3, n // 5), n - 5) AS held FROM i), s AS (SELECT median(d) AS slope FROM c WHERE k < n - held), f AS (SELECT median(value - slope * k) AS icpt FROM c, s WHERE k < n - held), h AS (SELECT month(period) AS mo, median(value - icpt - slope * k) AS adj FROM c, s, f WHERE k < n - held GROUP BY 1 HAVING count(*) >= 2)"
 
 

@@ -3,7 +3,7 @@
 import collections
 import json
 from dataclasses import replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -413,3 +413,78 @@ def test_identifiers_at_the_limit_are_counted_exactly(spark):
         assert found["order_id"].exact and found["order_id"].distinct == n and roles.is_identifier(found["order_id"]) == marked
         assert not found["amount"].exact
     assert not stat(9999)["order_id"].exact and roles.is_identifier(stat(9999)["order_id"])
+
+
+def test_wide_correlations_equal_corr(spark):
+    """Two hundred columns in blocks, with gaps, constants, equal columns and far-off means."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(300, 200)) @ np.diag(draw.uniform(0.1, 50, 200)) + draw.uniform(-1e6, 1e6, 200)
+    x[:, 1] = 2 * x[:, 0] + 1
+    x[:, 2] = -x[:, 0]
+    x[:, 3] = 7.3
+    x[draw.random(x.shape) < 0.1] = np.nan
+    x[:, 4] = np.nan
+    names = [f"c {k}" for k in range(200)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"`{n}` double" for n in names)).repartition(5)
+    got = {(r["left"], r["right"]): (r["position"], r["r"]) for r in stats.correlations(df, names).collect()}
+    assert len(got) == 200 * 199 // 2 and [p for p, _ in got.values()] and sorted(p for p, _ in got.values()) == list(range(len(got)))
+    for (k, a), (m, b) in [((k, a), (m, b)) for k, a in enumerate(names) for m, b in enumerate(names) if k < m]:
+        both = ~np.isnan(x[:, k]) & ~np.isnan(x[:, m])
+        u, v = x[both, k], x[both, m]
+        r = got[a, b][1]
+        if not both.any() or (u == u[0]).all() or (v == v[0]).all():
+            assert r is None, (a, b)
+        else:
+            assert r == pytest.approx(np.corrcoef(u, v)[0, 1], abs=1e-7), (a, b)
+    few = {(r["left"], r["right"]): r["r"] for r in stats.correlations(df, names[:6]).collect()}
+    assert all(got[p][1] == pytest.approx(r, abs=1e-7) if r is not None else got[p][1] is None for p, r in few.items())
+    assert tuple(stats.strongest_pair(df, names).first())[1:3] in {("c 0", "c 1"), ("c 0", "c 2"), ("c 1", "c 2")}
+
+
+def test_forecasts_of_segments_equal_those_of_series(spark):
+    draw, rows, want = np.random.default_rng(5), [], {}
+    shapes = {"season": 30, "short": 8, "none": 7, "line": 17, "gaps": 20, "weeks": 24, "below": 12, "flat": 9, "quarters": 12}
+    for name, n in shapes.items():
+        step = {"weeks": lambda k: datetime(2024, 1, 1) + timedelta(days=7 * k), "quarters": lambda k: timeseries.add_months(datetime(2020, 1, 1), 3 * k)}.get(name, lambda k: timeseries.add_months(datetime(2022, 11, 1), k))
+        periods = [step(k + (k > 5 and name == "gaps")) for k in range(n)]
+        values = [5.0 if name == "flat" else 100 + 3 * k + 20 * np.sin(k / 2) + draw.normal(0, 4) - 300 * (name == "below") for k in range(n)]
+        rows += [(name, p, float(v)) for p, v in zip(periods, values)]
+        found = timeseries.forecast_series(periods, [float(v) for v in values])
+        want |= {(name, t): (v, low, high) for t, v, low, high in (found.ahead if found else ())}
+    df = spark.createDataFrame(rows, "segment string, period timestamp_ntz, value double")
+    got = {(r["segment"], r["period"]): (r["value"], r["lower"], r["upper"]) for r in timeseries.forecast_by_segment(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-9) for k, v in want.items())
+
+
+def test_cleaning_takes_few_passes(spark):
+    from test_sources import jobs_of
+
+    df = spark.range(3000).selectExpr("concat('r', id % 7) AS Region", "cast(id * 1.5 AS string) AS Revenue", "CASE WHEN id % 50 = 0 THEN NULL ELSE 'x' END AS Note")
+    (table, audit), jobs = jobs_of(spark, lambda: cleaning.clean(df))
+    # Three actions: counts, the write, and fingerprints that meet; the first and the last have two stages.
+    assert jobs <= 5 and table.count() == 3000 and audit.operations["Duplicate rows removed"] == 0
+    again, audit = cleaning.clean(df.unionAll(df.limit(1000)))
+    assert audit.operations["Duplicate rows removed"] == 1000 and again.count() == 3000
+
+
+def test_repeats_keep_the_first_row(spark):
+    rows = [(1.0, "a", 0.0), (1.0, "a", -0.0), (None, None, None), (None, None, None), (1.0, "b", 0.0), (None, "a", 0.0), (1.0, "a", 0.0)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "x double, y string, _hash_0 double, _ord long").repartition(3)
+    out, n = cleaning.without_repeats(df, ["x", "y", "_hash_0"])
+    assert n == 3 and sorted(r["_ord"] for r in out.collect()) == [0, 2, 4, 5] and out.columns == ["x", "y", "_hash_0", "_ord"]
+
+
+def test_bounded_takes_the_first_rows(spark):
+    df = spark.range(1000).selectExpr("id * 2 AS x").repartition(4).sortWithinPartitions("x")
+    from lodeline.sources.tabular import with_order
+
+    numbered = with_order(df)
+    for rows, want in ((10, 10), (333, 333), (1000, 1000), (5000, 1000), (0, 0)):
+        out, beyond = cleaning.bounded(numbered, rows)
+        assert out.count() == want and beyond == 1000 - want
+    firsts = [r["_ord"] for r in numbered.orderBy("_ord").limit(333).collect()]
+    assert sorted(r["_ord"] for r in cleaning.bounded(numbered, 333)[0].collect()) == firsts
+    assert "Sort" not in cleaning.bounded(with_order(spark.range(1000).toDF("x")), 333)[0]._jdf.queryExecution().executedPlan().toString()
+    gaps = numbered.where("x % 4 = 0")
+    assert sorted(r["_ord"] for r in cleaning.bounded(gaps, 100)[0].collect()) == [r["_ord"] for r in gaps.orderBy("_ord").limit(100).collect()]
