@@ -14,9 +14,10 @@ def components(links: DataFrame, label: str = "component") -> DataFrame:
 
     Each round every node takes the smallest label among itself and its
     neighbours, and then the label of that label (pointer jumping), until
-    nothing changes. Minima are pre-aggregated before they are shuffled, so a
-    hub of many links needs no task of its own. Rounds are written tables: a
-    lost executor costs one round.
+    nothing changes. Minima are pre-aggregated before they are shuffled. A hub's
+    links meet its label in a join of pairs of numbers, whose large partitions
+    adaptive execution splits; without it, one task gets all links of a hub.
+    Rounds are written tables: a lost executor costs one round.
     """
     both = written(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{label}-links")
     state = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), f"{label}-0")

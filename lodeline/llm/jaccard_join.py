@@ -51,6 +51,8 @@ from lodeline.llm.components import components
 #: Sizes up to which enumeration is ever considered.
 MOST_LIGHT = 48
 BLOOM_BITS = 1 << 23
+#: Texts that are compared with one text in a task.
+HUB_PAIRS = 2048
 
 SIGNATURES = "doc_id long, n long, f1 long, f2 long, inner int, elements array<long>"
 
@@ -310,9 +312,14 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, labe
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    # The texts that are compared with a hub's go to several tasks, each of which gets the hub's text.
+    # Written, so that its size is known before texts are exchanged for it.
+    hubs = written(pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts")).where("parts > 1"), f"{label}-hubs")
+    dealt = pairs.join(hubs, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    right = right.join(hubs, "b", "left").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = dealt.join(left, "a").join(right, ["b", "part"]).select("a", "b", "text_a", "text_b")
     out = written(both.mapInArrow(run, "a long, b long"), f"{label}-links")
-    dropped(pairs, texts)
+    dropped(pairs, texts, hubs)
     return out
 
 

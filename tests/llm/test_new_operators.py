@@ -244,3 +244,23 @@ def test_ids_are_hashed_in_pieces(spark):
     convs = spark.range(0, 30_000).selectExpr("id AS conv_id", "X'' AS key", "cast(array() AS array<bigint>) AS words").repartition(8)
     (row,) = prefix_trie.sequences(convs).collect()
     assert (row["n"], row["conv_id"], row["ends"]) == (30_000, 0, sha(",".join(map(str, range(30_000)))))
+
+
+# --- Jaccard join: hubs ---
+
+
+def test_texts_of_a_hub_go_to_several_tasks(spark, monkeypatch):
+    from test_operators import brute_groups
+
+    from lodeline.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "HUB_PAIRS", 5)
+    draw = random.Random(8)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(120):
+        own = list(base)
+        own[draw.randrange(len(own))] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == brute_groups(rows, 3, 90, 100)
