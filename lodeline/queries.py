@@ -13,10 +13,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.functions.columns import col
+from lodeline.functions.columns import col, unique_names
 from lodeline.functions.periods import in_year
 from lodeline.functions.shipping import scratch, ship
-from lodeline.operators import cleaning, evidence, frames, roles, stats, timeseries
+from lodeline.functions.text import format_number, format_period
+from lodeline.operators import cleaning, evidence, frames, report, roles, stats, timeseries
 from lodeline.plans import compiler, parser, planner
 from lodeline.plans.model import QueryPlan, Roles, ValueFilter
 from lodeline.sources import csv_shape, memo, tabular, workbook
@@ -726,10 +727,181 @@ def text_sink(df):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-def demo_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodeline.sources.demo import demo
+# Files, roles, plans and reports end to end: S-4, S-9, S-11, S-12, F-4, F-15, C-1, C-6, R-4, R-6, X-4, E-5, E-7, N-9 to N-11, Q-4, Q-13 to Q-17.
 
-    return frames.trend(demo(spark), Roles("Order Date", "Revenue"), "M")
+
+def _file(df: DataFrame, name: str) -> str:
+    """The path of the one file of a table written as lines of text."""
+    path = scratch(df.sparkSession, name)
+    df.coalesce(1).write.text(path)
+    return df.sparkSession.read.text(path).inputFiles()[0]
+
+
+@query("customer", "SELECT c_mktsegment AS segment, count(*) AS rows, round(sum(c_acctbal), 2) AS value FROM customer GROUP BY 1")
+def csv_semicolon(df):
+    """A file with semicolons, commas inside of cells, and a byte order mark."""
+    body = df.select(F.concat_ws(";", "c_mktsegment", F.concat(F.lit("a, b "), "c_custkey"), "c_acctbal").alias("value"))
+    head = df.sparkSession.range(1).select(F.lit("\ufeffsegment;note;balance").alias("value"))
+    table = tabular.read_csv(df.sparkSession, _file(head.unionAll(body), "semicolon"))
+    return table.groupBy("segment").agg(F.count("*").alias("rows"), F.round(F.sum(F.col("balance").cast("double")), 2).alias("value"))
+
+
+@query("orders", "SELECT o_orderkey, n - 120 AS beyond FROM orders, (SELECT count(*) AS n FROM orders) QUALIFY row_number() OVER (ORDER BY o_orderkey) <= 120")
+def bounded_scan(df):
+    """The first rows of a file, and how many are beyond."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "orders")
+    df.orderBy("o_orderkey").coalesce(1).write.parquet(path)
+    first, beyond = cleaning.bounded(tabular.read_parquet(spark, path), 120)
+    return first.select("o_orderkey", F.lit(beyond).cast("long").alias("beyond"))
+
+
+@query("customer", "SELECT c_name, c_acctbal, (SELECT count(*) FROM customer) AS rows, 1::BIGINT AS indexes FROM customer")
+def exported_index(df):
+    """A column that numbers the rows from 0 goes, another unnamed one stays."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "customer")
+    numbered = df.orderBy("c_custkey").coalesce(1).select(F.monotonically_increasing_id().alias("Unnamed: 0"), "c_name", "c_acctbal", (F.monotonically_increasing_id() * 2).alias("Unnamed: 1"))
+    numbered.write.parquet(path)
+    table, audit = cleaning.clean(tabular.read_parquet(spark, path))
+    assert "Unnamed: 0" not in table.columns and "Unnamed: 1" in table.columns
+    return table.select("c_name", "c_acctbal", F.lit(audit.after[0]).cast("long").alias("rows"), F.lit(audit.operations["Exported index columns removed"]).cast("long").alias("indexes"))
+
+
+@query("customer", "SELECT * FROM (SELECT 'a b' AS \"column\", count(c_custkey) AS present FROM customer UNION ALL SELECT 'a b_2', count(c_name) FROM customer UNION ALL SELECT 'column_3', count(c_acctbal) FROM customer)")
+def unique_columns(df):
+    names = unique_names([" a  b ", "a b", None])
+    table = df.select(*(col(c).alias(n) for c, n in zip(("c_custkey", "c_name", "c_acctbal"), names)))
+    return table.agg(F.array(*(F.struct(F.lit(n).alias("column"), F.count(col(n)).alias("present")) for n in names)).alias("all")).select(F.inline("all"))
+
+
+@query("orders", "SELECT 'o_orderdate' AS date, 'o_totalprice' AS measure, 'o_orderstatus' AS dimension, count(*) AS rows, round(sum(o_totalprice), 2) AS value FROM orders")
+def prepared_roles(df):
+    """A table cleaned, typed and given roles; status wins over priority by its name."""
+    prepared = cleaning.prepare(df.select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice"))
+    r = prepared.roles
+    return prepared.table.agg(F.lit(r.date).alias("date"), F.lit(r.measure).alias("measure"), F.lit(r.dimension).alias("dimension"), F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("value"))
+
+
+@query("orders", "SELECT o_orderpriority AS segment, count(*)::DOUBLE AS value FROM orders GROUP BY 1")
+def selected_roles(df):
+    """Segments after a user has picked another segment and cleared the measure."""
+    return frames.segments(df, roles.select_roles(roles.override_roles(ORDERS, dimension="o_orderstatus"), date="o_orderdate", measure="None", dimension="o_orderpriority"), None)
+
+
+@query("orders", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{k}' AS type, '{r}' AS role, count({c}) AS present FROM orders" for c, k, r in (("o_orderkey", "numeric", "other"), ("o_custkey", "numeric", "other"), ("o_orderstatus", "category", "dimension"), ("o_totalprice", "numeric", "primary measure"), ("o_orderdate", "datetime", "date"), ("o_orderpriority", "category", "primary dimension"))))
+def planner_schema(df):
+    """What a planner is told of each column, beside how many values it has."""
+    told = df.sparkSession.createDataFrame(planner.query_schema(df, ORDERS), "column string, type string, role string")
+    counts = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.count(col(c)).alias("present")) for c in df.columns)).alias("all")).select(F.inline("all"))
+    return told.join(counts, "column")
+
+
+@query("orders", "SELECT 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) AS label, count(*) AS rows FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1")
+def period_labels(df):
+    rows = frames.trend(df, replace(ORDERS, measure=None), "Q").collect()
+    return df.sparkSession.createDataFrame([(format_period(r["period"], "Q"), int(r["value"])) for r in rows], "label string, rows long")
+
+
+@query("orders", "SELECT o_orderpriority AS segment, '$' || CASE WHEN sum(o_totalprice) >= 1e9 THEN format('{:.1f}B', sum(o_totalprice) / 1e9) ELSE format('{:.1f}M', sum(o_totalprice) / 1e6) END AS total, format('{:,}', count(*)) AS rows FROM orders GROUP BY 1 HAVING sum(o_totalprice) >= 1e6")
+def worded_totals(df):
+    totals = df.groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("v"), F.count("*").alias("n")).where("v >= 1e6").collect()
+    return df.sparkSession.createDataFrame([(r[0], format_number(r["v"], "o_totalprice"), format_number(r["n"], compact=False)) for r in totals], "segment string, total string, rows string")
+
+
+@query("orders", "SELECT o_orderpriority AS segment, sha256('[\"' || o_orderpriority || '\", \"' || count(*) || '\"]') AS fingerprint FROM orders GROUP BY 1")
+def payload_fingerprints(df):
+    rows = df.groupBy("o_orderpriority").agg(F.count("*").alias("n")).collect()
+    return df.sparkSession.createDataFrame([(r[0], planner.fingerprint(r[0], str(r["n"]))) for r in rows], "segment string, fingerprint string")
+
+
+@query("lineitem", "SELECT 'relationship' AS kind, round(corr(l_extendedprice, l_quantity + l_extendedprice / 100), 4) AS number, 'neutral' AS tone FROM lineitem")
+def evidence_relationship(df):
+    table = df.select("l_extendedprice", (F.col("l_quantity") + F.col("l_extendedprice") / 100).alias("weight"), "l_returnflag")
+    brief = evidence.analyze(table, Roles(None, "l_extendedprice", "l_returnflag", None, ("l_extendedprice", "weight"), ("l_returnflag",)))
+    return evidence.evidence_frame(table, brief).where("kind = 'relationship'").select("kind", *r4("number"), "tone")
+
+
+@query("lineitem", """
+WITH c AS (SELECT count(*) FILTER (l_orderkey % 7 = 0) + count(*) FILTER (l_orderkey % 5 = 0) AS gaps, 3 * count(*) AS cells FROM lineitem)
+SELECT 'quality' AS kind, round(100 - 100 * gaps / cells, 4) AS number, 'warning' AS tone, format('{:,} of {:,} cells are missing: the table is {:.1f}% complete.', gaps, cells, 100 - 100 * gaps / cells) AS statement FROM c
+""")
+def evidence_quality(df):
+    gap = lambda c, k: F.when(F.col("l_orderkey") % k != 0, F.col(c)).alias(c)
+    table = df.select(gap("l_extendedprice", 7), gap("l_returnflag", 5), "l_linestatus")
+    brief = evidence.analyze(table, Roles(None, "l_extendedprice", "l_returnflag", None, ("l_extendedprice",), ("l_returnflag", "l_linestatus")))
+    return evidence.evidence_frame(table, brief).where("kind = 'quality'").select("kind", *r4("number"), "tone", "statement")
+
+
+_asked("nlq_value_filter", "orders", replace(ORDERS, dimensions=("o_orderstatus", "o_orderpriority")), "total o_totalprice for 1 urgent and 5 low", "SELECT round(sum(o_totalprice), 2) AS value, count(o_totalprice) AS rows FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')", lambda t: t.select(*r2("value"), "rows"))
+
+
+@query("orders", """
+SELECT 1 AS place, 'The table has ' || format('{:,}', count(*)) || ' rows.' AS answer, 'row count' AS calculation FROM orders
+UNION ALL SELECT 2, 'The table has ' || format('{:,}', count(*)) || ' rows for o_orderdate in 1997.', 'row count · filtered to o_orderdate in 1997' FROM orders WHERE year(o_orderdate) = 1997
+UNION ALL SELECT 3, CASE WHEN count(*) = 0 THEN 'No row is in that scope, so nothing was calculated.' END, '0 rows after filters · filtered to o_orderdate in 1901' FROM orders WHERE year(o_orderdate) = 1901
+UNION ALL SELECT 4, NULL, NULL FROM orders WHERE false
+""")
+def worded_answers(df):
+    """Answers in words: all rows, a scope, an empty scope; a question that the rules can't read has none."""
+    asked = ("how many rows are there?", "how many rows in 1997?", "how many rows in 1901?", "is it nice?")
+    found = [(k, compiler.answer(q, df, replace(ORDERS, dimension=None, dimensions=()))) for k, q in enumerate(asked, 1)]
+    return df.sparkSession.createDataFrame([(k, a.answer, a.calculation) for k, a in found if a], "place int, answer string, calculation string")
+
+
+@query("orders", "SELECT o_orderpriority AS segment, round(avg(o_totalprice), 4) AS value, 'ai' AS source FROM orders WHERE o_orderstatus IN (SELECT DISTINCT o_orderstatus FROM orders WHERE lower(o_orderstatus) = 'f') AND year(o_orderdate) = 1997 GROUP BY 1 ORDER BY value DESC, segment LIMIT 3")
+def planned_by_client(df):
+    """A client's plan, checked and run: its filter is resolved against the stored values."""
+    said = {"answerable": True, "intent": "rank", "aggregation": "mean", "measure": "o_totalprice", "dimension": "o_orderpriority", "top_n": 3, "filters": [{"column": "o_orderstatus", "value": " f "}], "year": 1997}
+    plan = planner.plan_with(lambda *_: said, "best priorities of finished orders in 1997", df, ORDERS)
+    return compiler.table_of(plan, df, ORDERS).select("segment", *r4("value"), F.lit(plan.source).alias("source"))
+
+
+@query("orders", "SELECT unnest(['unknown column', 'value not stored', 'declined', 'no date']) AS proposal, count(*) AS rows, true AS refused FROM orders")
+def refused_plans(df):
+    """Plans of a client that can't run are refused."""
+    base, n = {"answerable": True, "intent": "rank", "measure": "o_totalprice", "dimension": "o_orderpriority"}, df.count()
+    said = {"unknown column": base | {"measure": "nothing"}, "value not stored": base | {"filters": [{"column": "o_orderstatus", "value": "no such"}]}, "declined": base | {"answerable": False}, "no date": base | {"intent": "trend", "dimension": None}}
+    plans = [(k, n, planner.plan_with(lambda *_, s=s: s, "x", df, replace(ORDERS, date=None)) is None) for k, s in said.items()]
+    return df.sparkSession.createDataFrame(plans, "proposal string, rows long, refused boolean")
+
+
+@query("orders", """
+SELECT 'Total o_totalprice' AS question, 1::BIGINT AS rows, round(sum(o_totalprice), 2) AS first FROM orders
+UNION ALL SELECT 'Top 5 o_orderpriority by o_totalprice', least(5, count(*)), max(v) FROM (SELECT round(sum(o_totalprice), 2) AS v FROM orders GROUP BY o_orderpriority)
+UNION ALL SELECT 'Monthly o_totalprice trend', count(*), round(min_by(v, p), 2) FROM (SELECT date_trunc('month', o_orderdate) AS p, sum(o_totalprice) AS v FROM orders GROUP BY 1)
+""")
+def suggested_answers(df):
+    """The suggested questions with what the table answers: rows and the first value."""
+    out = []
+    for q in parser.suggestions(ORDERS)[:3]:
+        rows = compiler.answer(q, df, ORDERS, values={}).table.collect()
+        out.append((q, len(rows), round(next(v for v in rows[0] if isinstance(v, float)), 2)))
+    return df.sparkSession.createDataFrame(out, "question string, rows long, first double")
+
+
+@query("customer", """
+SELECT '- Rows: ' || format('{:,}', count(*)) AS line FROM customer UNION ALL SELECT '- Columns: 2' FROM customer HAVING count(*) > 0 UNION ALL SELECT '- Missing cells: ' || format('{:,}', count(*) FILTER (c_custkey % 4 = 0)) FROM customer UNION ALL SELECT '- Duplicate rows removed: 0' FROM customer HAVING count(*) > 0
+UNION ALL SELECT format('- **c_name**: text, 0.00% missing, {:,} distinct', count(DISTINCT c_name)) FROM customer
+UNION ALL SELECT format('- **c_mktsegment**: category, {:.2f}% missing, {:,} distinct', round(100.0 * count(*) FILTER (c_custkey % 4 = 0) / count(*), 2), count(DISTINCT CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END)) FROM customer
+""")
+def data_report_lines(df):
+    """Overview and data dictionary of the generic report."""
+    table, audit = cleaning.clean(df.select("c_name", F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("c_mktsegment")))
+    text = report.data_report(table, audit, evidence.insights(table))
+    lines = [x for part in text.split("## ") if part.startswith(("Dataset overview", "Data dictionary")) for x in part.splitlines() if x.startswith("- ")]
+    return df.sparkSession.createDataFrame([(x,) for x in lines], "line string")
+
+
+@query("orders", """
+WITH t AS (SELECT sum(o_totalprice) AS v, count(*) AS n FROM orders)
+SELECT '**Source:** orders  ' AS line FROM t UNION ALL SELECT '**Rows analyzed:** ' || format('{:,}', n) || '  ' FROM t UNION ALL SELECT '**Business context:** a test' FROM t
+UNION ALL SELECT 'o_totalprice adds up to $' || CASE WHEN v >= 1e9 THEN format('{:,.1f}B', v / 1e9) ELSE format('{:,.1f}M', v / 1e6) END || '.' FROM t
+""")
+def business_report_lines(df):
+    """Head and headline of the executive report of a table with a measure alone."""
+    table = df.select("o_totalprice")
+    text = report.business_report(table, evidence.analyze(table, Roles(None, "o_totalprice", None, None, ("o_totalprice",))), source_name="orders", context=" a test ")
+    lines = [x for x in text.splitlines() if x.startswith(("**Source", "**Rows", "**Business", "o_totalprice adds"))]
+    return df.sparkSession.createDataFrame([(x,) for x in lines], "line string")
 
 
 def stream_daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -743,6 +915,5 @@ def stream_daily_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("period", F.round("value", 2).alias("value"))
 
 
-QUERIES["demo_trend"] = demo_trend
 QUERIES["stream_daily_trend"] = stream_daily_trend
 ORACLE_SQL["stream_daily_trend"] = ORACLE_SQL["trend_day"]
