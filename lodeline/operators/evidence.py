@@ -1,7 +1,10 @@
 """Evidence, recommendations and the brief: rules over computed frames.
 
 Executors aggregate; the driver words at most a few hundred collected rows. A
-brief takes four passes over the table, whatever it finds.
+brief asks the table four times: for all single-row aggregates, for exact numbers
+of few distinct values, for segments by period, and for outliers of the measure.
+The last takes more passes where the measure has over ``stats.SMALL`` values,
+and identifiers near their limit, or shown by their number, take one of their own.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from dataclasses import dataclass
 from functools import cached_property
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lodeline.functions.columns import col, kinds, number
@@ -30,15 +33,35 @@ MOST_FACTS, MOST_RECOMMENDATIONS, TILES, MOST_INSIGHTS = 6, 4, 4, 6
 
 @dataclass
 class Findings:
-    """Computed facts of one table, each at most once, in four passes: all
-    single-row aggregates, distinct values, segments by period, and quartiles."""
+    """Computed facts of one table, each at most once."""
 
     df: DataFrame
     given: Roles | None = None
 
+    @cached_property
+    def candidates(self) -> list[str]:
+        """Numeric columns that a correlation may be about, before identifiers are known."""
+        numeric = self.given.numeric if self.given else [n for n, k in kinds(self.df).items() if k == "numeric"]
+        return [c for c in numeric if spaced(c) not in TIME_PARTS]
+
+    @cached_property
+    def first(self) -> Row:
+        """All single-row aggregates: counts, sums and means of what can be the
+        measure, ends of what can be the date, and correlations."""
+        of = kinds(self.df)
+        measures = [self.given.measure] if self.given else [n for n, k in of.items() if k == "numeric"]
+        dates = [self.given.date] if self.given else [n for n, k in of.items() if k == "datetime"]
+        wanted = []
+        for m in filter(None, measures):
+            wanted += [F.coalesce(F.sum(number(m)), F.lit(0.0)).alias(f"sum {m}"), F.avg(number(m)).alias(f"mean {m}")]
+        wanted += [span_days(F.min(col(d)), F.max(col(d))).alias(f"days {d}") for d in filter(None, dates)]
+        if len(self.candidates) <= stats.WIDE:
+            wanted += [stats.pearson(a, b).alias(f"r{k}") for k, (a, b) in enumerate(combinations(self.candidates, 2))]
+        return stats.first_pass(self.df, wanted)
+
     @cached_property
     def columns(self) -> dict[str, stats.ColumnStats]:
-        return role_stats(self.df)
+        return role_stats(self.df, self.first)
 
     def distinct_of(self, column: str) -> int:
         """An exact number of distinct values, for display."""
@@ -60,32 +83,24 @@ class Findings:
     @cached_property
     def usable(self) -> list[str]:
         """Numeric columns that a correlation may be about."""
-        return [c for c in self.roles.numeric if not is_identifier(self.columns[c]) and spaced(c) not in TIME_PARTS]
+        return [c for c in self.candidates if not is_identifier(self.columns[c])]
 
-    @cached_property
-    def single(self) -> dict:
-        """Sum and mean of the measure, the days that dates span, and correlations: one aggregate."""
-        r, wanted = self.roles, [F.count(F.lit(1)).alias("rows")]
-        if r.measure:
-            wanted += [F.coalesce(F.sum(number(r.measure)), F.lit(0.0)).alias("sum"), F.avg(number(r.measure)).alias("mean")]
-        if r.date:
-            wanted.append(span_days(F.min(col(r.date)), F.max(col(r.date))).alias("days"))
-        if len(self.usable) <= stats.WIDE:
-            wanted += [stats.pearson(a, b).alias(f"r{k}") for k, (a, b) in enumerate(combinations(self.usable, 2))]
-        return self.df.agg(*wanted).first().asDict()
+    def of_measure(self, what: str) -> float | None:
+        return self.first[f"{what} {self.roles.measure}"]
 
     @cached_property
     def pair(self) -> tuple[str, str, float] | None:
         """The columns with the strongest correlation; the first of equals."""
-        if len(self.usable) > stats.WIDE:
+        if len(self.candidates) > stats.WIDE:
             row = stats.strongest_pair(self.df, self.usable).first()
             return row and (row["left"], row["right"], row["r"])
-        found = [(*ab, r) for k, ab in enumerate(combinations(self.usable, 2)) if (r := self.single[f"r{k}"]) is not None and r == r]
+        pairs = [(a, b, self.first[f"r{k}"]) for k, (a, b) in enumerate(combinations(self.candidates, 2))]
+        found = [(a, b, r) for a, b, r in pairs if a in self.usable and b in self.usable and r is not None and r == r]
         return max(found, key=lambda x: abs(x[2]), default=None)
 
     @cached_property
     def grain(self) -> str:
-        return grain_of(self.single["days"])
+        return grain_of(self.first[f"days {self.roles.date}"])
 
     @cached_property
     def cube(self) -> frames.Cube:
@@ -151,10 +166,13 @@ def outlier_fact(f: Findings) -> Fact | None:
     m = f.roles.measure
     if not m or f.columns[m].present < LEAST_FOR_OUTLIERS or f.columns[m].distinct < LEAST_DISTINCT:
         return None
-    r = stats.iqr_outliers(f.df, [m]).first()
-    if not r["outliers"]:
+    if f.columns[m].present <= stats.SMALL:
+        n, percent = stats.few_outliers(f.df, m)
+    else:
+        n, percent = stats.iqr_outliers(f.df, [m]).select("outliers", "percent").first()
+    if not n:
         return None
-    return Fact("outliers", r["outliers"], f"{r['outliers']:,} values of {m} ({r['percent']:.1f}% of those present) are beyond 1.5 interquartile ranges.", "below Q1 − 1.5 IQR or above Q3 + 1.5 IQR", m, tone="warning")
+    return Fact("outliers", n, f"{n:,} values of {m} ({percent:.1f}% of those present) are beyond 1.5 interquartile ranges.", "below Q1 − 1.5 IQR or above Q3 + 1.5 IQR", m, tone="warning")
 
 
 def quality_fact(f: Findings) -> Fact | None:
@@ -201,7 +219,7 @@ def recommend(facts: list[Fact], roles: Roles) -> tuple[Step, ...]:
 def tiles(f: Findings, facts: list[Fact]) -> tuple[Tile, ...]:
     r, by, out = f.roles, {e.kind: e for e in facts}, []
     if r.measure:
-        out += [Tile(f"Total {r.measure}", f.single["sum"], "All records", r.measure), Tile(f"Average {r.measure}", f.single["mean"], "Per record with a value", r.measure)]
+        out += [Tile(f"Total {r.measure}", f.of_measure("sum"), "All records", r.measure), Tile(f"Average {r.measure}", f.of_measure("mean"), "Per record with a value", r.measure)]
     if "trend" in by:
         out.append(Tile("Latest movement", by["trend"].value, "Against the period before", tone=by["trend"].tone))
     if "leader" in by:
@@ -230,7 +248,7 @@ def analyze(df: DataFrame, roles: Roles | None = None) -> Brief:
     elif growth or leader:
         headline = (growth or leader).statement
     elif r.measure:
-        headline = f"{r.measure} adds up to {format_number(f.single['sum'], r.measure)}."
+        headline = f"{r.measure} adds up to {format_number(f.of_measure('sum'), r.measure)}."
     else:
         headline = f"{f.rows:,} records are ready to review."
     summary = " ".join(e.statement for e in (growth, leader) if e) or "No trend or segment stands out; what was calculated is listed as evidence."

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lodeline.functions.columns import col, kinds, shown
@@ -73,9 +73,9 @@ def choose_roles(stats: dict[str, ColumnStats]) -> Roles:
     )
 
 
-def role_stats(df: DataFrame) -> dict[str, ColumnStats]:
+def role_stats(df: DataFrame, first: Row | None = None) -> dict[str, ColumnStats]:
     """Statistics that are as exact as roles need them."""
-    return column_stats(df, near={n: IDENTIFIER_RATIO for n in kinds(df) if is_marked(n)})
+    return column_stats(df, near={n: IDENTIFIER_RATIO for n in kinds(df) if is_marked(n)}, first=first)
 
 
 def detect_roles(df: DataFrame) -> Roles:

@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,8 +49,16 @@ class ColumnStats:
         return self.rows - self.present
 
 
-def column_stats(df: DataFrame, exact: Iterable[str] = (), near: dict[str, float] | None = None) -> dict[str, ColumnStats]:
-    """Rows, present and distinct values of every column.
+def first_pass(df: DataFrame, more: Iterable[Column] = ()) -> Row:
+    """One aggregate: rows, present values (p) and estimates of distinct ones (d) of every column, and what else is asked for."""
+    names = list(kinds(df))
+    value = [F.when(present(n, df), col(n)) for n in names]
+    guess = [F.approx_count_distinct(v, ERROR) if sortable(df, n) else F.lit(None).cast("long") for n, v in zip(names, value)]
+    return df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(v).alias(f"p{k}") for k, v in enumerate(value)), *(g.alias(f"d{k}") for k, g in enumerate(guess)), *more).first()
+
+
+def column_stats(df: DataFrame, exact: Iterable[str] = (), near: dict[str, float] | None = None, first: Row | None = None) -> dict[str, ColumnStats]:
+    """Rows, present and distinct values of every column; ``first`` may hold a ``first_pass``.
 
     One aggregate counts, and estimates distinct values from sketches of a fixed
     size. Columns of few values, by an estimate that is far beyond its error,
@@ -64,8 +72,8 @@ def column_stats(df: DataFrame, exact: Iterable[str] = (), near: dict[str, float
     names = list(of)
     if not names:
         return {}
+    first = first or first_pass(df)
     value = {n: F.when(present(n, df), col(n)) for n in names}
-    first = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(value[n]).alias(f"p{k}") for k, n in enumerate(names)), *(F.approx_count_distinct(value[n], ERROR).alias(f"d{k}") if sortable(df, n) else F.lit(None).cast("long").alias(f"d{k}") for k, n in enumerate(names))).first()
     counted = {n: first[f"p{k}"] for k, n in enumerate(names)}
     guess = {n: first[f"d{k}"] for k, n in enumerate(names)}
     few = [n for n in names if guess[n] is not None and guess[n] <= SURELY]
@@ -375,6 +383,20 @@ def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("percent", F.coalesce(F.try_divide("outliers", "n"), F.lit(0.0)) * 100)
 
 
+def few_outliers(df: DataFrame, column: str) -> tuple[int, float]:
+    """(outliers, their percent) by quartiles, of a column of at most SMALL
+    values: they are put in order once, and looked at there, in one aggregate."""
+    ordered = df.agg(F.sort_array(F.collect_list(number(column))).alias("v")).withColumn("n", F.size("v"))
+
+    def at(share: float) -> str:
+        place = f"({share} * (n - 1))"
+        return f"(v[int(floor({place}))] + ({place} - floor({place})) * (v[int(ceil({place}))] - v[int(floor({place}))]))"
+
+    cut = ordered.where("n > 0").selectExpr("v", "n", f"{at(0.25)} AS q1", f"{at(0.75)} AS q3")
+    r = cut.selectExpr("n", f"CASE WHEN q3 > q1 THEN size(filter(v, x -> x < q1 - {IQR_FACTOR} * (q3 - q1) OR x > q3 + {IQR_FACTOR} * (q3 - q1))) ELSE 0 END AS outliers").first()
+    return (r["outliers"], 100 * r["outliers"] / r["n"]) if r else (0, 0.0)
+
+
 def mode_share(df: DataFrame, column: str, most_distinct: int = MODE_DISTINCT) -> DataFrame:
     """The most common value of a column and its share of present rows; none for
     columns of too many values. Ties go to the smaller value."""

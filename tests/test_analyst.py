@@ -488,3 +488,25 @@ def test_bounded_takes_the_first_rows(spark):
     assert "Sort" not in cleaning.bounded(with_order(spark.range(1000).toDF("x")), 333)[0]._jdf.queryExecution().executedPlan().toString()
     gaps = numbered.where("x % 4 = 0")
     assert sorted(r["_ord"] for r in cleaning.bounded(gaps, 100)[0].collect()) == [r["_ord"] for r in gaps.orderBy("_ord").limit(100).collect()]
+
+
+def test_a_brief_asks_the_table_four_times(spark):
+    from test_sources import jobs_of
+
+    rows = spark.range(4000).selectExpr("timestamp_ntz'2023-01-01' + make_dt_interval(cast(id % 800 AS int)) AS `Order Date`", "concat('r', id % 4) AS Region", "cast(id % 50 AS double) * (1 + id % 3) AS Revenue", "cast(id % 50 AS double) + rand(1) AS Profit").persist()
+    rows.count()
+    of = Roles("Order Date", "Revenue", "Region", None, ("Revenue", "Profit"), ("Region",))
+    brief, jobs = jobs_of(spark, lambda: evidence.analyze(rows, of))
+    assert {f.kind for f in brief.facts} >= {"trend", "driver", "leader", "relationship"}
+    # Adaptive execution runs the stages of the four as jobs of their own.
+    assert jobs <= 20
+    total = rows.agg(F.sum("Revenue")).first()[0]
+    assert next(t for t in brief.tiles if t.label == "Total Revenue").value == format_number(total, "Revenue")
+
+
+def test_outliers_of_few_values_equal_those_of_many(spark):
+    draw = np.random.default_rng(2)
+    for values in ([], [1.0], [2.0] * 20, list(draw.normal(size=57)), [*draw.normal(size=40), 99.0, -70.0], [None, 1.0, 2.0, 3.0, 50.0, None, 2.0, 2.5]):
+        df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+        many = stats.iqr_outliers(df, ["v"]).first()
+        assert stats.few_outliers(df, "v") == pytest.approx((many["outliers"], many["percent"]))

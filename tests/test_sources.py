@@ -3,6 +3,7 @@
 import csv
 import io
 import random
+import uuid
 import zipfile
 from datetime import datetime
 
@@ -182,10 +183,10 @@ def test_rows_of_sheets_in_any_dialect():
 
 def jobs_of(spark, run):
     """What a call gives, and how many Spark jobs it took."""
-    sc = spark.sparkContext
-    sc.setJobGroup(f"test-{id(run)}", "counted")
+    sc, group = spark.sparkContext, f"test-{uuid.uuid4()}"
+    sc.setJobGroup(group, "counted")
     try:
-        return run(), len(sc.statusTracker().getJobIdsForGroup(f"test-{id(run)}"))
+        return run(), len(sc.statusTracker().getJobIdsForGroup(group))
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
 
