@@ -91,10 +91,13 @@ def is_open(name: str) -> bool:
     return not any(p in name.lower() for p in PROTECTED_PARTS)
 
 
-def infer(df: DataFrame, counts: Row, place: dict[str, int]) -> Inference:
+def infer(df: DataFrame, texts: list[str], counts: Row | None = None, numbered: list[str] | None = None) -> Inference:
     """What texts become, by the shares that parse. Shares are of the values
-    present before stripping, so blanks count against. ``place`` has the texts'
-    numbers in ``counts``."""
+    present before stripping, so blanks count against. ``counts`` may hold what
+    ``counted`` gives for the columns ``numbered``."""
+    if counts is None:
+        counts, numbered = counted(df, texts), texts
+    place = {n: numbered.index(n) for n in texts}
     formats = {n: f for n, k in place.items() if is_dated(n) and (f := date_format(df.sparkSession, counts[f"f{k}"]))}
     parsed = df.agg(*(F.count(parsed_time(stripped(n), f)).alias(n) for n, f in formats.items())).first() if formats else ()
     share = lambda hits, n: counts[f"n{place[n]}"] and hits / counts[f"n{place[n]}"]
@@ -155,7 +158,7 @@ def clean(raw: DataFrame) -> tuple[DataFrame, Audit]:
         raise ValueError("Nothing is left to analyze after removing empty rows and columns.")
     df = filled.select(*map(col, kept), ORDER)
     texts = [n for n, k in kinds(df).items() if k == "text"]
-    found = infer(df, counts, {n: names.index(n) for n in texts})
+    found = infer(df, texts, counts, names)
     single, repeats = without_repeats(typed(df, texts, found), kept)
     done = dict(zip(OPERATIONS, (counts["rows"] - counts["filled"], len(empty), len(indexes), repeats, len(found.numbers), len(found.times))))
     return single, Audit((counts["rows"], len(names)), (counts["filled"] - repeats, len(kept)), done)
