@@ -34,7 +34,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from datetime import datetime, timezone
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -84,6 +84,11 @@ def digest32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
+#: Signs that a URI keeps; others are percent-encoded, and the URL as it was goes into a field of its own.
+URI_SIGNS = "%/:=&?~#+!$,;'@()*[]"
+SOURCE_URL = "X-Source-URL"
+
+
 def record_id(page_id: int | None, digest: str, place: str = "") -> str:
     """Of a page's response by page and payload; any other record's has its place as well."""
     return f"<urn:page:{'' if page_id is None else page_id}:{digest}{place and ':' + place}>"
@@ -101,7 +106,10 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to: int
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
     if url is not None:
-        head.append(f"WARC-Target-URI: {url.encode('unicode_escape').decode()}")
+        uri = quote(url, safe=URI_SIGNS)
+        head.append(f"WARC-Target-URI: {uri}")
+        if uri != url:  # as the table has it, for reading back
+            head.append(f"{SOURCE_URL}: {url.encode('unicode_escape').decode()}")
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
     block = http if revisit else http + payload
@@ -122,16 +130,17 @@ def parse(raw: bytes) -> tuple:
     if rest[size:] != b"\r\n\r\n" or (kind == "response" and (len(body) != length or digest32(hashlib.sha1(body).hexdigest()) != digest)):
         raise ValueError("damaged WARC record")
     number = lambda x: int(n) if (n := x.removeprefix("<urn:page:").partition(":")[0]) else None
-    url = fields.get("WARC-Target-URI")
+    url = fields[SOURCE_URL].encode().decode("unicode_escape") if SOURCE_URL in fields else fields.get("WARC-Target-URI")
     refers = number(fields["WARC-Refers-To"]) if kind == "revisit" else None
-    return number(fields["WARC-Record-ID"]), None if url is None else url.encode().decode("unicode_escape"), length, digest, kind, refers, body.decode() if kind == "response" else None
+    return number(fields["WARC-Record-ID"]), url, length, digest, kind, refers, body.decode() if kind == "response" else None
 
 
 def marked(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """page_id, url, html, digest, refers_to (of revisits).
 
     Ids of the first pages are found on (digest, page_id) rows alone; the html
-    goes through one exchange, by page and digest, which no hot payload bends.
+    goes through one exchange, by page and digest, which no hot payload bends;
+    only rows that repeat one page's id and payload meet in a task.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = shipped(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))

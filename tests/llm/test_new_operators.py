@@ -264,3 +264,18 @@ def test_texts_of_a_hub_go_to_several_tasks(spark, monkeypatch):
         rows.append((k, " ".join(own)))
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
     assert got == brute_groups(rows, 3, 90, 100)
+
+
+# --- WARC: target URIs ---
+
+
+@pytest.mark.parametrize("url", ["http://a.example/é?q=ü#x", "http://a.example/a b\t\\n", "http://a.example/%C3%A9", "", None, "漢字", "http://a.example/line\r\nend: x"])
+def test_records_have_percent_encoded_targets(url):
+    from lodeline.llm import warc
+
+    raw = warc.record(7, url, b"body", warc.digest32(hashlib.sha1(b"body").hexdigest()), None, False, "2024-01-01T00:00:00Z", "0")
+    assert warc.parse(raw)[:3] == (7, url, 4)
+    head = raw.partition(b"\r\n\r\n")[0].decode()
+    targets = [x.split(": ", 1)[1] for x in head.split("\r\n") if x.startswith("WARC-Target-URI")]
+    assert all(t.isascii() and " " not in t for t in targets) and len(targets) == (url is not None)
+    assert (warc.SOURCE_URL in head) == (url is not None and targets[0] != url)
