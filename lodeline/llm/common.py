@@ -3,6 +3,8 @@ intermediate tables and vectorised word splitting."""
 
 from __future__ import annotations
 
+import ctypes
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +19,38 @@ from lodeline.functions.shipping import scratch, ship
 SLICE_BYTES = 4 << 20
 
 
+#: Bytes of a batch that Spark hands to a worker, a little less than a slice, and
+#: Spark's own bound. The same bytes are held by both for each task.
+BATCH_BYTES, DEFAULT_BATCH = 15 << 18, 64 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """``spark``, with the package on its executors and batches of bounded size,
+    unless the session has a bound of its own."""
+    if re.sub(r"\D", "", spark.conf.get(BATCH_KEY)) == str(DEFAULT_BATCH):
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shipped(df: DataFrame) -> DataFrame:
-    """``df``, with the package on the executors that are to work on it."""
-    ship(df.sparkSession)
+    """``df``, whose session is ready to work on it."""
+    ready(df.sparkSession)
     return df
 
 
+def trimmed() -> None:
+    """Give memory that a worker no longer uses back: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back: the
     lineage ends there and a lost executor costs no recomputation."""
@@ -89,6 +113,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, end - start)
             start = end
+    trimmed()
 
 
 def hash_words(dictionary: pa.Array, seed: int = 0) -> np.ndarray:

@@ -279,3 +279,21 @@ def test_records_have_percent_encoded_targets(url):
     targets = [x.split(": ", 1)[1] for x in head.split("\r\n") if x.startswith("WARC-Target-URI")]
     assert all(t.isascii() and " " not in t for t in targets) and len(targets) == (url is not None)
     assert (warc.SOURCE_URL in head) == (url is not None and targets[0] != url)
+
+
+# --- batches ---
+
+
+def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
+    from lodeline.llm import common
+
+    before = spark.conf.get(common.BATCH_KEY)
+    try:
+        spark.conf.unset(common.BATCH_KEY)
+        common.ready(spark)
+        assert int(spark.conf.get(common.BATCH_KEY).rstrip("b")) == common.BATCH_BYTES < common.SLICE_BYTES
+        spark.conf.set(common.BATCH_KEY, "1m")
+        common.ready(spark)
+        assert spark.conf.get(common.BATCH_KEY) in ("1m", str(1 << 20), f"{1 << 20}b")
+    finally:
+        spark.conf.set(common.BATCH_KEY, before)
