@@ -6,7 +6,9 @@ bytes comes before the text, so texts of one group all end together. A level
 takes a run of bytes: 64 first, then 4 KB, then eight times as many each time,
 up to 4 MB. The first level counts, without whole texts, how many documents
 begin alike; those that are alone are done, and later levels send only the
-bytes of groups that are still together.
+bytes of groups that are still together. To find them, texts are exchanged only
+where a broadcast bit table has their beginning, which is exact for "alone"; the
+others are looked up in the counts.
 
 A group is named by the row that would stay if it ended there: the largest
 doc_id, then the largest row number. Hot groups are split: beginnings that a
@@ -37,6 +39,8 @@ FIRST, SECOND, MOST = 64, 4 << 10, 4 << 20
 GROWTH = 8
 #: Beginnings that more than one row in so many has are broadcast; there can't be more of them.
 HOT = 1000
+#: Bits of the table of beginnings that several texts have: 4 MB at most, broadcast.
+MARKS = 1 << 25
 
 
 def levels(longest: int) -> Iterator[tuple[int, int]]:
@@ -53,17 +57,33 @@ def measured(text: str) -> list[Column]:
     return [F.octet_length(whole).cast("long").alias("n"), F.substring(whole, 1, FIRST).alias("head"), F.substring(whole, FIRST + 1, 2**31 - 1 - FIRST).alias("tail")]
 
 
+def marked(docs: DataFrame, shared: DataFrame, n_rows: int) -> DataFrame:
+    """``docs`` with ``marked``: whether a bit table has their beginnings. It holds
+    the ``shared`` ones, in 16 bits for each of all rows, and MARKS bits at most:
+    a bit that is set by chance only sends a text in vain."""
+    spot = F.pmod(F.xxhash64("n", "head"), F.lit(min(MARKS, 1 << max(15, (16 * n_rows).bit_length()))))
+    at = shared.select(spot.alias("spot")).select(F.bitmap_bucket_number("spot").alias("bucket"), F.bitmap_bit_position("spot").alias("at"))
+    table = at.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    placed = docs.withColumn("spot", spot).join(F.broadcast(table), F.bitmap_bucket_number("spot") == F.col("bucket"), "left")
+    place = F.bitmap_bit_position("spot").cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.lit(1).cast("int").bitwiseAND(F.call_function("shiftright", byte, place.bitwiseAND(7)))
+    return placed.withColumn("marked", F.coalesce(bit == 1, F.lit(False))).drop("spot", "bucket", "bits")
+
+
 def opened(docs: DataFrame) -> DataFrame:
     """``docs`` (n, head, tail, ...) with the first level: ``alone`` says that no other text begins so."""
     counts = written(docs.groupBy("n", "head").agg(F.count("*").alias("n_rows")), "beginnings")
-    many = (counts.agg(F.sum("n_rows")).first()[0] or 0) / HOT
+    n_rows = counts.agg(F.sum("n_rows")).first()[0] or 0
+    shared = counts.where("n_rows > 1")
     names = {"n": "n_", "head": "head_"}
     same = (F.col("n") == F.col("n_")) & (F.col("head") == F.col("head_"))
-    hot = F.broadcast(counts.where((F.col("n_rows") > 1) & (F.col("n_rows") > many)).select("n", "head").withColumnsRenamed(names))
-    cold = counts.where((F.col("n_rows") > 1) & (F.col("n_rows") <= many)).select("n", "head").withColumnsRenamed(names)
-    meet = docs.join(hot, same, "left_semi").withColumn("alone", F.lit(False))
-    rest = docs.join(hot, same, "left_anti").join(cold, same, "left").withColumn("alone", F.col("n_").isNull()).drop("n_", "head_")
-    return meet.unionByName(rest)
+    hot = F.broadcast(shared.where(F.col("n_rows") > n_rows / HOT).select("n", "head", F.lit(True).alias("hot")).withColumnsRenamed(names))
+    cold = shared.where(F.col("n_rows") <= n_rows / HOT).select("n", "head").withColumnsRenamed(names)
+    seen = marked(docs.join(hot, same, "left").drop("n_", "head_"), shared, n_rows)
+    stay = seen.where("hot OR NOT marked").withColumn("alone", F.col("hot").isNull())
+    rest = seen.where("hot IS NULL AND marked").join(cold, same, "left").withColumn("alone", F.col("n_").isNull()).drop("n_", "head_")
+    return stay.unionByName(rest).drop("hot", "marked")
 
 
 def split(rows: DataFrame, by: list[str], salt: Column) -> DataFrame:

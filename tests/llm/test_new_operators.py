@@ -80,6 +80,46 @@ def test_copies_with_hot_group(spark):
     check_copies(spark, rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
 
 
+def exchanged(plan):
+    """Bytes that the exchanges of an executed plan have sent, without broadcasts."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return exchanged(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return 0 if kind.startswith("Broadcast") else exchanged(plan.plan())
+    own = plan.metrics().get("dataSize").get().value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(exchanged(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_first_level_sends_few_texts(spark):
+    """Of 3,000 texts with 5 pairs, only texts of pairs (and a few by chance) go through an exchange, whichever join is taken."""
+    draw = random.Random(3)
+    rows = [(k, "".join(draw.choices("abcdefgh", k=1500))) for k in range(3000)]
+    rows += [(3000 + k, rows[k][1]) for k in range(5)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        begun = exact_dedup.opened(docs.select("doc_id", *exact_dedup.measured("text")))
+        apart = begun.where("NOT alone").select("doc_id", "tail").collect()
+        assert {r["doc_id"] for r in apart} == {*range(5), *range(3000, 3005)}
+        begun = begun.select("doc_id", "tail", "alone")
+        assert len(begun.collect()) == len(rows)
+        assert exchanged(begun._jdf.queryExecution().executedPlan()) < 400_000  # all texts are 4.5 MB
+        check_copies(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 25])
+def test_copies_by_any_bit_table(spark, monkeypatch, most):
+    """Cold groups, with a bit table too small to tell much."""
+    monkeypatch.setattr(exact_dedup, "MARKS", most)
+    draw = random.Random(4)
+    rows = [(k, f"{draw.randrange(5000)} " + "x" * draw.randrange(40)) for k in range(9000)]
+    check_copies(spark, rows)
+
+
 def test_copies_of_empty_table(spark):
     assert exact_dedup.exact_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert exact_dedup.without_copies(odd(spark, [])).count() == 0
