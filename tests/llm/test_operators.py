@@ -629,6 +629,28 @@ def test_statistics_equal_brute_force(docs, odd):
     assert got.where("base_failed <> (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) OR kept = base_failed").count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 7, 100])
+def test_long_texts_are_cut_and_counted_alike(spark, monkeypatch, piece):
+    draw = random.Random(piece)
+    marks = [" ", " ", "\n", "\n\n", "\t ", "\r\n", "\u00a0"]
+    text = lambda n: "".join(draw.choice(["a", "b", "c1!", "d#", "\u00e9\U0001f600", "w" * 250]) + draw.choice(marks) for _ in range(n))
+    texts = [*(text(n) for n in (1, 4, 5, 6, 9, 60, 300)), "a " * 500, " \n\t" * 90, "w" * 2000, "same line\n" * 80, "\n x" * 40, None, "", "short one"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(5, texts[5]), (None, texts[5]), (None, texts[6])]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, text_key string").repartition(3)
+    whole = quality_rules.measured(docs, "s").selectExpr("doc_id", "text", "s.*").collect()
+    for name, value in (("LONG_SPACES", 8), ("LONG_BYTES", 600), ("PIECE", piece)):
+        monkeypatch.setattr(quality_rules, name, value)
+    cut = quality_rules.measured(docs, "s")
+    assert cut.columns == [*docs.columns, "s"]
+    assert collections.Counter(map(tuple, cut.selectExpr("doc_id", "text", "s.*").collect())) == collections.Counter(map(tuple, whole))
+    want = collections.Counter((d, *brute_statistics(t)) for d, t in rows)
+    assert collections.Counter(tuple(r)[:6] for r in quality_rules.judge(docs, []).collect()) == want
+    longs = docs.where(quality_rules.is_long(quality_rules.text_of(docs)))
+    assert longs.count() > 8
+    most = quality_rules.pieces(longs, quality_rules.spaced(quality_rules.text_of(longs)), " ").selectExpr("max(length(part))").first()[0]
+    assert most <= max(2000, piece + 252)  # a word is not cut
+
+
 def test_rules_are_native_and_good(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rules = quality_rules.fit_rules(docs, labels.where("doc_id % 3 <> 0"))
